@@ -5,18 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from attesta.llm import url_filter
 from attesta.llm.common import table
+from attesta.llm.matroska import media_columns, media_digests
 from attesta.llm.near_dedup import near_duplicates
+from attesta.llm.packing import pack_documents
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, num=4, den=5)
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
+
+
+def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    judged = url_filter.filter_urls(pages, url_filter.document_outcomes(pages, labels), url_filter.RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return media_digests(media_columns(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash_near_dedup": op1_minhash_near_dedup}
+    return {
+        "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op4_best_fit_packing": op4_best_fit_packing,
+        "op8_url_reputation": op8_url_reputation,
+        "op9_matroska_media": op9_matroska_media,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_url_reputation": url_filter.SQL}
