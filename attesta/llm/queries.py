@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import url_filter
+from attesta.llm import quality_rules, toxicity, url_filter
 from attesta.llm.common import table
+from attesta.llm.decontaminate import decontaminate
 from attesta.llm.fingerprint_log import remove_repeats
 from attesta.llm.matroska import media_columns, media_digests
 from attesta.llm.near_dedup import near_duplicates
@@ -24,6 +25,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.score_quality(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_passages(table(spark, sf_dir, "documents"), window=50)
 
@@ -32,6 +38,10 @@ def op6_fingerprint_log_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), window=20).drop("spans")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     judged = url_filter.filter_urls(pages, url_filter.document_outcomes(pages, labels), url_filter.RULES)
@@ -43,14 +53,22 @@ def op9_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(media_columns(docs))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op2_quality_rules": op2_quality_rules,
         "op3_sparse_suffix_dedup": op3_sparse_suffix_dedup,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_fingerprint_log_dedup": op6_fingerprint_log_dedup,
+        "op7_decontamination": op7_decontamination,
         "op8_url_reputation": op8_url_reputation,
         "op9_matroska_media": op9_matroska_media,
+        "op10_toxicity": op10_toxicity,
     }
 
 
