@@ -116,10 +116,8 @@ def confirm(n: int, num: int, den: int):
     return run
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Of pairs (u, v), those linked on full sets. Only texts of candidates travel with the pairs."""
-    wanted = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct()
-    some = cut(texts.join(wanted.withColumnRenamed("u", "id"), "id", "left_semi"), "candidates")
+def confirmed(pairs: DataFrame, some: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Of pairs (u, v), those linked on full sets; some: the texts of all documents that pairs can have."""
     left = some.select(F.col("id").alias("v"), F.col("text").alias("text_v"))
     right = some.select(F.col("id").alias("u"), F.col("text").alias("text_u"))
     return pairs.join(left, "v").join(right, "u").select("u", "v", "text_u", "text_v").mapInArrow(confirm(n, num, den), "u long, v long")
@@ -188,6 +186,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     buckets = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top"), F.count(F.lit(1)).alias("c")).filter("top <> pivot")
     members = cut(keys.join(buckets.select("key", "pivot", "c"), "key"), "members")
 
+    # The one time that texts are shuffled; merged at every size, so that the cost follows the input.
+    candidates = cut(texts.join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "candidates")
+
     def promising(pairs: DataFrame) -> DataFrame:
         own = sigs.select(F.col("id").alias("u"), F.col("sig").alias("sig_u"))
         other = sigs.select(F.col("id").alias("v"), F.col("sig").alias("sig_v"))
@@ -195,7 +196,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     star = members.filter("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct()
     tried = promising(star)
-    links = cut(confirmed(tried, texts, shingle, num, den), "links")
+    links = cut(confirmed(tried, candidates, shingle, num, den), "links")
     first = components(links)
     # Buckets that still hold several components.
     now = members.join(first, "id", "left").select("key", "id", "c", F.coalesce("component", "id").alias("comp"))
@@ -205,10 +206,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     other = small.select("key", F.col("id").alias("v"), F.col("comp").alias("comp_v"))
     pairs = small.select("key", F.col("id").alias("u"), "comp").join(other, "key").filter("u < v and comp <> comp_v").select("u", "v").distinct()
     more = promising(pairs.join(tried, ["u", "v"], "left_anti"))
-    links = links.unionByName(cut(confirmed(more, texts, shingle, num, den), "links"))
+    links = links.unionByName(cut(confirmed(more, candidates, shingle, num, den), "links"))
     large = rest.filter(F.col("c") > SMALL_BUCKET)
     if large.limit(1).count():
-        links = links.unionByName(_large_groups(large, texts, sigs, shingle, num, den, size, low))
+        links = links.unionByName(_large_groups(large, candidates, sigs, shingle, num, den, size, low))
     found = components(links.unionByName(copies))
     out = feat.select("id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id").isNull() | (F.col("id") == F.col("component"))).alias("kept"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import quality_rules, toxicity, url_filter
+from attesta.llm import pii, quality_rules, toxicity, url_filter
 from attesta.llm.common import table
 from attesta.llm.decontaminate import decontaminate
 from attesta.llm.fingerprint_log import remove_repeats
@@ -34,6 +34,11 @@ def op3_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_passages(table(spark, sf_dir, "documents"), window=50)
 
 
+def op5_pii_lstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.span_digest(pii.find_spans(docs, pii.train(docs)))
+
+
 def op6_fingerprint_log_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), window=20).drop("spans")
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_sparse_suffix_dedup": op3_sparse_suffix_dedup,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_pii_lstm_crf": op5_pii_lstm_crf,
         "op6_fingerprint_log_dedup": op6_fingerprint_log_dedup,
         "op7_decontamination": op7_decontamination,
         "op8_url_reputation": op8_url_reputation,
