@@ -14,6 +14,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -170,3 +171,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     rows = ids.join(per, ids["id"].eqNullSafe(per["doc_id"]), "left")
     n = F.coalesce(F.size("found"), F.lit(0)).cast("long")
     return rows.select(F.col("id").alias("doc_id"), F.when(F.col("found").isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_items"), F.coalesce(F.array_join("found", ","), F.lit("")).alias("items"), F.col("found").isNotNull().alias("contaminated"))
+
+
+def _holds(shared, rate: float):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        items = Items(shared.value, rate)
+        for column in batches:
+            yield pd.Series([bool(t) and bool(items.find(normalise(t))) for t in column], dtype=bool)
+
+    return F.pandas_udf(run, "boolean")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.1, block_bytes: int = 16_000_000, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that hold no benchmark item. Nothing is shuffled. See contaminated."""
+    for block in _blocks(benchmark, item_id, item_text, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        docs = docs.filter(~_holds(shared, rate)(F.col(f"`{text_col}`").cast("string")))
+    return docs

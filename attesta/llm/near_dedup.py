@@ -215,6 +215,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id").isNull() | (F.col("id") == F.col("component"))).alias("kept"))
 
 
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, with all their columns, one of each component: that of the smallest id.
+
+    Of rows that share an id one stays; rows without id all stay. See near_duplicates.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    ids = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
+    known = docs.filter(F.col(f"`{id_col}`").isNotNull())
+    kept = known.join(ids, known[id_col].cast("long") == ids["__id"], "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
+
+
 def _large_groups(large: DataFrame, texts: DataFrame, sigs: DataFrame, n: int, num: int, den: int, size: int, low: float) -> DataFrame:
     """Links between components that meet in large buckets: overlapping buckets make one group, compared block by block."""
     groups = components(large.select(F.col("id").alias("u"), F.col("head").alias("v")))

@@ -182,3 +182,11 @@ def score_quality(docs: DataFrame, model: RuleModel, *, folds: int = 3, fold: in
     rows = texts_of(docs, id_col, text_col).select("id", *(c.alias(k) for k, c in stats.items()))
     scored = rows.select(F.col("id").alias("doc_id"), in_fold(F.col("id"), folds, fold).alias("held_out"), model.score({k: F.col(k) for k in stats}).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: RuleModel, *, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that score `least` or more; a null text scores as an empty one."""
+    stats = statistics(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    # A generator keeps the filter above it, so that each statistic is computed once and not once per rule.
+    rows = docs.select("*", F.inline(F.array(F.struct(*(c.alias(f"__stat_{k}") for k, c in stats.items())))))
+    return rows.filter(model.score({k: F.col(f"__stat_{k}") for k in stats}) >= least).select(*(F.col(f"`{c}`") for c in docs.columns))
