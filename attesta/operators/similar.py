@@ -22,17 +22,23 @@ def containment_pairs(rows: DataFrame, key: str, within: str, text: str, least:
     """(a, b, similarity) of two keys within a group whose shingles overlap by `least` of the smaller set.
 
     The prefix filter: of a text's n shingles, rarest first, one of the first n - ceil(least * n) + 1 must be shared by
-    every partner that is no smaller, so only those are joined on; ties in size are covered from both sides.
+    every partner that is no smaller, so only those are joined on; ties in size are covered from both sides. Of keys
+    with equal sets only the smallest is compared; the others are paired with it alone.
     """
-    sets = rows.select(key, within, F.array_sort(F.transform(T.shingles(T.words(F.col(text)), size), lambda g: F.xxhash64(g))).alias("s")).filter(F.size("s") > 0)
+    shingles = F.array_sort(F.transform(T.shingles(T.words(F.col(text)), size), lambda g: F.xxhash64(g)))
+    every = rows.select(F.col(key).alias("k"), F.col(within).alias("grp"), shingles.alias("s")).filter(F.size("s") > 0)
+    every = every.withColumn("h", F.sha1(F.array_join(F.transform("s", lambda g: F.hex(g)), "").cast("binary")))
+    sets = every.groupBy("grp", "h").agg(F.min_by(F.struct("k", "s"), "k").alias("r")).select("grp", "h", "r.k", "r.s")
+    copies = every.select("grp", "h", F.col("k").alias("b")).join(sets.select("grp", "h", F.col("k").alias("a")), ["grp", "h"]).filter("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
     n = F.size("s")
-    probes = sets.select(key, within, F.explode(F.slice("s", F.lit(1), (n - F.ceil(n * F.lit(least)) + 1).cast("int"))).alias("g"), n.alias("n"))
-    held = sets.select(F.col(key).alias("__k"), within, F.explode("s").alias("g"), n.alias("m"))
-    met = probes.join(held, [within, "g"]).filter((F.col("n") <= F.col("m")) & (F.col(key) != F.col("__k")))
-    pairs = met.select(within, F.least(key, "__k").alias("a"), F.greatest(key, "__k").alias("b")).distinct()
-    a, b = sets.select(F.col(key).alias("a"), F.col("s").alias("sa")), sets.select(F.col(key).alias("b"), F.col("s").alias("sb"))
+    probes = sets.select("k", "grp", F.explode(F.slice("s", F.lit(1), (n - F.ceil(n * F.lit(least)) + 1).cast("int"))).alias("g"), n.alias("n"))
+    held = sets.select(F.col("k").alias("k2"), "grp", F.explode("s").alias("g"), n.alias("m"))
+    met = probes.join(held, ["grp", "g"]).filter((F.col("n") <= F.col("m")) & (F.col("k") != F.col("k2")))
+    pairs = met.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
+    a, b = sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), sets.select(F.col("k").alias("b"), F.col("s").alias("sb"))
     similarity = F.size(F.array_intersect("sa", "sb")) / F.least(F.size("sa"), F.size("sb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", F.round(similarity, 4).alias("similarity")).filter(F.col("similarity") >= least)
+    found = pairs.join(a, "a").join(b, "b").select("a", "b", F.round(similarity, 4).alias("similarity")).filter(F.col("similarity") >= least)
+    return found.unionByName(copies)
 
 
 def cosine_pairs(rows: DataFrame, key: str, vector: str, least: float, block: int = 512) -> DataFrame:
