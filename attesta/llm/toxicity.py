@@ -117,7 +117,7 @@ def disguised(token: str) -> bool:
         return True
     letters = sum(map(str.isalpha, token))
     odd = any(c in LOOKALIKES or c in FILLERS for c in core if not c.isalpha()) or any(c in "@$" for c in token[:1])
-    return odd and 2 * letters >= len(core) and letters >= 2
+    return odd and 3 * letters >= len(core) and letters >= 2
 
 
 def restored(token: str, lm: np.ndarray) -> list[str]:
