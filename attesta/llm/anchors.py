@@ -65,23 +65,30 @@ def entries(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.explode(F.arrays_zip("keys", "places")).alias("a")).select(F.col("a.keys").alias("key"), "id", F.col("a.places").alias("place"))
 
 
+def start_runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lo, hi) of the runs of consecutive numbers in sorted distinct starts."""
+    if not len(starts):
+        return starts, starts
+    cut_at = np.flatnonzero(np.diff(starts) != 1)
+    return starts[np.concatenate([[0], cut_at + 1])], starts[np.concatenate([cut_at, [len(starts) - 1]])]
+
+
 def removed_digest(with_marks: DataFrame, window: int) -> DataFrame:
-    """(id, text, starts array<int>) to (doc_id, n_words, n_removed, kept_sha256, spans); the windows at `starts` go.
+    """(id, text, runs array<struct<lo, hi>>) to (doc_id, n_words, n_removed, kept_sha256, spans); windows that start at lo to hi go.
 
-    starts may be null. spans: `first:end` of each run of removed words, comma-joined.
+    runs may be null. spans: `first:end` of each run of removed words, comma-joined.
     """
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for ident, text, starts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for ident, text, runs in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = words_of(text)
-                if starts:
+                if runs:
                     step = np.zeros(len(words) + 1, np.int32)
-                    at = np.unique(np.array(starts))
-                    np.add.at(step, at, 1)
-                    np.add.at(step, at + window, -1)
+                    np.add.at(step, [r["lo"] for r in runs], 1)
+                    np.add.at(step, [r["hi"] + window for r in runs], -1)
                     gone = np.cumsum(step[:-1]) > 0
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                     spans = ",".join(f"{a}:{b}" for a, b in edge.reshape(-1, 2))
@@ -94,6 +101,6 @@ def removed_digest(with_marks: DataFrame, window: int) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds)], ["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
 
-    return with_marks.select("id", "text", "starts").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans string")
+    return with_marks.select("id", "text", "runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans string")
 
 

@@ -45,8 +45,8 @@ def budget(size: int, rate: float) -> int:
     return max(0, min(int(rate * size), (size - Q) // Q))
 
 
-def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int) -> int:
-    """The fewest edits of item against any part of text on diagonals low to high."""
+def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> int:
+    """The fewest edits of item against any part of text on diagonals low to high; more than `most` where it takes more."""
     width = high - low + 1
     steps = np.arange(width)
     best = np.zeros(width, np.int64)
@@ -58,6 +58,8 @@ def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int) -> int:
         near = best + (padded[i : i + width] != item[i])
         np.minimum(near[:-1], best[1:] + 1, out=near[:-1])
         best = np.minimum.accumulate(near - steps) + steps
+        if i % 8 == 7 and best.min() > most:  # edits never get fewer
+            break
     return int(best.min())
 
 
@@ -100,15 +102,26 @@ class Items:
             return []
         many = self.stop[k] - self.start[k]
         hit = np.repeat(self.start[k] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        place = np.repeat(at, many)
         item = self.item[hit]
+        likely = np.bincount(item, minlength=len(self.raw)) >= self.need  # a band can't have more than the whole text
+        if not likely.any():
+            return []
+        keep = likely[item]
+        hit, item, place = hit[keep], item[keep], np.repeat(at, many)[keep]
         diagonal = place - self.place[hit]
         step = 2 * self.edits[item] + 1
         band = np.floor_divide(diagonal, step)
         # a band holds two steps of diagonals, and bands overlap by one
         key = np.concatenate([band, band - 1]) + (1 << 33)
         both = np.concatenate([item, item]).astype(np.int64) << np.int64(35) | key
-        found, first, count = np.unique(both, return_index=True, return_counts=True)
+        # of an item's gram that a band has several times, one counts
+        by = np.lexsort((np.concatenate([self.place[hit]] * 2), both))
+        grams_of = np.concatenate([self.place[hit]] * 2)[by]
+        once = np.ones(len(by), bool)
+        once[1:] = (both[by[1:]] != both[by[:-1]]) | (grams_of[1:] != grams_of[:-1])
+        by = by[once]
+        found, first, count = np.unique(both[by], return_index=True, return_counts=True)
+        first = by[first]
         which = found >> np.int64(35)
         enough = count >= self.need[which]
         out: dict[int, tuple[int, int, int]] = {}
@@ -119,7 +132,7 @@ class Items:
             low, high = b * (2 * e + 1) - e, (b + 2) * (2 * e + 1) - 1 + e
             start, end = max(0, low), max(0, high + len(self.raw[i]))
             exact = data.find(self.raw[i], start, end)
-            d = 0 if exact >= 0 else aligned(self.data[i].astype(np.int16), text, low, high)
+            d = 0 if exact >= 0 else aligned(self.data[i].astype(np.int16), text, low, high, e)
             if d <= e and (i not in out or d < out[i][1]):
                 out[i] = (self.ids[i], d, exact if exact >= 0 else int(place[f % len(place)]))
         return sorted(out.values())

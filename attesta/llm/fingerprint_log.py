@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.anchors import anchor_rows, entries, owners, removed_digest, words_of
+from attesta.llm.anchors import anchor_rows, entries, owners, removed_digest, start_runs, words_of
 from attesta.llm.common import WordHashes, cut, gram_hashes, texts_of
 
 
@@ -108,7 +108,7 @@ def repeated_starts(texts: DataFrame, repeats: DataFrame, window: int, k: int) -
 
 
 def _starts(rows: DataFrame, window: int, k: int) -> DataFrame:
-    """(id, text, places, firsts) to (id, text, starts): the windows of the places, less the firsts."""
+    """(id, text, places, firsts) to (id, text, runs): the windows of the places, less the firsts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -120,10 +120,12 @@ def _starts(rows: DataFrame, window: int, k: int) -> DataFrame:
                     continue
                 _, own = owners(hashes.array(words_of(text)), window, k)
                 s = np.flatnonzero(np.isin(own, np.array(places)))
-                out.append(np.setdiff1d(s, np.array(firsts or [], np.int64), assume_unique=True).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["id", "text", "starts"])
+                lo, hi = start_runs(np.setdiff1d(s, np.array(firsts or [], np.int64), assume_unique=True))
+                out.append([{"lo": a, "hi": b} for a, b in zip(lo.tolist(), hi.tolist())])
+            kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], ["id", "text", "runs"])
 
-    return rows.select("id", "text", "places", "firsts").mapInArrow(run, "id long, text string, starts array<int>")
+    return rows.select("id", "text", "places", "firsts").mapInArrow(run, "id long, text string, runs array<struct<lo:int,hi:int>>")
 
 
 def remove_repeats(docs: DataFrame, *, window: int = 20, gram: int = 10, batches: int = 2, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

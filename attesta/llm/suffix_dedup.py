@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.anchors import anchor_rows, entries, owners, removed_digest, words_of
+from attesta.llm.anchors import anchor_rows, entries, owners, removed_digest, start_runs, words_of
 from attesta.llm.common import WordHashes, cut, mix, texts_of
 
 CHUNK = 20_000
@@ -66,8 +66,8 @@ def _prefix_hashes(words: list[bytes], size: int, seed: int) -> tuple[np.ndarray
 def _match(window: int, gram: int):
     """For mapInArrow over suffixes sorted by (key, salt, suffix, before, id, place).
 
-    Emits (id, start, h, kept): windows that repeat an earlier one of their group, h null; and, of groups dealt in
-    parts, the first of each window with its hash.
+    Emits (id, lo, hi, h, dealt): runs of windows, by their starts, that repeat earlier ones of their group; and, dealt,
+    the first of each window, with its hash, of groups that are dealt in parts.
     """
     left = window - gram
 
@@ -79,24 +79,29 @@ def _match(window: int, gram: int):
         back, n_left = _prefix_hashes(before, left, 13)
         group = mix(key + np.array(salt, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         order = np.lexsort((place, ids))
-        out = []
+        again: list[np.ndarray] = []
+        firsts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        known, slot = np.unique(ids, return_inverse=True)
         for a in range(left + 1):  # a words to the left of the suffix, window - a of it
             has = order[(n_left[order] >= a) & (n_right[order] >= window - a)]
             if not len(has):
                 continue
             h = mix(back[has, a] * np.uint64(0xD6E8FEB86659FD93) ^ right[has, window - a])
-            by = np.argsort(h ^ group[has], kind="stable")  # neighbours are now equal windows, the earliest first
-            s = (h ^ group[has])[by]
-            first = np.ones(len(s), bool)
-            first[1:] = s[1:] != s[:-1]
+            own = h ^ group[has]
+            by = np.argsort(own, kind="stable")  # neighbours are now equal windows, the earliest first
+            first = np.ones(len(by), bool)
+            first[1:] = own[by[1:]] != own[by[:-1]]
             rest = has[by[~first]]
-            out.append((ids[rest], place[rest] - a, np.zeros(len(rest), np.int64), np.zeros(len(rest), bool)))
+            again.append(slot[rest] << np.int64(32) | place[rest] - a)
             if dealt.any():
                 f = by[first]
                 f = f[dealt[has[f]]]
-                out.append((ids[has[f]], place[has[f]] - a, mix(h[f] ^ key[has[f]]).view(np.int64), np.ones(len(f), bool)))
-        cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2]), pa.array(cols[3])], ["id", "start", "h", "dealt"])
+                firsts.append((ids[has[f]], place[has[f]] - a, mix(h[f] ^ key[has[f]]).view(np.int64)))
+        lo, hi = start_runs(np.unique(np.concatenate(again)) if again else np.zeros(0, np.int64))
+        low = np.int64((1 << 32) - 1)
+        i, s, h = (np.concatenate(x) for x in zip(*firsts)) if firsts else (np.zeros(0, np.int64),) * 3
+        cols = [np.concatenate([known[lo >> np.int64(32)], i]), np.concatenate([lo & low, s]).astype(np.int32), np.concatenate([hi & low, s]).astype(np.int32), np.concatenate([np.zeros(len(lo), np.int64), h]), np.arange(len(lo) + len(i)) >= len(lo)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "lo", "hi", "h", "dealt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -132,11 +137,11 @@ def remove_passages(docs: DataFrame, *, window: int = 50, gram: int = 25, most:
     places = alike.groupBy("id").agg(F.collect_set(F.struct("place", "parts")).alias("places"))
     suffixes = _suffixes(known.join(places, "id"), window, gram)
     sorted_ = suffixes.repartition("key", "salt").sortWithinPartitions("key", "salt", "suffix", "before", "id", "place")
-    judged = cut(sorted_.select("key", "salt", "parts", "id", "place", "before", "suffix").mapInArrow(_match(window, gram), "id long, start int, h long, dealt boolean"), "matches")
-    sure = judged.filter("not dealt").select("id", "start")
+    judged = cut(sorted_.select("key", "salt", "parts", "id", "place", "before", "suffix").mapInArrow(_match(window, gram), "id long, lo int, hi int, h long, dealt boolean"), "matches")
+    sure = judged.filter("not dealt").select("id", "lo", "hi")
     parts = judged.filter("dealt")
-    first = parts.groupBy("h").agg(F.min(F.struct("id", "start")).alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    later = parts.join(first, "h").filter("f.id <> id or f.start <> start").select("id", "start")
-    starts = sure.unionByName(later).groupBy("id").agg(F.collect_set("start").alias("starts"))
-    marked = known.join(starts, "id", "left").unionByName(texts.filter("id is null"), allowMissingColumns=True)
+    first = parts.groupBy("h").agg(F.min(F.struct("id", "lo")).alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    later = parts.join(first, "h").filter("f.id <> id or f.lo <> lo").select("id", "lo", "hi")
+    runs = sure.unionByName(later).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    marked = known.join(runs, "id", "left").unionByName(texts.filter("id is null"), allowMissingColumns=True)
     return removed_digest(marked, window)
