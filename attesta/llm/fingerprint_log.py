@@ -1,10 +1,11 @@
 """Incremental removal of repeated word windows with a log-structured fingerprint index.
 
-The index is a list of immutable runs, each a table of (key, id, place) bucketed and sorted by the 64-bit fingerprint
-key of a window's anchor (see anchors). A new batch becomes a run; it is merge-joined with the runs of its history, bucket
-by bucket and without a shuffle, to find the fingerprints that more than one place has. Only those places are verified:
-the 20-word windows around them are read from the texts and compared by 128-bit hashes, and each window but the first
-of equal ones is removed. When the runs become too many they are compacted into one.
+The index is a list of immutable runs, each a table of (key, n) bucketed and sorted by the 64-bit fingerprint key of a
+window's anchor (see anchors): one row per key, however many places have it. A new batch becomes a run; it is
+merge-joined with the runs of its history, bucket by bucket and without a shuffle, to find the fingerprints that more
+than one place has. Only those places are verified: the 20-word windows around them are read from the texts and compared
+by 128-bit hashes, and each window but the first of equal ones is removed. When the runs become too many they are
+compacted into one.
 """
 
 from __future__ import annotations
@@ -34,39 +35,34 @@ class FingerprintLog:
     runs: list[str] = field(default_factory=list)
 
     def _write(self, rows: DataFrame) -> str:
+        """Save (key, n), grouped by key. Groups are dealt like buckets where there are as many of them as buckets."""
         name = f"attesta_run_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "key").write.bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
+        if int(self.spark.conf.get("spark.sql.shuffle.partitions")) != self.buckets:
+            rows = rows.repartition(self.buckets, "key")
+        rows.write.bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
         return name
 
-    def add(self, texts: DataFrame) -> str:
-        """Append the run of a batch (id, text); its name."""
-        self.runs.append(self._write(entries(anchor_rows(texts, self.window, self.gram))))
+    def add(self, anchors: DataFrame) -> str:
+        """Append the run of a batch's anchors (key, id, place); its name. Equal keys are counted before they are shuffled."""
+        self.runs.append(self._write(anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n"))))
         return self.runs[-1]
 
-    def repeats(self, new: str) -> DataFrame:
-        """(id, place) of every place whose fingerprint is in the run `new` and in another place of it or of its history."""
-        older = self.runs[: self.runs.index(new)]
+    def repeated(self, new: str) -> DataFrame:
+        """(key), perhaps several times, of each fingerprint that the run `new` has twice, or once and its history too."""
         batch = self.spark.table(new)
-        count = batch.groupBy("key").agg((F.count(F.lit(1)) > 1).alias("twice"))
-        found = []
-        for run in older:
-            keys = self.spark.table(run).select("key").distinct().withColumn("old", F.lit(True))
-            count = count.join(keys, "key", "left").select("key", (F.col("twice") | F.coalesce("old", F.lit(False))).alias("twice"))
-            found.append(self.spark.table(run).join(batch.select("key"), "key", "left_semi"))
-        found.append(batch.join(count.filter("twice"), "key", "left_semi"))
-        out = found[0]
-        for x in found[1:]:
-            out = out.unionByName(x)
-        return out.select("id", "place")
+        found = batch.filter("n > 1").select("key")
+        for run in self.runs[: self.runs.index(new)]:
+            found = found.unionByName(batch.select("key").join(self.spark.table(run).select("key"), "key", "left_semi"))
+        return found
 
     def compact(self) -> None:
-        """Merge all runs into one where there are more than `fanout`."""
+        """Merge all runs into one where there are more than `fanout`. Frames that read the old runs end here."""
         if len(self.runs) <= self.fanout:
             return
         old, rows = self.runs, self.spark.table(self.runs[0])
         for run in old[1:]:
             rows = rows.unionByName(self.spark.table(run))
-        self.runs = [self._write(rows)]
+        self.runs = [self._write(rows.groupBy("key").agg(F.sum("n").alias("n")))]
         for run in old:
             self.spark.sql(f"DROP TABLE {run}")
 
@@ -140,14 +136,16 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, gram: int = 10, batches
     texts = texts_of(docs, id_col, text_col)
     known = texts.filter("id is not null")
     log = FingerprintLog(spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), window, gram)
+    rows = cut(anchor_rows(known, window, gram), "anchors")
     edges = known.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
-    repeats = None
+    repeated = None
     for lo, hi in zip([None, *edges], [*edges, None]):
-        part = known if lo is None else known.filter(F.col("id") > lo)
-        new = log.add(part if hi is None else part.filter(F.col("id") <= hi))
-        found = log.repeats(new)
-        repeats = found if repeats is None else repeats.unionByName(found)
+        part = rows if lo is None else rows.filter(F.col("id") > lo)
+        new = log.add(entries(part if hi is None else part.filter(F.col("id") <= hi)))
+        found = cut(log.repeated(new), "repeated")  # plain files on both sides of the join below, so that hot keys are split
+        repeated = found if repeated is None else repeated.unionByName(found)
         log.compact()
+    repeats = entries(rows).join(repeated, "key", "left_semi").select("id", "place")
     marks = repeated_starts(known, repeats, window, gram)
     rows = known.join(marks, "id", "left").unionByName(texts.filter("id is null"), allowMissingColumns=True)
     out = cut(removed_digest(_starts(rows, window, gram), window), "removed")
