@@ -132,7 +132,7 @@ def remove_passages(docs: DataFrame, *, window: int = 50, gram: int = 25, most:
     known = texts.filter("id is not null")
     rows = cut(anchor_rows(known, window, gram), "anchors")
     found = entries(rows)
-    count = found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    count = cut(found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "counts")  # cut: else the join can't split a hot key
     alike = found.join(count, "key").select("id", "place", F.ceil(F.col("c") / most).cast("int").alias("parts"))
     places = alike.groupBy("id").agg(F.collect_set(F.struct("place", "parts")).alias("places"))
     suffixes = _suffixes(known.join(places, "id"), window, gram)
