@@ -148,32 +148,38 @@ def valid_places(spark, sf_dir):
     return _places(spark, sf_dir).select("event_id", (F.col("lat").between(-90, 90) & F.col("lng").between(-180, 180) & ~island).alias("ok"))
 
 
-# A catalogue over orders in the shape of the record list's filters.
-ORDER_FILTERS = {
-    "q": flt.contains("o_orderpriority"),
-    "min_total": flt.number(lambda x: F.coalesce("o_totalprice", F.lit(0.0)) >= x),
-    "days": flt.number(lambda x: F.col("o_orderdate") >= now() - F.make_interval(days=F.lit(int(x)))),
-    "state": flt.choice({"open": F.col("o_orderstatus") == "O", "done": F.col("o_orderstatus") == "F"}),
-}
-PRESETS = {"fresh": ({"state": "open", "days": "9000"}, "dear"), "urgent": ({"q": "urgent"}, "dear")}
-SORTS = {"dear": [F.desc_nulls_last("o_totalprice"), F.asc("o_orderkey")], "new": [F.desc("o_orderdate"), F.asc("o_orderkey")]}
+def order_filters():
+    """A catalogue over orders in the shape of the record list's filters."""
+    return {
+        "q": flt.contains("o_orderpriority"),
+        "min_total": flt.number(lambda x: F.coalesce("o_totalprice", F.lit(0.0)) >= x),
+        "days": flt.number(lambda x: F.col("o_orderdate") >= now() - F.make_interval(days=F.lit(int(x)))),
+        "state": flt.choice({"open": F.col("o_orderstatus") == "O", "done": F.col("o_orderstatus") == "F"}),
+    }
+
+
+def order_sorts():
+    return {"dear": [F.desc_nulls_last("o_totalprice"), F.asc("o_orderkey")], "new": [F.desc("o_orderdate"), F.asc("o_orderkey")]}
+
+
+PRESETS = {"fresh": ({"state": "open", "days": "9000"}, "dear"), "urgent": ({"q": "urgent"}, "dear")}  # filters, sort
 
 
 @query("P2", "SELECT o_orderkey, 'q,min_total' AS chips FROM orders WHERE contains(lower(o_orderpriority), 'urgent') AND o_totalprice >= 100000")
 def combined_filters(spark, sf_dir):
-    where, chips = flt.build(ORDER_FILTERS, {"q": "URGENT", "min_total": "100000", "state": "none", "other": "1", "days": "x"})
+    where, chips = flt.build(order_filters(), {"q": "URGENT", "min_total": "100000", "state": "none", "other": "1", "days": "x"})
     return table(spark, sf_dir, "orders").filter(where).select("o_orderkey", F.lit(",".join(chips)).alias("chips"))
 
 
 @query("P4", "SELECT o_orderkey, o_totalprice FROM orders WHERE contains(lower(o_orderpriority), 'urgent') ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50")
 def preset(spark, sf_dir):
     params, sort = PRESETS["urgent"]
-    return table(spark, sf_dir, "orders").filter(flt.build(ORDER_FILTERS, params)[0]).orderBy(*flt.order(SORTS, sort, "new")).limit(50).select("o_orderkey", "o_totalprice")
+    return table(spark, sf_dir, "orders").filter(flt.build(order_filters(), params)[0]).orderBy(*flt.order(order_sorts(), sort, "new")).limit(50).select("o_orderkey", "o_totalprice")
 
 
 @query("P6", f"SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '{NOW}' - INTERVAL 9000 DAY AND o_orderstatus = 'O' AND coalesce(o_totalprice, 0) >= 1000 GROUP BY 1")
 def record_filters(spark, sf_dir):
-    where, _ = flt.build(ORDER_FILTERS, {"days": "9000", "state": "open", "min_total": "1000"})
+    where, _ = flt.build(order_filters(), {"days": "9000", "state": "open", "min_total": "1000"})
     return table(spark, sf_dir, "orders").filter(where).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -264,7 +270,7 @@ def queue_note(spark, sf_dir):
 
 @query("L2", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY nullif(o_totalprice, 0) DESC NULLS LAST, o_orderkey LIMIT 30")
 def sorted_records(spark, sf_dir):
-    return table(spark, sf_dir, "orders").orderBy(*flt.order(SORTS, "dear", "new")).limit(30).select("o_orderkey", "o_totalprice")
+    return table(spark, sf_dir, "orders").orderBy(*flt.order(order_sorts(), "dear", "new")).limit(30).select("o_orderkey", "o_totalprice")
 
 
 @query("L4", "SELECT c_custkey, c_name FROM customer ORDER BY lower(c_name), c_custkey LIMIT 20")
