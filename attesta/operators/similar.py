@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from attesta.functions import text as T
-from attesta.functions import vectors as V
 
 
 def shared_elsewhere(rows: DataFrame, digest: str, owner: str) -> DataFrame:
@@ -69,12 +71,69 @@ def cosine_pairs(rows: DataFrame, key: str, vector: str, least: float, block: in
     return dealt.groupBy("i", "j").applyInPandas(compare, "a long, b long, cosine double")
 
 
-def most_similar(rows: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
-    """The k most similar rows for each of a few stated queries (q, qv), itself excluded; queries travel to the rows."""
-    stated = F.broadcast(queries)  # a stated, bounded set
-    scored = rows.join(stated, F.col(key) != F.col("q")).select("q", F.col(key).alias("id"), F.round(V.cosine(F.col(vector), F.col("qv")), 6).alias("cosine"))
+def most_similar(rows: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int = 2048, block_bytes: int = 8 << 20, shares: int = 32) -> DataFrame:
+    """The k most similar rows of every query (q, qv), itself excluded, exactly; of any number of queries.
+
+    Queries go in blocks of about `block` vectors or `block_bytes`, whichever is less, to each of `shares` shares of the
+    rows, which stream past the block; only the k best of a share leave its task. Vectors of unequal lengths, of nothing
+    or with a null have a cosine of 0.
+    """
+    whole = lambda c: F.when(~F.exists(c, lambda x: x.isNull()), F.col(c).cast("array<double>"))
+    held = rows.select(F.col(key).alias("k"), whole(vector).alias("v")).filter("k is not null")
+    stated = queries.select(F.col("q").alias("k"), whole("qv").alias("v")).filter("k is not null")
+    n, longest = stated.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    width = max(longest or 0, held.agg(F.max(F.size("v"))).first()[0] or 0, 1)
+    m = max(1, math.ceil(n / block), math.ceil(n * width * 8 / block_bytes))
+    own = lambda count: F.pmod(F.xxhash64("k"), F.lit(count)).cast("int")
+    left = stated.select("k", "v", F.lit(0).alias("role"), own(m).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("j"))
+    right = held.select("k", "v", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"), own(shares).alias("j"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, asked, best = None, [], None
+
+        def unit(v: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            size = np.array([-1 if n is None else n for n in v.value_lengths().to_pylist()])
+            x = np.zeros((len(size), width))
+            x[np.arange(width) < size[:, None]] = v.flatten().to_numpy(zero_copy_only=False)
+            norm = np.linalg.norm(x, axis=1)
+            return x / np.where(norm == 0, 1, norm)[:, None], size
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if best is not None:
+                order, cosine, ids = best
+                p, q = np.nonzero(order < np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a[0] for a in asked])[p]), pa.array(ids[p, q]), pa.array(cosine[p, q])], ["q", "id", "cosine"])
+
+        for batch in batches:
+            i, j, role = (batch.column(c).to_numpy() for c in (2, 3, 4))
+            edges = np.flatnonzero((np.diff(i) != 0) | (np.diff(j) != 0) | (np.diff(role) != 0)) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+                for a in range(lo, hi, 1024):
+                    part = batch.slice(a, min(1024, hi - a))
+                    if group != (i[a], j[a]):
+                        yield from ended()
+                        group, asked, best = (i[a], j[a]), [], None
+                    ids, (x, size) = part.column(0).to_numpy(zero_copy_only=False), unit(part.column(1))
+                    if role[a] == 0:
+                        asked.append((ids, x, size))
+                        continue
+                    if not asked:
+                        continue
+                    if best is None:
+                        of, y, length = (np.concatenate(z) for z in zip(*asked))
+                    c = np.round(np.where(length[:, None] == size, y @ x.T, 0.0), 6) + 0.0
+                    order = np.where(of[:, None] == ids, np.inf, np.where(np.isnan(c), -np.inf, -c))
+                    now = order, c, np.broadcast_to(ids, c.shape)
+                    now = now if best is None else tuple(np.concatenate(z, axis=1) for z in zip(best, now))
+                    first = np.argsort(now[0], axis=1, kind="stable")[:, :k]  # ids come in order, so ties go to the smallest
+                    best = tuple(np.take_along_axis(z, first, axis=1) for z in now)
+        yield from ended()
+
+    kinds = f"q {queries.schema['q'].dataType.simpleString()}, id {rows.schema[key].dataType.simpleString()}, cosine double"
+    dealt = left.unionByName(right).select("k", "v", "i", "j", "role").repartition("i", "j").sortWithinPartitions("i", "j", "role", "k")
+    scored = dealt.mapInArrow(run, kinds)
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "id"))
-    return scored.withColumn("place", place).filter(F.col("place") <= k).select("q", "id", "cosine")  # kept per task to k rows each before the shuffle
+    return scored.withColumn("place", place).filter(F.col("place") <= k).select("q", "id", "cosine")
 
 
 @F.pandas_udf(DoubleType())

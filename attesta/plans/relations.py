@@ -125,6 +125,16 @@ def nearest(spark, sf_dir):
     return similar.most_similar(e, "vec_id", "embedding", stated, 10)
 
 
+@query("J20_every_50th", """
+WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT q, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 6) AS cosine FROM embeddings JOIN q ON vec_id <> q)
+SELECT q, id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, id) AS r FROM s) WHERE r <= 10""")
+def nearest_of_every_50th(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    stated = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    return similar.most_similar(e, "vec_id", "embedding", stated, 10)
+
+
 @query("J24", """
 WITH o AS (SELECT split_part(p_type, ' ', 1) AS role, p_brand AS grade, l_suppkey AS owner, l_extendedprice AS x FROM lineitem JOIN part ON l_partkey = p_partkey),
 c AS (SELECT role, grade, owner, count(*) AS n, quantile_cont(x, 0.5) AS med FROM o GROUP BY GROUPING SETS ((role, grade, owner), (role, grade), (role))),

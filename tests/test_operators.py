@@ -87,6 +87,36 @@ def test_cosine_pairs_in_blocks_are_all_pairs(spark):
     assert few == many and few
 
 
+def test_search_of_many_queries_in_blocks_is_brute_force(spark):
+    import numpy as np
+
+    data = [(i, [float((i * i * 7 + j * 13) % 17 - 8) for j in range(5)]) for i in range(400)] + [(400, [1.0]), (401, None)]
+    df = spark.createDataFrame(data, "k long, v array<float>")
+    queries = df.filter("k % 50 = 0").select(F.col("k").alias("q"), F.col("v").alias("qv"))
+    few, many = (rows(similar.most_similar(df, "k", "v", queries, 10, block=b)) for b in (1000, 3))
+
+    def cosine(x, y):
+        if not x or not y or len(x) != len(y):
+            return 0.0
+        d = np.linalg.norm(x) * np.linalg.norm(y)
+        return round(float(np.dot(x, y) / d), 6) if d else 0.0
+
+    want = []
+    for q, x in data:
+        if q % 50 == 0:
+            want += [(q, k, -c) for c, k in sorted((-cosine(x, y), k) for k, y in data if k != q)[:10]]
+    near = [(q, k, pytest.approx(c, abs=1e-6)) for q, k, c in sorted(want, key=repr)]
+    assert len(few) == 9 * 10 and few == near and many == near
+
+
+def test_every_50th_vector_is_asked_for(spark):
+    import __spark_entry__ as entry
+
+    asked = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").filter("vec_id % 50 = 0").count()
+    got = entry.queries()["J20_every_50th"](spark, "/root/testdata/sf0.01")
+    assert got.select("q").distinct().count() == asked > 5 and got.count() == 10 * asked
+
+
 def test_cosine_of_unequal_lengths_is_zero(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0]), ([0.0], [0.0])], "a array<double>, b array<double>")
     assert [r[0] for r in df.select(V.cosine(F.col("a"), F.col("b"))).collect()] == [0.0, 0.0]
