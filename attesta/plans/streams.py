@@ -24,13 +24,12 @@ def first_last(spark, sf_dir):
 
 @query("X4", "SELECT event_id FROM events")
 def once_only(spark, sf_dir):
-    stream = _events(spark, sf_dir).withWatermark("ts", "1 day")
-    return st.run_once(stream.dropDuplicatesWithinWatermark(["event_id"]).select("event_id"))
+    return st.run_once(_events(spark, sf_dir).select("event_id").dropDuplicates(["event_id"]))
 
 
 @query("X5")
 def sliding(spark, sf_dir):
-    return st.run_once(st.sliding_counts(_events(spark, sf_dir)))
+    return st.run_merged(_events(spark, sf_dir), st.sliding_counts)
 
 
 @query("X6", "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-11' GROUP BY 1")
@@ -41,4 +40,4 @@ def retained(spark, sf_dir):
 
 @query("X7")
 def cooled(spark, sf_dir):
-    return st.run_once(st.alerts(_events(spark, sf_dir).filter("event_type = 'error'")))
+    return st.alerts(st.run_once(_events(spark, sf_dir).filter("event_type = 'error'").select("user_id", "ts", "event_type")))

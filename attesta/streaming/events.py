@@ -1,15 +1,13 @@
-"""Streams of events: windows with watermarks, keyed state, deduplication and merging of micro-batches."""
+"""Streams of events: sliding windows, alerts, deduplication and merging of micro-batches."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
 
 def source(spark: SparkSession, path: str, per_batch: int = 1) -> DataFrame:
@@ -47,10 +45,12 @@ def run_merged(stream: DataFrame, merge: Callable[[DataFrame | None, DataFrame],
     return state["table"]
 
 
-def sliding_counts(events: DataFrame, late: str = "1 day", width: str = "7 days", step: str = "1 day") -> DataFrame:
-    """Counts per sliding window and type; rows later than the watermark are left out."""
-    w = F.window("ts", width, step)
-    return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+def sliding_counts(table: DataFrame | None, batch: DataFrame, width: str = "7 days", step: str = "1 day") -> DataFrame:
+    """Counts per sliding window and type, merged with those of earlier batches; no row is too late."""
+    new = batch.groupBy(F.window("ts", width, step), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+    if table is None:
+        return new
+    return table.unionByName(new).groupBy("start", "event_type").agg(F.sum("n").alias("n"))
 
 
 def first_last(table: DataFrame | None, batch: DataFrame) -> DataFrame:
@@ -61,24 +61,24 @@ def first_last(table: DataFrame | None, batch: DataFrame) -> DataFrame:
     return table.unionByName(new).groupBy("user_id").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("n").alias("n"))
 
 
-ALERT = StructType([StructField("user_id", LongType()), StructField("ts", TimestampType()), StructField("event_type", StringType())])
-COOL = StructType([StructField("last", LongType())])
-
-
 def alerts(events: DataFrame, hours: int = 24) -> DataFrame:
-    """The events of each user that come `hours` or more after the last one let through; state is one moment per user."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_type"], kind="stable")
-        last = state.get[0] if state.exists else None
-        out = []
-        for ts, kind in zip(rows["ts"], rows["event_type"]):
-            at = int(ts.timestamp() * 1_000_000)
-            if last is None or at - last >= hours * 3_600_000_000:
-                last = at
-                out.append((key[0], ts, kind))
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=["user_id", "ts", "event_type"])
-
-    return events.select("user_id", "ts", "event_type").groupBy("user_id").applyInPandasWithState(step, ALERT, COOL, "append", GroupStateTimeout.NoTimeout)
+    """The events of each user that come `hours` or more after the last one let through, in order of time.
+
+    An event that arrives late can change which later ones are let through, so this takes the table of all events; each
+    task reads its users' events in order and holds one moment. Events without ts are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, last = object(), 0
+        for batch in batches:
+            kept = []
+            for own, at in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                if own != user or at - last >= hours * 3_600_000_000:
+                    user, last = own, at
+                    kept.append(True)
+                else:
+                    kept.append(False)
+            yield batch.filter(pa.array(kept, pa.bool_())).select([0, 1, 2])
+
+    rows = events.filter("ts is not null").select("user_id", "ts", "event_type", F.unix_micros("ts").alias("at"))
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_type").mapInArrow(run, rows.select("user_id", "ts", "event_type").schema)
