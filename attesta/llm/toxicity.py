@@ -2,8 +2,9 @@
 
 A character trigram language model is counted over all documents. Tokens that show signs of disguise (symbols or digits
 among letters, letters repeated three times or more, single letters set apart by spaces) become lattices: each character
-may stand for itself, for the letters it resembles, for nothing, or for a repeat of the one before. Viterbi search
-under the language model gives the likeliest plain word; other tokens have one path only and stay. The restored words
+may stand for itself, for the letters it resembles, for nothing, or for a repeat of the one before, and a space in a run
+of single letters or pieces may end a word or not. Viterbi search under the language model gives the likeliest plain
+words; other tokens have one path only and stay. The restored words
 are matched with a lexicon of words and word beginnings, chosen by greedy set covering on labelled documents, and
 logistic regression turns the matches of a document into its score.
 """
@@ -15,6 +16,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ REPEATED = re.compile(r"(\w)\1\1")
 LETTERS = 27  # a to z, and everything else
 TOKEN_CACHE = 200_000
 WORST = 64  # longer tokens are not words
+GAP, SEAM = "\uf8fe", "\uf8ff"  # a space that a word may run across: between single characters, and elsewhere
+GAPS = {GAP: [(" ", 0.0), ("", 0.0)], SEAM: [(" ", 0.0), ("", -2.0)]}
 
 
 def plain(c: str) -> str:
@@ -78,34 +82,45 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 
 def decode(token: str, lm: np.ndarray) -> str:
-    """The likeliest plain form of a token: best path through the lattice of what each character may stand for."""
-    states = {(26, 26, ""): 0.0}
+    """The likeliest plain form of a token: best path through the lattice of what each character may stand for.
+
+    A GAP or SEAM is a word end or nothing. Exact: one best path, with back pointers, per two letters before and last
+    character put out, which is all that later steps depend on.
+    """
+    states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(26, 26, ""): (0.0, None)}
     for c in token:
         base = plain(c)
         choices: list[tuple[str, float]] = []
-        if len(base) == 1 and "a" <= base <= "z":
+        if c in GAPS:
+            choices += GAPS[c]
+        elif len(base) == 1 and "a" <= base <= "z":
             choices.append((c.lower(), -0.05))
         else:
             choices += [(x, -1.0) for x in LOOKALIKES.get(c, "")]
             choices.append(("", -1.0) if c in FILLERS or not c.isalnum() else ("", -6.0))
             if not choices[0][0]:
                 choices.append((c, -8.0))
-        now: dict[tuple[int, int, str], float] = {}
-        for (a, b, out), p in states.items():
+        now: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
+        for (a, b, last), (p, path) in states.items():
             for x, cost in choices:
+                ways = []
                 if x:
+                    if last == x:  # a repeat of the letter before
+                        ways.append(((a, b, last), p - 1.5, path))
                     k = letter_class(x)
-                    if out and out[-1] == x:  # a repeat of the letter before
-                        key = (a, b, out)
-                        now[key] = max(now.get(key, -1e18), p - 1.5)
-                    key, q = (b, k, out + x), p + cost + lm[a, b, k]
+                    ways.append(((b, k, x), p + cost + lm[a, b, k], (path, x)))
                 else:
-                    key, q = (a, b, out), p + cost
-                if q > now.get(key, -1e18):
-                    now[key] = q
-        states = dict(sorted(now.items(), key=lambda s: (-s[1], s[0]))[:48])
-    ended = {out: p + lm[a, b, 26] for (a, b, out), p in states.items()}
-    return min(ended, key=lambda o: (-ended[o], o))
+                    ways.append(((a, b, last), p + cost, path))
+                for key, q, way in ways:
+                    if key not in now or q > now[key][0]:
+                        now[key] = (q, way)
+        states = now
+    path = max(((p + lm[a, b, 26], path) for (a, b, _), (p, path) in states.items()), key=lambda x: x[0])[1]
+    out = []
+    while path:
+        path, x = path
+        out.append(x)
+    return "".join(reversed(out))
 
 
 def disguised(token: str) -> bool:
@@ -149,6 +164,34 @@ def spaced(tokens: list[str]) -> list[str]:
     return out
 
 
+def lone(token: str) -> bool:
+    """Whether a token is one character that can be a letter."""
+    core = token.strip(EDGES) or token
+    return len(core) == 1 and (core.isalpha() or core in LOOKALIKES)
+
+
+def respaced(tokens: list[str], lm: np.ndarray, singles: list[int] | None = None) -> Iterator[str]:
+    """The words of each run of two or more one-character tokens, with a short piece before and after it.
+
+    The language model chooses which spaces end a word. singles: the places of the one-character tokens, in order.
+    """
+    places = [i for i, t in enumerate(tokens) if lone(t)] if singles is None else singles
+    at = 0
+    while at < len(places):
+        end = at
+        while end + 1 < len(places) and places[end + 1] == places[end] + 1:
+            end += 1
+        if end > at:
+            lo, hi = places[at], places[end] + 1
+            text = GAP.join(t.strip(EDGES) or t for t in tokens[lo:hi])
+            if lo and len(tokens[lo - 1]) < 6:
+                text = tokens[lo - 1].strip(EDGES) + SEAM + text
+            if hi < len(tokens) and len(tokens[hi]) < 6:
+                text += SEAM + tokens[hi].strip(EDGES)
+            yield from decode(text, lm).split()
+        at = end + 1
+
+
 def word_features(w: str) -> list[str]:
     """A word, and its beginnings of four to six letters."""
     return [f"={w}", *(f"^{w[:n]}" for n in (4, 5, 6) if len(w) > n - 1)]
@@ -167,6 +210,7 @@ def document_words(text: str, lm: np.ndarray, cache: dict[str, list[str]]) -> It
     for run in spaced(tokens):
         yield from restored(run, lm)
         yield run.lower()
+    yield from respaced(tokens, lm)
 
 
 @dataclass(frozen=True)
@@ -175,6 +219,11 @@ class ToxicModel:
     lexicon: dict[str, float]
     weights: tuple[float, ...]
 
+    @cached_property
+    def heads(self) -> frozenset[str]:
+        """The beginnings of the lexicon's words and beginnings, themselves left out."""
+        return frozenset(f[1:n] for f in self.lexicon for n in range(2, len(f)))
+
 
 def summary(hits: list[float], distinct: int, words: int) -> list[float]:
     """What a document's lexicon matches come to."""
@@ -183,35 +232,65 @@ def summary(hits: list[float], distinct: int, words: int) -> list[float]:
 
 def _matches(text: str, model: ToxicModel, cache: dict[str, tuple]) -> tuple[list[float], int, int]:
     tokens = text.split()
-    hits, seen, single = [], set(), 0
-    for t in tokens:
-        found = cache.get(t)
-        if found is None:
-            found = _token_match(t, model)
+    hits, seen, singles, heads = [], set(), [], []
+    for i, t in enumerate(tokens):
+        got = cache.get(t)
+        if got is None:
+            core = (t.strip(EDGES) or t).lower()
+            got = _token_match(t, model), lone(t), core if core in model.heads else ""
             if len(cache) < TOKEN_CACHE:
-                cache[t] = found
+                cache[t] = got
+        found, single, head = got
         if found:
-            if found[1]:
-                hits.append(found[0])
-                seen.add(found[1])
-            else:
-                single += 1
-    if single >= 4:
-        for run in spaced(tokens):
-            found = _token_match(run, model, True)
-            if found and found[1]:
-                hits.append(found[0])
-                seen.add(found[1])
+            hits.append(found[0])
+            seen.add(found[1])
+        if single:
+            singles.append(i)
+        if head:
+            heads.append((i, head, single))
+    more = [f for w in respaced(tokens, model.lm, singles) if (f := _best([w], model))] if len(singles) > 1 else []
+    more += [f for i, head, single in heads if (f := _joined(tokens, i, head, single, model))]
+    if len(singles) >= 4:
+        more += [f for run in spaced(tokens) if (f := _token_match(run, model, True))]
+    if more:
+        # A word may be found in more than one way: each way counts a feature as often as it finds it, the most counts.
+        for f in {f for _, f in more} - seen:
+            hits.append(model.lexicon[f])
+            seen.add(f)
     return hits, len(seen), len(tokens)
 
 
+def _best(words: list[str], model: ToxicModel) -> tuple:
+    """(weight, feature) of the best match of any of the words; else ()."""
+    return max(((model.lexicon[f], f) for w in words for f in word_features(w) if f in model.lexicon), default=())
+
+
+def _joined(tokens: list[str], i: int, word: str, single: bool, model: ToxicModel) -> tuple:
+    """The match of a word that is cut into pieces by spaces and begins with token i, where the language model joins them."""
+    pieces, had = [word], len(word)
+    for t in tokens[i + 1 :]:
+        core = (t.strip(EDGES) or t).lower()
+        if single and lone(t):
+            return ()  # a run of single characters: see respaced
+        pieces.append(core)
+        word, single = word + core, False
+        if any(f in model.lexicon for f in word_features(word) if len(f) - 1 > had) and " " not in decode(SEAM.join(pieces), model.lm):
+            return _best([word], model)
+        if word not in model.heads:
+            return ()
+        had = len(word)
+    return ()
+
+
 def _token_match(token: str, model: ToxicModel, joined: bool = False) -> tuple:
-    """(weight, feature) of a token's best match; (0, "") of a lone character; else ()."""
+    """(weight, feature) of a token's best match; else ()."""
     words = restored(token, model.lm)
+    core = token.strip(EDGES)
     if joined:
         words += [token.lower(), decode(token, model.lm)]
-    best = max(((model.lexicon[f], f) for w in words for f in word_features(w) if f in model.lexicon), default=None)
-    return best or ((0.0, "") if len(token.strip(EDGES) or token) == 1 else ())
+    elif 3 <= len(core) <= WORST and any(map(str.isalpha, core)) and any(c in LOOKALIKES for c in core) and not disguised(token):
+        words.append(decode(core, model.lm))  # few letters among other characters; a disguise only if it gives a known word
+    return _best(words, model)
 
 
 def _newton(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 30) -> np.ndarray:
