@@ -31,6 +31,7 @@ LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7":
 FILLERS = frozenset(".-_*~^'`·/\\,:;​‌‍⁠﻿")
 EDGES = "".join(sorted(set("\"'()[]{}<>.,;:!?*_~`-|#$%&+=/\\@^«»“”‘’…¿¡")))
 REPEATED = re.compile(r"(\w)\1\1")
+LONG_RUN = re.compile(r"(.)\1{3,}", re.S)
 LETTERS = 27  # a to z, and everything else
 TOKEN_CACHE = 200_000
 WORST = 64  # longer tokens are not words
@@ -138,6 +139,7 @@ def disguised(token: str) -> bool:
 def restored(token: str, lm: np.ndarray) -> list[str]:
     """The plain words that a token may be: itself, and its decoded form if it looks disguised."""
     out = [token.strip(EDGES).lower()]
+    token = LONG_RUN.sub(r"\1\1\1", token)  # stretched words are no longer than others
     if disguised(token):
         for t in {token, token.strip(EDGES + "!")}:
             w = decode(t, lm)
@@ -338,8 +340,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", folds
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], ["f"])
 
     toxic = picked.filter("y = 1").select("text").mapInArrow(of_toxic, "f array<string>")
-    wide = toxic.select(F.explode("f").alias("f")).groupBy("f").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "f").limit(50_000)
-    candidates = frozenset(r["f"] for r in wide.collect())  # 50,000 at most
+    wide = toxic.select(F.explode("f").alias("f")).groupBy("f").count().filter(F.col("count") >= least)
+    candidates = frozenset(r["f"] for r in wide.collect())  # each in `least` of the sample's toxic rows
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}

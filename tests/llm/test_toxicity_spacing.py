@@ -22,3 +22,39 @@ def test_found(model, text):
 @pytest.mark.parametrize("text", ["c l a s s", "you are in a class", "the list of us", "2024 517 100", "a b c", ""])
 def test_clean(model, text):
     assert not X._matches(text, model, {})[0]
+
+
+def test_stretched_words_are_found(model):
+    for text in ("i" * 80 + "diot", "id" + "-" * 70 + "iot"):
+        assert X._matches(text, model, {})[0]
+
+
+def test_decode_is_the_best_of_all_paths(model):
+    """Brute force over all paths of ambiguous tokens, scored as the lattice is."""
+    from itertools import product
+
+    def score(token, picks):
+        a = b = 26
+        last, p = "", 0.0
+        for x, cost, repeat in picks:
+            if repeat:
+                if x != last:
+                    return -1e18
+                p -= 1.5
+            elif x:
+                k = X.letter_class(x)
+                p, a, b, last = p + cost + model.lm[a, b, k], b, k, x
+            else:
+                p += cost
+        return p + model.lm[a, b, 26]
+
+    for token in ("1|1|1|1|1", "1d1|1o+|"):
+        ways = []
+        for c in token:
+            if c.isalpha():
+                one = [(c, -0.05, False)]
+            else:
+                one = [(x, -1.0, False) for x in X.LOOKALIKES[c]] + [("", -6.0 if c.isalnum() else -1.0, False)]
+            ways.append(one + [(x, 0.0, True) for x, _, _ in one if x])
+        best = max(((score(token, w), "".join(x for x, _, r in w if not r)) for w in product(*ways)), key=lambda s: s[0])
+        assert X.decode(token, model.lm) == best[1]
