@@ -17,9 +17,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.llm.common import WordHashes, cut, gram_hashes, mix, texts_of
@@ -218,12 +219,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs, with all their columns, one of each component: that of the smallest id.
 
-    Of rows that share an id one stays; rows without id all stay. See near_duplicates.
+    Of rows that share an id and have equal shingle sets one stays, the first by text and then by all columns; rows that
+    share an id and have different sets all stay or go. Rows without id all stay. See near_duplicates.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     ids = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
     known = docs.filter(F.col(f"`{id_col}`").isNotNull())
-    kept = known.join(ids, known[id_col].cast("long") == ids["__id"], "left_semi").dropDuplicates([id_col])
+    kept = known.join(ids, known[id_col].cast("long") == ids["__id"], "left_semi")
+    n = options.get("shingle", 5)
+
+    @F.pandas_udf("string")
+    def digest(texts: pd.Series) -> pd.Series:
+        hashes = WordHashes()
+        return texts.map(lambda t: "" if t is None else xxhash.xxh3_128_hexdigest(shingle_set(t, n, hashes).tobytes()))
+
+    rows = kept.withColumn("__c", F.count(F.lit(1)).over(Window.partitionBy(F.col(f"`{id_col}`"))))
+    some = lambda x: F.when(F.col("__c") > 1, x)
+    rows = rows.withColumns({"__set": digest(some(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))), "__all": some(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns))))})
+    place = F.row_number().over(Window.partitionBy(F.col(f"`{id_col}`"), "__set").orderBy(F.col(f"`{text_col}`"), "__all"))
+    kept = rows.withColumn("__place", place).filter("__place = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
     return kept.unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
 
 
