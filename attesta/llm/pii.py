@@ -194,7 +194,7 @@ def training_windows(text: str, seed: int, most: int = 2) -> list[tuple[bytes, b
     r, out = np.random.default_rng(seed), []
     base = base_spans(text)
     runs = stretches(text)
-    for k in r.permutation([w for a, b in runs for w in range(a, b + 1)][: 50 * most])[:most]:
+    for k in r.permutation([w for a, b in runs for w in range(a, b + 1)])[:most]:
         lo = max(0, k * STEP - MARGIN)
         hi = min(len(text), lo + SIZE)
         own = [s for s in base if s[0] < hi and s[1] > lo]

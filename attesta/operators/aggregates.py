@@ -83,14 +83,24 @@ def decayed_axis(rows: DataFrame, by: list[str], weight: Column, months: Column,
     return rows.groupBy(*by).agg(F.round(F.lit(cap) * (1 - F.exp(-total / scale)), 4).alias("axis"), F.count(F.lit(1)).alias("n"))
 
 
-def auroc(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """One row: the area under the ROC curve, ties counting half, from counts per distinct score."""
-    per = rows.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    totals = per.agg(F.sum("p").alias("tp"), F.sum("n").alias("tn")).first()
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+def auroc(rows: DataFrame, score: str, label: str, ranges: int = 200) -> DataFrame:
+    """One row: the area under the ROC curve, ties counting half, from counts per distinct score.
+
+    The scores are ranked within ranges of about equal size; the totals of the ranges, a few numbers each, give the offsets.
+    """
+    value = F.col(score).cast("double")
+    edges = sorted(set(rows.select(value.alias("s")).approxQuantile("s", [i / ranges for i in range(1, ranges)], 0.5 / ranges)))
+    bucket = F.when(F.col("s").isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("s").cast("double"))) if edges else F.lit(0))
+    per = rows.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).withColumn("bucket", bucket)
+    totals = sorted(tuple(r) for r in per.groupBy("bucket").agg(F.sum("p"), F.sum("n")).collect())  # one row a range
+    offsets, before = {}, 0
+    for k, _, n in totals:
+        offsets[k], before = before, before + n
+    pairs = float(sum(t[1] for t in totals) * before)
+    offset = F.element_at(F.create_map(*(F.lit(x) for kv in offsets.items() for x in kv)), F.col("bucket")) if offsets else F.lit(0)
+    within = F.sum("n").over(Window.partitionBy("bucket").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
     area = F.sum(F.col("p") * F.col("below") + F.col("p") * F.col("n") * 0.5)
-    pairs = float((totals["tp"] or 0) * (totals["tn"] or 0))
-    return per.withColumn("below", below).agg(F.round(area / F.nullif(F.lit(pairs), F.lit(0.0)), 6).alias("auroc"))
+    return per.withColumn("below", F.coalesce(within, F.lit(0)) + offset).agg(F.round(area / F.nullif(F.lit(pairs), F.lit(0.0)), 6).alias("auroc"))
 
 
 def threshold_grid(rows: DataFrame, score: str, label: str, limits: list[float]) -> DataFrame:

@@ -39,6 +39,17 @@ def test_auroc_counts_ties_half(spark):
     assert agg.auroc(df, "s", "y").first()[0] == pytest.approx(0.875)
 
 
+def test_auroc_of_continuous_scores_is_ranked_in_ranges(spark):
+    data = [((i * 7919 % 1009) / 1009, int(i * 31 % 97 < 40)) for i in range(1009)] + [(None, 1), (float("nan"), 0)]
+    area = agg.auroc(spark.createDataFrame(data, "s double, y int"), "s", "y")
+    key = lambda s: (0, 0.0) if s is None else (2, 0.0) if s != s else (1, s)
+    up, down = [key(s) for s, y in data if y], [key(s) for s, y in data if not y]
+    want = sum((u > d) + 0.5 * (u == d) for u in up for d in down) / len(up) / len(down)
+    assert area.first()[0] == pytest.approx(want, abs=1e-6)
+    window = next(x for x in str(area._jdf.queryExecution().optimizedPlan()).splitlines() if "Window" in x)
+    assert ", [bucket#" in window
+
+
 def test_filters_ignore_what_they_do_not_know(spark):
     df = spark.createDataFrame([("Abc%", 5.0), ("xyz", None)], "name string, price double")
     cat = {"q": flt.contains("name"), "min": flt.number(lambda x: F.col("price") >= x), "kind": flt.choice({"a": F.lit(False)})}
