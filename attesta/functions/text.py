@@ -70,3 +70,16 @@ def strip_html(html: Column) -> Column:
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         x = F.replace(x, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(x, r"\s+", " "))
+
+
+def plain_record(html: Column) -> Column:
+    """The normal form of a record's text: no tags, the usual entities read, lower case, ё as е, single spaces."""
+    x = F.lower(F.regexp_replace(html, r"<[^>]+>", " "))
+    for old, new in (("&nbsp;", " "), ("&amp;", "&"), ("ё", "е")):
+        x = F.replace(x, F.lit(old), F.lit(new))
+    return F.trim(F.regexp_replace(x, r"\s+", " "))
+
+
+def containment(a: Column, b: Column) -> Column:
+    """The share of the smaller set that both have; 0 where one is empty."""
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))).otherwise(F.lit(0.0))

@@ -1,69 +1,15 @@
-"""Text quality of records: generated-text features, injected instructions, legitimacy and claims, as column expressions."""
+"""Small column functions on the texts of records."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from attesta.functions.text import words
-
-# Marks of instructions that a text addresses to its reader's tools.
-COMMANDS = r"(?i)\b(ignore|disregard|forget)\b[^.\n]{0,40}\b(previous|above|prior|all)\b"
-MARKUP = r"(?i)<\s*(system|assistant|instructions?)\b|\[/?inst\]"
-BASE64 = r"[A-Za-z0-9+/]{80,}={0,2}"
-INVISIBLE = "[​‌‍⁠﻿]"
-
-
-def sentence_lengths(text: Column) -> Column:
-    """Words of each sentence."""
-    parts = F.filter(F.split(text, r"[.!?]+\s*"), lambda s: F.trim(s) != "")
-    return F.transform(parts, lambda s: F.size(F.filter(F.split(F.trim(s), r"\s+"), lambda w: w != "")))
-
 
 def variation(values: Column) -> Column:
-    """The population standard deviation over the mean of an array; 0 of nothing."""
-    n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / n
-    spread = F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n)
-    return F.when((n > 0) & (mean > 0), spread / mean).otherwise(F.lit(0.0))
-
-
-def generated_features(text: Column) -> dict[str, Column]:
-    """Signs of generated text: evenness, variety, marks and digits per thousand characters."""
-    n = F.greatest(F.length(text), F.lit(1))
-    w = words(text)
-    return {
-        "variety": F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w)).otherwise(F.lit(0.0)),
-        "bullets": F.regexp_count(text, F.lit(r"(?m)^\s*[-*•]\s")),
-        "dashes": F.regexp_count(text, F.lit("[—–]")) * 1000.0 / n,
-        "digits": F.regexp_count(text, F.lit("[0-9]")) * 1000.0 / n,
-        "commas": F.regexp_count(text, F.lit(",")) * 1000.0 / n,
-    }
-
-
-def weighted_verdict(signs: Mapping[str, tuple[Column, float]], scale: float, low: float, high: float, names: tuple[str, str, str]) -> tuple[Column, Column]:
-    """(score, label): the weights of the signs present over scale, at most 1, and its band."""
-    total = F.lit(0.0)
-    for sign, weight in signs.values():
-        total = total + F.when(sign, F.lit(weight)).otherwise(F.lit(0.0))
-    score = F.least(F.lit(1.0), total / scale)
-    return score, F.when(score >= high, names[2]).when(score >= low, names[1]).otherwise(names[0])
-
-
-def injections(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line, code, level) of each suspicious line."""
-    lines = rows.select(key, F.posexplode(F.split(text, "\n")).alias("line", "t"))
-    rules = {"command": (COMMANDS, "red"), "markup": (MARKUP, "red"), "base64": (BASE64, "yellow"), "invisible": (INVISIBLE, "yellow")}
-    found = F.array_compact(F.array(*(F.when(F.col("t").rlike(p), F.struct(F.lit(c).alias("code"), F.lit(level).alias("level"))) for c, (p, level) in rules.items())))
-    return lines.select(key, "line", F.explode(found).alias("f")).select(key, "line", "f.code", "f.level")
-
-
-def clean_injections(text: Column) -> Column:
-    """The text without its suspicious lines."""
-    bad = "|".join(f"(?:{p})" for p in (COMMANDS, MARKUP, BASE64))
-    return F.array_join(F.filter(F.split(text, "\n"), lambda t: ~t.rlike(bad)), "\n")
+    """The population standard deviation over the mean of an array; 0 of nothing. One pass."""
+    sums = F.aggregate(values, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")), lambda s, x: F.struct((s["a"] + x).alias("a"), (s["b"] + x * x).alias("b")), lambda s: F.when(s["a"] > 0, F.sqrt(F.greatest(F.size(values) * s["b"] / (s["a"] * s["a"]) - 1, F.lit(0.0)))).otherwise(F.lit(0.0)))
+    return F.coalesce(sums, F.lit(0.0))
 
 
 def quote(text: Column, marker: str, before: int = 30, after: int = 60) -> Column:

@@ -10,7 +10,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from attesta.functions import text as T
 
@@ -134,21 +133,3 @@ def most_similar(rows: DataFrame, key: str, vector: str, queries: DataFrame, k:
     scored = dealt.mapInArrow(run, kinds)
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "id"))
     return scored.withColumn("place", place).filter(F.col("place") <= k).select("q", "id", "cosine")
-
-
-@F.pandas_udf(DoubleType())
-def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """100 times the share of characters in common order between the sorted words of two names."""
-
-    def ratio(x: str | None, y: str | None) -> float:
-        p, q = " ".join(sorted((x or "").split())), " ".join(sorted((y or "").split()))
-        if not p and not q:
-            return 0.0
-        row = [0] * (len(q) + 1)
-        for c in p:  # longest common subsequence
-            before, row[0] = row[:], 0
-            for j, d in enumerate(q):
-                row[j + 1] = before[j] + 1 if c == d else max(row[j], before[j + 1])
-        return round(200.0 * row[-1] / (len(p) + len(q)), 4)
-
-    return pd.Series([ratio(x, y) for x, y in zip(a, b)])

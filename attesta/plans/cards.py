@@ -62,16 +62,6 @@ def signals_of(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "quality", "toxic")
 
 
-@query("J23", """
-SELECT c_custkey AS id, coalesce(s.s_name, n.n_name, c_name) AS canonical FROM customer
-LEFT JOIN supplier s ON s_suppkey = c_custkey LEFT JOIN nation n ON n_nationkey = c_custkey % 50""")
-def canonical_name(spark, sf_dir):
-    exact = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), "s_name")
-    near = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), "n_name")
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name", (F.col("c_custkey") % 50).alias("k"))
-    return rows.join(exact, "id", "left").join(near, "k", "left").select("id", F.coalesce("s_name", "n_name", "c_name").alias("canonical"))
-
-
 def _even_lengths(spark, sf_dir):
     """(source, n_chars, partners): how many of a source have 90 to 100 % of the length.
 
@@ -240,17 +230,6 @@ def worst_level(spark, sf_dir):
     return found.select("key", F.when(F.col("veto"), "veto").when(F.col("n") < 2, "unknown").when(F.col("red"), "red").when(F.col("yellow"), "yellow").otherwise("green").alias("level"))
 
 
-@query("A38", """
-SELECT code, count(*) AS n, list_sort(list(doc_id ORDER BY doc_id))[1:3] AS first FROM documents, (VALUES ('data'), ('time'), ('people')) v(code)
-WHERE contains(lower(text), code) GROUP BY 1""")
-def pattern_counts(spark, sf_dir):
-    low = F.lower("text")
-    codes = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(m)), F.lit(m)) for m in MARKERS)))
-    hits = table(spark, sf_dir, "documents").select("doc_id", F.explode(codes).alias("code"))
-    first = hits.withColumn("r", F.row_number().over(Window.partitionBy("code").orderBy("doc_id"))).filter("r <= 3").groupBy("code").agg(F.sort_array(F.collect_list("doc_id")).alias("first"))
-    return hits.groupBy("code").agg(F.count(F.lit(1)).alias("n")).join(first, "code")
-
-
 @query("A43", "SELECT count(*) AS total, count(*) FILTER (quality IS NOT NULL AND toxic IS NOT NULL) AS covered, count(*) FILTER (quality = 1 - toxic) AS agreed FROM labels")
 def agreement(spark, sf_dir):
     both = F.col("quality").isNotNull() & F.col("toxic").isNotNull()

@@ -33,23 +33,11 @@ def semi_join(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(want, "c_custkey", "left_semi").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
 
 
-@query("S6")
-def state_records(spark, sf_dir):
-    doc = F.to_json(F.struct(F.array(F.struct(F.col("page_id").alias("id"), F.col("url").alias("title"), F.struct(F.lit("x").alias("name")).alias("company"))).alias("items")))
-    pages = table(spark, sf_dir, "pages").select("page_id", doc.alias("state"))
-    return src.tree_records(pages, "page_id", "state").select("page", "key", "title", "company")
-
-
 @query("S8", """SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]+)"', 1))) AS link FROM pages""")
 def page_links(spark, sf_dir):
     return src.links(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@query("S14", "SELECT event_id, CASE WHEN value * 5 / 100 > 0 AND value * 5 / 100 <= 5 THEN round(value * 5 / 100, 6) END AS rating FROM events")
-def rescaled(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.round(src.rating5(F.col("value"), F.lit(100.0)), 6).alias("rating"))
-
-
 @query("S15", r"""
 SELECT page_id, unnest(range(len(p)))::INT AS idx, unnest(p) AS html FROM (SELECT page_id, CASE WHEN len(a) > 0 THEN a WHEN len(l) > 0 THEN l ELSE q END AS p FROM (
   SELECT page_id, regexp_extract_all(html, '(?s)<article\b.*?</article>') AS a, regexp_extract_all(html, '(?s)<li\b[^>]*class="[^"]*review[^"]*".*?</li>') AS l, regexp_extract_all(html, '(?s)<p\b[^>]*>.*?</p>') AS q FROM pages))""")
@@ -62,16 +50,3 @@ def json_lines(spark, sf_dir):
     path = f"{shared(spark)}/events-{uuid.uuid4().hex}"
     table(spark, sf_dir, "events").select("event_id", "event_type").write.json(path)
     return src.read_lines(spark, path, "event_id long, event_type string").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("S18", "SELECT count(*) AS n FROM documents")
-def split_sink(spark, sf_dir):
-    path = f"{shared(spark)}/sets-{uuid.uuid4().hex}"
-    src.write_lines(table(spark, sf_dir, "documents").select("doc_id", "lang"), path, "doc_id")
-    return spark.read.schema("doc_id long, lang string").json([f"{path}/train", f"{path}/val"]).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("S22", "SELECT 'INFO' AS level, event_type || ' N' AS message, count(*) AS n FROM events WHERE event_id >= 100 GROUP BY 2")
-def log_lines(spark, sf_dir):
-    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" INFO "), "event_type", F.lit(" "), F.col("event_id").cast("string"))
-    return src.log_summary(table(spark, sf_dir, "events").filter("event_id >= 100").select(line.alias("value"))).drop("last")

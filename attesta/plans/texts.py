@@ -50,47 +50,6 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
 
 
-@query("T10", "SELECT doc_id, regexp_replace(translate(text, '013457', 'oieast'), '[​‌‍⁠﻿]', '', 'g') AS plain FROM documents")
-def undisguised(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.regexp_replace(F.translate("text", "013457", "oieast"), review.INVISIBLE, "").alias("plain"))
-
-
-@query("T12", r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents),
-f AS (SELECT doc_id, line, 'command' AS code, 'red' AS level FROM l WHERE regexp_matches(t, '(?i)\b(ignore|disregard|forget)\b[^.\n]{0,40}\b(previous|above|prior|all)\b')
-UNION ALL SELECT doc_id, line, 'markup', 'red' FROM l WHERE regexp_matches(t, '(?i)<\s*(system|assistant|instructions?)\b|\[/?inst\]')
-UNION ALL SELECT doc_id, line, 'base64', 'yellow' FROM l WHERE regexp_matches(t, '[A-Za-z0-9+/]{80,}={0,2}')
-UNION ALL SELECT doc_id, line, 'invisible', 'yellow' FROM l WHERE regexp_matches(t, '[​‌‍⁠﻿]'))
-SELECT doc_id, line::INT AS line, code, level FROM f""")
-def injected(spark, sf_dir):
-    return review.injections(_docs(spark, sf_dir), "doc_id", "text")
-
-
-@query("T13", r"""
-SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda t: NOT regexp_matches(t, '(?i)\b(ignore|disregard|forget)\b[^.\n]{0,40}\b(previous|above|prior|all)\b|<\s*(system|assistant|instructions?)\b|\[/?inst\]|[A-Za-z0-9+/]{80,}={0,2}')), chr(10)) AS text FROM documents""")
-def cleaned(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", review.clean_injections(F.col("text")).alias("text"))
-
-
-@query("T17", rf"""
-SELECT doc_id, round(CASE WHEN len({_WORDS}) > 0 THEN len(list_distinct({_WORDS})) / len({_WORDS})::DOUBLE ELSE 0 END, 6) AS variety,
-  len(regexp_extract_all(text, '(?m)^\s*[-*•]\s'))::INT AS bullets, round(len(regexp_extract_all(text, '[—–]')) * 1000.0 / greatest(length(text), 1), 4) AS dashes,
-  round(len(regexp_extract_all(text, '[0-9]')) * 1000.0 / greatest(length(text), 1), 4) AS digits, round(len(regexp_extract_all(text, ',')) * 1000.0 / greatest(length(text), 1), 4) AS commas FROM documents""")
-def features(spark, sf_dir):
-    f = review.generated_features(F.col("text"))
-    return _docs(spark, sf_dir).select("doc_id", *(F.round(c, 6 if k == "variety" else 4).alias(k) if k != "bullets" else c.alias(k) for k, c in f.items()))
-
-
-@query("T16", """
-WITH s AS (SELECT doc_id, least(1, ((length(text) - length(replace(text, ',', '')) > 40)::INT * 2.0 + (position('!!' IN text) > 0)::INT * 3.0 + (position('|' IN text) > 0)::INT * 2.5) / 6) AS score FROM documents)
-SELECT doc_id, round(score, 4) AS score, CASE WHEN score >= 0.6 THEN 'yes' WHEN score >= 0.35 THEN 'maybe' ELSE 'no' END AS label FROM s""")
-def verdicts(spark, sf_dir):
-    t = F.col("text")
-    signs = {"commas": (F.length(t) - F.length(F.replace(t, F.lit(","), F.lit(""))) > 40, 2.0), "shouts": (F.contains(t, F.lit("!!")), 3.0), "bars": (F.contains(t, F.lit("|")), 2.5)}
-    score, label = review.weighted_verdict(signs, 6.0, 0.35, 0.6, ("no", "maybe", "yes"))
-    return _docs(spark, sf_dir).select("doc_id", F.round(score, 4).alias("score"), label.alias("label"))
-
-
 @query("T18", r"SELECT doc_id, (len(regexp_extract_all(lower(text), '\bidiot\b')) - len(regexp_extract_all(lower(text), '\b(?:not|no|never)\s+idiot\b')))::INT AS n FROM documents")
 def negation_aware(spark, sf_dir):
     low = F.lower("text")
@@ -162,15 +121,6 @@ def verified_quotes(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("quoted", F.lit(0)).alias("quoted"))
 
 
-@query("T38")
-def name_ratios(spark, sf_dir):
-    from attesta.operators.similar import token_sort_ratio
-
-    n = table(spark, sf_dir, "nation").select("n_regionkey", "n_name")
-    m = n.select("n_regionkey", F.col("n_name").alias("other"))
-    return n.join(m, "n_regionkey").filter("n_name < other").select("n_name", "other", token_sort_ratio("n_name", "other").alias("ratio"))
-
-
 @query("T40", """SELECT event_id, sha256('{"user":' || user_id || ',"type":"' || event_type || '"}') AS digest FROM events""")
 def digests(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.sha2(F.to_json(F.struct(F.col("user_id").alias("user"), F.col("event_type").alias("type"))), 256).alias("digest"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html as html_lib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,49 +13,123 @@ from pyspark.sql import functions as F
 RECORD = "key string, title string, company string, url string, low double, high double"
 
 
-def first_of(node: dict, names: tuple[str, ...]):
-    """The first of a node's fields that isn't empty; of a node with a name, the name."""
-    for name in names:
-        value = node.get(name)
-        if isinstance(value, dict):
-            value = value.get("name") or value.get("text") or value.get("value")
-        if value not in (None, "", [], {}):
-            return value
-    return None
+def _plain(value):
+    """What a field says: of a node, its name; nothing of an empty value."""
+    if isinstance(value, dict):
+        value = next((value[k] for k in ("name", "text", "value") if value.get(k)), None)
+    return None if value is None or value == "" or value == [] else value
 
 
-def tree_records(pages: DataFrame, key: str, state: str, most: int = 200_000) -> DataFrame:
-    """Records found anywhere in a page's JSON state: nodes that have an id and a title; at most `most` nodes are visited.
+def _named(node: dict, *fields: str):
+    return next((v for v in (_plain(node.get(f)) for f in fields) if v is not None), None)
 
-    State that isn't JSON gives no records. The search has no fixed paths, so it runs as Python over Arrow batches.
-    """
 
-    def search(text: str | None) -> Iterator[tuple]:
-        try:
-            queue = [json.loads(text)] if text else []
-        except ValueError:
-            return
-        seen = 0
-        while queue and seen < most:
-            node, seen = queue.pop(0), seen + 1
-            if isinstance(node, list):
-                queue.extend(node)
-            elif isinstance(node, dict):
-                ident, title = first_of(node, ("id", "vacancyId", "key")), first_of(node, ("name", "title"))
-                if ident is not None and isinstance(title, str):
-                    pay = node.get("salary") or node.get("compensation") or {}
-                    number = lambda v: float(v) if isinstance(v, (int, float)) else None
-                    pay = pay if isinstance(pay, dict) else {}
-                    yield str(ident), title, first_of(node, ("company", "employer")), first_of(node, ("url", "link")), number(pay.get("from")), number(pay.get("to"))
-                queue.extend(v for v in node.values() if isinstance(v, (dict, list)))
+def tree_nodes(text: str | None, accept: Callable[[dict], bool]) -> Iterator[dict]:
+    """Every node of a JSON text that is accepted, by depth, then in order; nothing of what isn't JSON."""
+    try:
+        level = [json.loads(text)] if text else []
+    except ValueError:
+        return
+    while level:
+        after = []
+        for x in level:
+            if isinstance(x, dict):
+                if accept(x):
+                    yield x
+                after.extend(v for v in x.values() if isinstance(v, (dict, list)))
+            elif isinstance(x, list):
+                after.extend(v for v in x if isinstance(v, (dict, list)))
+        level = after
+
+
+def tree_table(pages: DataFrame, key: str, state: str, accept: Callable[[dict], bool], row: Callable[[dict], tuple], schema: str) -> DataFrame:
+    """(page, *schema): a row of each accepted node, wherever it is in a page's JSON. There are no fixed paths, so it is Python over Arrow batches."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, *r) for k, t in zip(b["k"], b["t"]) for r in search(t)]
-            yield pd.DataFrame(rows, columns=["page", "key", "title", "company", "url", "low", "high"])
+            yield pd.DataFrame([(k, *row(x)) for k, t in zip(b["k"], b["t"]) for x in tree_nodes(t, accept)], columns=["page", *names])
 
     kind = dict(pages.dtypes)[key]
-    return pages.select(F.col(key).alias("k"), F.col(state).alias("t")).mapInPandas(run, f"page {kind}, {RECORD}")
+    return pages.select(F.col(key).alias("k"), F.col(state).alias("t")).mapInPandas(run, f"page {kind}, {schema}")
+
+
+def tree_records(pages: DataFrame, key: str, state: str) -> DataFrame:
+    """Records found anywhere in a page's JSON state: nodes that have an id and a title."""
+
+    def number(pay, end: str) -> float | None:
+        v = pay.get(end) if isinstance(pay, dict) else None
+        return float(v) if isinstance(v, (int, float)) else None
+
+    def row(x: dict) -> tuple:
+        pay = x.get("salary") or x.get("compensation")
+        return str(_named(x, "id", "key")), _named(x, "name", "title"), _named(x, "company", "employer"), _named(x, "url", "link"), number(pay, "from"), number(pay, "to")
+
+    return tree_table(pages, key, state, lambda x: _named(x, "id", "key") is not None and isinstance(_named(x, "name", "title"), str), row, RECORD)
+
+
+def tree_reviews(pages: DataFrame, key: str, state: str) -> DataFrame:
+    """(page, body, rating) of nodes that say they are reviews; ratings on a scale to five, null beyond it."""
+
+    def row(x: dict) -> tuple:
+        r = x.get("reviewRating") or {}
+        try:
+            value, best = float(r.get("ratingValue")), float(r.get("bestRating") or 5)
+        except (TypeError, ValueError):
+            return _named(x, "reviewBody", "description"), None
+        value = value * 5 / best if best > 0 else 0
+        return _named(x, "reviewBody", "description"), round(value, 2) if 0 < value <= 5 else None
+
+    return tree_table(pages, key, state, lambda x: x.get("@type") == "Review", row, "body string, rating double")
+
+
+def tree_addresses(pages: DataFrame, key: str, state: str) -> DataFrame:
+    """(page, city, lat, lng, metro) of address nodes; a point that is off the globe or at 0, 0 is null."""
+
+    def row(x: dict) -> tuple:
+        lat, lng = x.get("lat", x.get("latitude")), x.get("lng", x.get("longitude"))
+        ok = all(isinstance(v, (int, float)) for v in (lat, lng)) and abs(lat) <= 90 and abs(lng) <= 180 and (lat or lng)
+        metro = [_plain(m) for m in x.get("metro") or []]
+        return _named(x, "city"), float(lat) if ok else None, float(lng) if ok else None, ", ".join(m for m in metro if m)
+
+    return tree_table(pages, key, state, lambda x: "city" in x and ("lat" in x or "latitude" in x), row, "city string, lat double, lng double, metro string")
+
+
+def record_of(node: Column) -> dict[str, Column]:
+    """Fields of a JSON node: the first path of each that isn't empty."""
+    first = lambda *paths: F.coalesce(*(F.nullif(F.get_json_object(node, f"$.{p}"), F.lit("")) for p in paths))
+    return {
+        "key": first("id", "vacancyId"),
+        "title": first("name", "title"),
+        "company": first("company.name", "employer.name", "employer"),
+        "low": first("salary.from", "compensation.from").try_cast("double"),
+        "high": first("salary.to", "compensation.to").try_cast("double"),
+        "schedule": F.lower(first("schedule.id", "schedule.name", "workFormat[0]")),
+    }
+
+
+# Each site's blocks and the group of its text and its rating; the rating's scale.
+SITES = {
+    "alpha.example": (r'(?s)<div class="review"[^>]*>.*?</div>', r'data-rating="([0-9.]+)"', 5),
+    "beta.example": (r"(?s)<article\b.*?</article>", r"<b>([0-9.]+)</b>", 10),
+    "gamma.example": (r'(?s)<li class="item"[^>]*>.*?</li>', r"([0-9.]+) of 5", 5),
+    "delta.example": (r"(?s)<section\b.*?</section>", r"rated ([0-9.]+)/100", 100),
+    "epsilon.example": (r"(?s)<blockquote\b.*?</blockquote>", r"stars: ([0-9.]+)", 5),
+}
+
+
+def site_reviews(pages: DataFrame, key: str, url: str, html: str, sites: dict[str, tuple[str, str, float]] = SITES) -> DataFrame:
+    """(key, idx, body, rating) of review pages, by the parser of their host; other hosts have none."""
+    from attesta.functions.text import host
+
+    site, blocks, rating = host(F.col(url)), F.lit(None).cast("array<string>"), F.lit(None).cast("double")
+    for name, (pattern, _, _) in sites.items():
+        blocks = F.when(site == name, F.regexp_extract_all(html, F.lit(pattern), F.lit(0))).otherwise(blocks)
+    rows = pages.select(key, site.alias("site"), F.posexplode(blocks).alias("idx", "b"))
+    for name, (_, mark, best) in sites.items():
+        rating = F.when(F.col("site") == name, F.nullif(F.regexp_extract("b", mark, 1), F.lit("")).try_cast("double") * 5 / best).otherwise(rating)
+    body = F.trim(F.regexp_replace(F.regexp_replace("b", r"<[^>]+>", " "), r"\s+", " "))
+    return rows.select(key, "idx", body.alias("body"), F.round(F.when((rating > 0) & (rating <= 5), rating), 2).alias("rating"))
 
 
 def state_of(html: Column) -> Column:
