@@ -1,124 +1,19 @@
 """Repeated passages by sparse suffix arrays.
 
-Only suffixes that begin at content-selected positions (see anchors) are kept, and of those only the ones whose first
-`gram` words occur more than once. Each carries its next `window` words and the words before it. They are sorted,
-neighbours that begin alike are compared, and matches are extended to the left and right; every passage of `window` or
-more words that occurs earlier (smaller id, or the same document and an earlier start) is removed.
-
-Suffixes that begin alike meet in one group. A group of more than `most` suffixes is dealt by salt to several; what is
-first within its part then meets the other parts' firsts in a grouped minimum, which combines before it shuffles.
+Only suffixes that begin at content-selected minimiser positions (see anchors) are retained, and of those only the ones
+whose first `gram` words occur more than once. They are sorted, neighbours' common prefixes are compared, and matches are
+extended to the left and right (see contexts); every passage of `window` or more words that occurs earlier (smaller id,
+or the same document and an earlier start) is removed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.anchors import anchor_rows, entries, owners, removed_digest, start_runs, words_of
-from attesta.llm.common import WordHashes, cut, mix, texts_of
-
-CHUNK = 20_000
-
-
-def _suffixes(marked: DataFrame, window: int, gram: int) -> DataFrame:
-    """(id, text, places array<struct<place, parts>>) to the suffixes: (key, salt, id, place, before, suffix).
-
-    before: 32-bit hashes of the words before the suffix, nearest first, at most window - gram; suffix: those of its
-    first `window` words.
-    """
-    kind = "key long, salt int, parts int, id long, place int, before binary, suffix binary"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                rows = []
-                for ident, text, places in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    words = hashes.array(words_of(text))
-                    grams, _ = owners(words, window, gram)
-                    short = (words >> np.uint64(32)).astype(">u4")
-                    for p in places:
-                        at, parts = p["place"], p["parts"]
-                        rows.append((int(grams[at].view(np.int64)), int(mix(np.array([ident], np.int64).view(np.uint64))[0] % np.uint64(parts)), parts, ident, at, short[max(0, at - window + gram) : at][::-1].tobytes(), short[at : at + window].tobytes()))
-                if rows:
-                    c = list(zip(*rows))
-                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds)], [x.split()[0] for x in kind.split(", ")])
-
-    return marked.select("id", "text", "places").mapInArrow(run, kind)
-
-
-def _prefix_hashes(words: list[bytes], size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of 32-bit words: the hash of each of its prefixes of 0 to `size` words; and how many words it has."""
-    n = np.array([len(w) // 4 for w in words])
-    flat = np.frombuffer(b"".join(w.ljust(4 * size, b"\0") for w in words), ">u4").reshape(len(words), size).astype(np.uint64)
-    out = np.empty((len(words), size + 1), np.uint64)
-    out[:, 0] = seed
-    for j in range(size):
-        out[:, j + 1] = mix(out[:, j] * np.uint64(0x9E3779B97F4A7C15) + flat[:, j] + np.uint64(1))
-    return out, n
-
-
-def _match(window: int, gram: int):
-    """For mapInArrow over suffixes sorted by (key, salt, suffix, before, id, place).
-
-    Emits (id, lo, hi, h, dealt): runs of windows, by their starts, that repeat earlier ones of their group; and, dealt,
-    the first of each window, with its hash, of groups that are dealt in parts.
-    """
-    left = window - gram
-
-    def judge(rows: list[tuple]) -> pa.RecordBatch:
-        key, salt, parts, ids, place, before, suffix = zip(*rows)
-        key, ids, place = np.array(key, np.int64).view(np.uint64), np.array(ids, np.int64), np.array(place, np.int64)
-        dealt = np.array(parts) > 1
-        right, n_right = _prefix_hashes(suffix, window, 11)
-        back, n_left = _prefix_hashes(before, left, 13)
-        group = mix(key + np.array(salt, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        order = np.lexsort((place, ids))
-        again: list[np.ndarray] = []
-        firsts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        known, slot = np.unique(ids, return_inverse=True)
-        for a in range(left + 1):  # a words to the left of the suffix, window - a of it
-            has = order[(n_left[order] >= a) & (n_right[order] >= window - a)]
-            if not len(has):
-                continue
-            h = mix(back[has, a] * np.uint64(0xD6E8FEB86659FD93) ^ right[has, window - a])
-            own = h ^ group[has]
-            by = np.argsort(own, kind="stable")  # neighbours are now equal windows, the earliest first
-            first = np.ones(len(by), bool)
-            first[1:] = own[by[1:]] != own[by[:-1]]
-            rest = has[by[~first]]
-            again.append(slot[rest] << np.int64(32) | place[rest] - a)
-            if dealt.any():
-                f = by[first]
-                f = f[dealt[has[f]]]
-                firsts.append((ids[has[f]], place[has[f]] - a, mix(h[f] ^ key[has[f]]).view(np.int64)))
-        lo, hi = start_runs(np.unique(np.concatenate(again)) if again else np.zeros(0, np.int64))
-        low = np.int64((1 << 32) - 1)
-        i, s, h = (np.concatenate(x) for x in zip(*firsts)) if firsts else (np.zeros(0, np.int64),) * 3
-        cols = [np.concatenate([known[lo >> np.int64(32)], i]), np.concatenate([lo & low, s]).astype(np.int32), np.concatenate([hi & low, s]).astype(np.int32), np.concatenate([np.zeros(len(lo), np.int64), h]), np.arange(len(lo) + len(i)) >= len(lo)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "lo", "hi", "h", "dealt"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            held.extend(zip(*(batch.column(i).to_pylist() for i in range(7))))
-            if len(held) >= CHUNK:
-                last = held[-1][:2]
-                cutoff = len(held)
-                while cutoff and held[cutoff - 1][:2] == last:
-                    cutoff -= 1
-                if cutoff:
-                    yield judge(held[:cutoff])
-                    held = held[cutoff:]
-        if held:
-            yield judge(held)
-
-    return run
+from attesta.llm.anchors import anchor_rows, entries, removed_digest
+from attesta.llm.common import cut, drop_cut, texts_of
+from attesta.llm.contexts import by_text, repeated_windows
 
 
 def remove_passages(docs: DataFrame, *, window: int = 50, gram: int = 25, most: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,15 +28,9 @@ def remove_passages(docs: DataFrame, *, window: int = 50, gram: int = 25, most:
     rows = cut(anchor_rows(known, window, gram), "anchors")
     found = entries(rows)
     count = cut(found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "counts")  # cut: else the join can't split a hot key
-    alike = found.join(count, "key").select("id", "place", F.ceil(F.col("c") / most).cast("int").alias("parts"))
-    places = alike.groupBy("id").agg(F.collect_set(F.struct("place", "parts")).alias("places"))
-    suffixes = _suffixes(known.join(places, "id"), window, gram)
-    sorted_ = suffixes.repartition("key", "salt").sortWithinPartitions("key", "salt", "suffix", "before", "id", "place")
-    judged = cut(sorted_.select("key", "salt", "parts", "id", "place", "before", "suffix").mapInArrow(_match(window, gram), "id long, lo int, hi int, h long, dealt boolean"), "matches")
-    sure = judged.filter("not dealt").select("id", "lo", "hi")
-    parts = judged.filter("dealt")
-    first = parts.groupBy("h").agg(F.min(F.struct("id", "lo")).alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    later = parts.join(first, "h").filter("f.id <> id or f.lo <> lo").select("id", "lo", "hi")
-    runs = sure.unionByName(later).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    marked = known.join(runs, "id", "left").unionByName(texts.filter("id is null"), allowMissingColumns=True)
+    places = found.join(count, "key").select(F.lit(0).alias("era"), "id", "place", F.ceil(F.col("c") / most).cast("int").alias("parts"))
+    places = by_text(places)
+    drop_cut(rows, count)
+    runs = repeated_windows(known.select(F.lit(0).alias("era"), "id", "text"), places, window, gram)
+    marked = known.join(runs.select("id", "runs"), "id", "left").unionByName(texts.filter("id is null"), allowMissingColumns=True)
     return removed_digest(marked, window)
