@@ -28,6 +28,16 @@ def shingles(word_list: Column, size: int = 4) -> Column:
     return F.when(F.size(word_list) == 0, F.array().cast("array<string>")).when(F.size(word_list) < size, F.array(F.array_join(word_list, " "))).otherwise(F.array_distinct(runs))
 
 
+def shingle_hashes(word_list: Column, size: int = 4) -> Column:
+    """Distinct 64-bit hashes of the shingles: words are hashed once, and runs of hashes are hashed, so no strings are built."""
+    h = F.transform(word_list, lambda w: F.xxhash64(w))
+    n = F.greatest(F.size(h) - (size - 1), F.lit(0))
+    runs = F.slice(h, F.lit(1), n)
+    for j in range(1, size):
+        runs = F.zip_with(runs, F.slice(h, F.lit(j + 1), n), lambda a, b: F.xxhash64(a, b))
+    return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(F.size(h) < size, F.array(F.xxhash64(h))).otherwise(F.array_distinct(runs))
+
+
 def company_key(name: Column, noise: list[str], forms: list[str]) -> Column:
     """A name without quotes, noise phrases, punctuation and legal forms."""
     x = F.regexp_replace(F.lower(name), "[\"'«»“”]", " ")

@@ -22,19 +22,26 @@ def shared_elsewhere(rows: DataFrame, digest: str, owner: str) -> DataFrame:
 def containment_pairs(rows: DataFrame, key: str, within: str, text: str, least: float = 0.6, size: int = 4) -> DataFrame:
     """(a, b, similarity) of two keys within a group whose shingles overlap by `least` of the smaller set.
 
-    The prefix filter: of a text's n shingles, rarest first, one of the first n - ceil(least * n) + 1 must be shared by
-    every partner that is no smaller, so only those are joined on; ties in size are covered from both sides. Of keys
-    with equal sets only the smallest is compared; the others are paired with it alone.
+    The prefix filter: of a text's n shingles, in any one order of all shingles, one of the first n - ceil(least * n) + 1
+    must be shared by every partner that is no smaller, so only those are joined on. The order is by how many texts of the
+    group have a shingle, so that few meet; shingles that one text alone has come first and join nothing. Sizes are
+    compared in the join; ties in size are covered from both sides. Of keys with equal sets only the smallest is compared;
+    the others are paired with it alone.
     """
-    shingles = F.array_sort(F.transform(T.shingles(T.words(F.col(text)), size), lambda g: F.xxhash64(g)))
-    every = rows.select(F.col(key).alias("k"), F.col(within).alias("grp"), shingles.alias("s")).filter(F.size("s") > 0)
-    every = every.withColumn("h", F.sha1(F.array_join(F.transform("s", lambda g: F.hex(g)), "").cast("binary")))
+    shingles = T.shingle_hashes(T.words(F.col(text)), size)
+    every = rows.select(F.col(key).alias("k"), F.col(within).alias("grp"), F.array_sort(shingles).alias("s")).filter(F.size("s") > 0)
+    every = every.withColumn("h", F.struct(F.xxhash64("s").alias("x"), F.hash("s").alias("y"), F.size("s").alias("n")))
     sets = every.groupBy("grp", "h").agg(F.min_by(F.struct("k", "s"), "k").alias("r")).select("grp", "h", "r.k", "r.s")
     copies = every.select("grp", "h", F.col("k").alias("b")).join(sets.select("grp", "h", F.col("k").alias("a")), ["grp", "h"]).filter("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
-    n = F.size("s")
-    probes = sets.select("k", "grp", F.explode(F.slice("s", F.lit(1), (n - F.ceil(n * F.lit(least)) + 1).cast("int"))).alias("g"), n.alias("n"))
-    held = sets.select(F.col("k").alias("k2"), "grp", F.explode("s").alias("g"), n.alias("m"))
-    met = probes.join(held, ["grp", "g"]).filter((F.col("n") <= F.col("m")) & (F.col("k") != F.col("k2")))
+    flat = sets.select("k", "grp", F.size("s").alias("n"), F.explode("s").alias("g"))
+    shared = flat.groupBy("grp", "g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    held = flat.join(shared, ["grp", "g"])
+    own = Window.partitionBy("k")
+    # A shingle's place in its text: those that no other text has come first.
+    place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "g"))
+    probes = held.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+    other = held.select("grp", "g", F.col("k").alias("k2"), F.col("n").alias("m"))
+    met = probes.join(other, ["grp", "g"]).filter((F.col("n") <= F.col("m")) & (F.col("k") != F.col("k2")))
     pairs = met.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
     a, b = sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), sets.select(F.col("k").alias("b"), F.col("s").alias("sb"))
     similarity = F.size(F.array_intersect("sa", "sb")) / F.least(F.size("sa"), F.size("sb"))

@@ -167,23 +167,9 @@ def preset(spark, sf_dir):
     return table(spark, sf_dir, "orders").filter(flt.build(order_filters(), params)[0]).orderBy(*flt.order(order_sorts(), sort, "new")).limit(50).select("o_orderkey", "o_totalprice")
 
 
-@query("P6", f"SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '{NOW}' - INTERVAL 9000 DAY AND o_orderstatus = 'O' AND coalesce(o_totalprice, 0) >= 1000 GROUP BY 1")
-def record_filters(spark, sf_dir):
-    where, _ = flt.build(order_filters(), {"days": "9000", "state": "open", "min_total": "1000"})
-    return table(spark, sf_dir, "orders").filter(where).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("P7", "SELECT c_custkey FROM customer WHERE contains(lower(c_mktsegment), 'build') AND coalesce(c_acctbal, 0) >= 500 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def company_filters(spark, sf_dir):
-    catalogue = {"cq": flt.contains("c_mktsegment"), "rating": flt.number(lambda x: F.coalesce("c_acctbal", F.lit(0.0)) >= x)}
-    where, _ = flt.build(catalogue, {"cq": "Build", "rating": "500"})
-    openings = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").filter(where).join(openings, "c_custkey", "left_semi").select("c_custkey")
-
-
-@query("P8", "SELECT n_nationkey, n_name FROM nation WHERE n_name IS NOT NULL AND contains(lower(n_name), 'an')")
+@query("P8", "SELECT n_nationkey, n_name FROM nation WHERE n_name IS NOT NULL AND contains(lower(n_name), 'on_1')")
 def map_filters(spark, sf_dir):
-    where, _ = flt.build({"metro": flt.contains("n_name"), "has_metro": flt.choice({"1": F.col("n_name").isNotNull()})}, {"metro": "AN", "has_metro": "1"})
+    where, _ = flt.build({"metro": flt.contains("n_name"), "has_metro": flt.choice({"1": F.col("n_name").isNotNull()})}, {"metro": "ON_1", "has_metro": "1"})
     return table(spark, sf_dir, "nation").filter(where).select("n_nationkey", "n_name")
 
 
@@ -214,13 +200,6 @@ def health(spark, sf_dir):
     return runs.select("event_type", F.when(F.col("n") == 0, "empty").when(F.col("mean") < 10, "low").when(F.col("users") < 5, "few").otherwise("ok").alias("health"))
 
 
-@query("P24", "SELECT l_orderkey AS page, bool_and(l_linenumber <= 3) AS known FROM lineitem GROUP BY 1")
-def page_is_known(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
-    known = lines.filter("l_linenumber <= 3").distinct().withColumn("seen", F.lit(True))
-    return lines.join(known, ["l_orderkey", "l_linenumber"], "left").groupBy(F.col("l_orderkey").alias("page")).agg(F.bool_and(F.coalesce("seen", F.lit(False))).alias("known"))
-
-
 @query("A35", """
 SELECT l_orderkey AS key, CASE WHEN bool_or(l_returnflag = 'R' AND l_quantity > 49) THEN 'veto' WHEN count(DISTINCT l_suppkey) < 2 THEN 'unknown'
   WHEN bool_or(l_returnflag = 'R') THEN 'red' WHEN bool_or(l_returnflag = 'A') THEN 'yellow' ELSE 'green' END AS level FROM lineitem GROUP BY 1""")

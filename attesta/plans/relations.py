@@ -105,7 +105,12 @@ def copied_elsewhere(spark, sf_dir):
     return h.join(similar.shared_elsewhere(h, "h", "source"), "h", "left_semi").select("doc_id")
 
 
-@query("J18")
+@query("J18", r"""
+WITH w AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+s AS (SELECT doc_id, source, CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) END AS s FROM w WHERE len(w) > 0),
+r AS MATERIALIZED (SELECT source, s, min(doc_id) AS doc_id, len(s) AS n FROM s GROUP BY source, s),
+g AS (SELECT source, doc_id, n, unnest(s) AS g FROM r), p AS (SELECT a.doc_id AS x, b.doc_id AS y, least(any_value(a.n), any_value(b.n)) AS n, count(*) AS c FROM g a JOIN g b ON a.source = b.source AND a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT x AS a, y AS b, round(c / n::DOUBLE, 4) AS similarity FROM p WHERE round(c / n::DOUBLE, 4) >= 0.6 UNION ALL SELECT r.doc_id, s.doc_id, 1.0 FROM s JOIN r ON s.source = r.source AND s.s = r.s WHERE s.doc_id <> r.doc_id""")
 def contained(spark, sf_dir):
     return similar.containment_pairs(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
 
@@ -136,9 +141,9 @@ def nearest_of_every_50th(spark, sf_dir):
 
 
 @query("J24", """
-WITH o AS (SELECT split_part(p_type, ' ', 1) AS role, p_brand AS grade, l_suppkey AS owner, l_extendedprice AS x FROM lineitem JOIN part ON l_partkey = p_partkey),
-c AS (SELECT role, grade, owner, count(*) AS n, quantile_cont(x, 0.5) AS med FROM o GROUP BY GROUPING SETS ((role, grade, owner), (role, grade), (role))),
-k AS (SELECT DISTINCT role, grade, owner FROM o)
+WITH o AS MATERIALIZED (SELECT split_part(p_type, ' ', 1) AS role, p_brand AS grade, l_suppkey AS owner, l_extendedprice AS x FROM lineitem JOIN part ON l_partkey = p_partkey),
+c AS MATERIALIZED (SELECT role, grade, owner, count(*) AS n, quantile_cont(x, 0.5) AS med FROM o GROUP BY GROUPING SETS ((role, grade, owner), (role, grade), (role))),
+k AS MATERIALIZED (SELECT DISTINCT role, grade, owner FROM o)
 SELECT k.role, k.grade, k.owner, round(CASE WHEN a.n >= 8 THEN a.med WHEN b.n >= 8 THEN b.med ELSE d.med END, 6) AS median, CASE WHEN a.n >= 8 THEN 1 WHEN b.n >= 8 THEN 2 ELSE 3 END AS level
 FROM k JOIN c a ON a.role = k.role AND a.grade = k.grade AND a.owner = k.owner JOIN c b ON b.role = k.role AND b.grade = k.grade AND b.owner IS NULL JOIN c d ON d.role = k.role AND d.grade IS NULL""")
 def cascade_lookup(spark, sf_dir):
@@ -211,9 +216,9 @@ def whitelisted_sort(spark, sf_dir):
     return table(spark, sf_dir, "orders").orderBy(*flt.order(sorts, "no such sort", "price")).select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price")).limit(25)
 
 
-@query("P5", "SELECT p_partkey AS part FROM part WHERE contains(lower(p_type), 'brass')")
+@query("P5", "SELECT p_partkey AS part FROM part WHERE contains(lower(p_type), 'econ')")
 def substring(spark, sf_dir):
-    return table(spark, sf_dir, "part").filter(flt.contains("p_type")("BRASS")).select(F.col("p_partkey").alias("part"))
+    return table(spark, sf_dir, "part").filter(flt.contains("p_type")("ECON")).select(F.col("p_partkey").alias("part"))
 
 
 @query("P10", f"SELECT event_type, count(*) AS n FROM events WHERE CAST(ts AS DATE) >= DATE '{NOW[:10]}' - 10 GROUP BY 1")
@@ -244,14 +249,6 @@ def ceiling(spark, sf_dir):
     return table(spark, sf_dir, "orders").filter(top >= 80).select(F.col("o_orderkey").alias("key"), F.round(top, 8).alias("ceiling"))
 
 
-@query("P16", """
-SELECT part, wanted FROM (SELECT p_partkey AS part, list_sort(list_filter(list_distinct(string_split(p_type, ' ')), lambda x: NOT list_contains(string_split(p_name, ' '), x) AND x IN ('STEEL', 'BRASS', 'TIN', 'COPPER', 'NICKEL'))) AS wanted FROM part) WHERE len(wanted) > 0""")
-def uncovered_fields(spark, sf_dir):
-    found = F.array_intersect(F.split("p_type", " "), F.array(*map(F.lit, ["STEEL", "BRASS", "TIN", "COPPER", "NICKEL"])))
-    wanted = F.sort_array(F.array_except(found, F.split("p_name", " ")))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), wanted.alias("wanted")).filter(F.size("wanted") > 0)
-
-
 @query("P18", "SELECT event_id, CASE WHEN value / 100 >= 0.8 THEN 'yes' WHEN value / 100 <= 0.2 THEN 'no' ELSE 'undecided' END AS verdict FROM events")
 def decide(spark, sf_dir):
     p = F.col("value") / 100
@@ -309,16 +306,21 @@ def _halves(spark, sf_dir):
 _HALVES = "h AS (SELECT user_id, event_type, ts >= TIMESTAMP '2024-01-16' AS late, count(*) AS n, max(ts) AS at FROM events GROUP BY 1, 2, 3), a AS (SELECT * FROM h WHERE NOT late), b AS (SELECT * FROM h WHERE late)"
 
 
-@query("U2", f"WITH {_HALVES} SELECT user_id, event_type FROM a WHERE n >= 2 AND NOT EXISTS (SELECT 1 FROM b WHERE b.user_id = a.user_id AND b.event_type = a.event_type)")
+@query("U2", """
+WITH k AS (SELECT user_id, json_extract_string(props, '$.k') AS k, arg_max(event_type, (ts, event_id)) AS last, max(ts) AS seen_at FROM events GROUP BY ALL)
+SELECT user_id, k FROM k WHERE seen_at < TIMESTAMP '2024-01-28' AND last <> 'error'""")
 def gone(spark, sf_dir):
-    old, new = _halves(spark, sf_dir)
-    return old.filter("n >= 2").join(new, ["user_id", "event_type"], "left_anti").select("user_id", "event_type")
+    """Known keys, less those seen in the last run, less those already inactive."""
+    e = table(spark, sf_dir, "events").select("user_id", F.get_json_object("props", "$.k").alias("k"), "event_type", "ts", "event_id")
+    states = e.groupBy("user_id", "k").agg((F.max_by("event_type", F.struct("ts", "event_id")) != "error").alias("active"))
+    seen = e.filter(F.col("ts") >= F.lit("2024-01-28").cast("timestamp")).select("user_id", "k").distinct()
+    return states.filter("active").select("user_id", "k").join(seen, ["user_id", "k"], "left_anti")
 
 
-@query("U3", "SELECT user_id FROM (SELECT DISTINCT user_id FROM events) WHERE user_id NOT IN (SELECT o_custkey FROM orders)")
+@query("U3", "SELECT p_partkey AS part FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)")
 def missing(spark, sf_dir):
-    known = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"))
-    return table(spark, sf_dir, "events").select("user_id").distinct().join(known, "user_id", "left_anti")
+    known = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_partkey").alias("part"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part")).join(known, "part", "left_anti")
 
 
 @query("U4", "SELECT user_id FROM (SELECT user_id FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id FROM events WHERE event_type = 'error')")

@@ -240,15 +240,6 @@ def company_mark(spark, sf_dir):
     return d.groupBy(F.col("l_suppkey").alias("company")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("dev") < -0.1).cast("int")), 4).alias("below"), F.round(F.avg((F.col("dev") > 0.1).cast("int")), 4).alias("above"), F.round(F.percentile("dev", 0.5), 4).alias("deviation"))
 
 
-@query("A33", """
-WITH u AS (SELECT user_id, event_type, count(*) AS n, date_diff('second', min(ts), max(ts)) // 86400 AS days FROM events GROUP BY 1, 2)
-SELECT user_id, count(*) AS tracked, count(*) FILTER (n >= 10) AS republished, count(*) FILTER (days >= 20) AS long_running, max(days)::BIGINT AS max_days FROM u GROUP BY 1""")
-def history_counters(spark, sf_dir):
-    days = F.floor((F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))) / 86400)
-    u = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), days.alias("days"))
-    return u.groupBy("user_id").agg(F.count(F.lit(1)).alias("tracked"), F.count_if(F.col("n") >= 10).alias("republished"), F.count_if(F.col("days") >= 20).alias("long_running"), F.max("days").alias("max_days"))
-
-
 _WEIGHT_SQL = "CASE event_type WHEN 'error' THEN 3.0 WHEN 'purchase' THEN 2.0 WHEN 'signup' THEN 1.5 ELSE 0.5 END"
 
 
@@ -274,7 +265,7 @@ def combos(spark, sf_dir):
     return days.filter(F.size(F.array_except(need, "codes")) == 0).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("A37", f"""
+@query("A37_axes", f"""
 WITH s AS (SELECT user_id, CASE WHEN event_type = 'error' THEN 'risk' ELSE 'trust' END AS axis,
     10 * (1 - exp(-sum({_WEIGHT_SQL} * exp(-greatest(date_diff('day', CAST(ts AS DATE), DATE '{NOW[:10]}') / 30.0, 0) / 18)) / 6)) AS x, count(*) AS n FROM events GROUP BY 1, 2),
 p AS (SELECT user_id, coalesce(sum(x) FILTER (axis = 'risk'), 0) AS risk, coalesce(sum(x) FILTER (axis = 'trust'), 0) AS trust, sum(n)::BIGINT AS n FROM s GROUP BY 1)
@@ -313,14 +304,6 @@ def grid(spark, sf_dir):
     return agg.threshold_grid(rows, "l_discount", "y", [0.015, 0.035, 0.055, 0.075])
 
 
-@query("A42", """
-WITH r AS (SELECT l_suppkey, l_returnflag, avg(l_discount) AS m, max(l_discount) - min(l_discount) AS spread, count(*) AS n FROM lineitem GROUP BY 1, 2)
-SELECT l_returnflag AS stage, round(sum(m * n) / sum(n), 6) AS weighted, round(avg(spread), 6) AS stability, sum(n)::BIGINT AS n FROM r GROUP BY 1""")
-def bench_metrics(spark, sf_dir):
-    r = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.avg("l_discount").alias("m"), (F.max("l_discount") - F.min("l_discount")).alias("spread"), F.count(F.lit(1)).alias("n"))
-    return r.groupBy(F.col("l_returnflag").alias("stage")).agg(F.round(F.sum(F.col("m") * F.col("n")) / F.sum("n"), 6).alias("weighted"), F.round(F.avg("spread"), 6).alias("stability"), F.sum("n").alias("n"))
-
-
 @query("A44", """
 SELECT d.x AS delta, count(*) FILTER (o_totalprice >= 200000 - d.x) AS kept, count(*) FILTER (o_totalprice < 200000 - d.x AND o_orderpriority = '1-URGENT') AS lost
 FROM orders, (SELECT unnest([0, 25000, 50000]) AS x) d GROUP BY d.x""")

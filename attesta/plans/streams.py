@@ -27,7 +27,7 @@ def once_only(spark, sf_dir):
     return st.run_once(_events(spark, sf_dir).select("event_id").dropDuplicates(["event_id"]))
 
 
-@query("X5")
+@query("X5", "SELECT start, event_type, count(*) AS n FROM (SELECT event_type, date_trunc('day', ts) - to_days(unnest(range(7))::INT) AS start FROM events) GROUP BY ALL")
 def sliding(spark, sf_dir):
     return st.run_merged(_events(spark, sf_dir), st.sliding_counts)
 
@@ -38,6 +38,9 @@ def retained(spark, sf_dir):
     return st.run_once(rows).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("X7")
+@query("X7", """
+WITH RECURSIVE r AS (SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY ALL UNION ALL SELECT e.user_id, e.event_type, min(e.ts) FROM r JOIN events e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.ts >= r.ts + INTERVAL 24 HOUR GROUP BY e.user_id, e.event_type, r.ts)
+SELECT user_id, event_type, ts FROM r""")
 def cooled(spark, sf_dir):
-    return st.alerts(st.run_once(_events(spark, sf_dir).filter("event_type = 'error'").select("user_id", "ts", "event_type")))
+    """Of each user's events of each kind, those that come a day or more after the last one let through."""
+    return st.alerts(st.run_once(_events(spark, sf_dir).select("user_id", "ts", "event_type")))

@@ -32,7 +32,7 @@ def hashed(spark, sf_dir):
 WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents)
 SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) < 4 THEN 1 ELSE len(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) END::INT AS shingles FROM w""")
 def shingled(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.size(T.shingles(T.words(F.col("text")))).alias("shingles"))
+    return _docs(spark, sf_dir).select("doc_id", F.size(T.shingle_hashes(T.words(F.col("text")))).alias("shingles"))
 
 
 @query("T5", "SELECT s_suppkey AS supplier, array_to_string(list_filter(string_split(trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w NOT IN ('llc', 'inc', 'supplier') AND w <> ''), ' ') AS name FROM supplier")
@@ -45,7 +45,7 @@ def title_keys(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), T.title_key(F.col("p_name"), ["the"]).alias("key"))
 
 
-@query("T7")
+@query("T7", r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages")
 def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
 
@@ -67,60 +67,17 @@ def line_hashes(spark, sf_dir):
     return lines.select("doc_id", F.substring(F.sha2(F.regexp_replace(F.lower(F.trim("t")), r"\s+", " "), 256), 1, 16).alias("line_hash")).distinct()
 
 
-@query("T26", r"SELECT doc_id, count(*) AS kept FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents) WHERE length(t) >= 30 AND length(regexp_replace(t, '[^\p{L}]', '', 'g')) / length(t)::DOUBLE >= 0.5 GROUP BY 1")
-def text_lines(spark, sf_dir):
-    lines = _docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("t"))
-    return lines.filter((F.length("t") >= 30) & (T.letters_share(F.col("t")) >= 0.5)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))
-
-
 @query("T28", "SELECT event_id, CASE WHEN value / 20 > 0 AND value / 20 <= 5 THEN round(value / 20, 4) END AS rating FROM events")
 def ratings(spark, sf_dir):
     r = F.col("value") / 20
     return table(spark, sf_dir, "events").select("event_id", F.when((r > 0) & (r <= 5), F.round(r, 4)).alias("rating"))
 
 
-@query("T30", "SELECT p_partkey AS part, CASE WHEN contains(p_type, 'STEEL') OR contains(p_type, 'BRASS') THEN 'hard' WHEN contains(p_type, 'TIN') THEN 'soft' ELSE 'other' END AS family, CASE WHEN p_size >= 40 THEN 'senior' WHEN p_size >= 15 THEN 'middle' ELSE 'junior' END AS grade FROM part")
-def families(spark, sf_dir):
-    lexicon = [("hard", ["STEEL", "BRASS"]), ("soft", ["TIN"])]
-    family = F.lit("other")
-    for name, marks in reversed(lexicon):
-        hit = F.lit(False)
-        for m in marks:
-            hit = hit | F.contains("p_type", F.lit(m))
-        family = F.when(hit, name).otherwise(family)
-    grade = F.when(F.col("p_size") >= 40, "senior").when(F.col("p_size") >= 15, "middle").otherwise("junior")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), family.alias("family"), grade.alias("grade"))
-
-
-@query("T31", r"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'))) AS email FROM documents WHERE contains(text, '@')")
-def contacts(spark, sf_dir):
-    found = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), F.lit(0))
-    return _docs(spark, sf_dir).filter(F.contains("text", F.lit("@"))).select("doc_id", F.explode(F.array_distinct(found)).alias("email"))
-
-
-@query("T34", r"SELECT host, count(*) AS n, CASE WHEN host LIKE '%.org' THEN 3 WHEN host LIKE '%.com' THEN 2 ELSE 1 END AS trust FROM (SELECT regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^www\.', '') AS host FROM pages) GROUP BY 1")
-def hosts(spark, sf_dir):
-    h = table(spark, sf_dir, "pages").select(T.host(F.col("url")).alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    return h.withColumn("trust", F.when(F.col("host").endswith(".org"), 3).when(F.col("host").endswith(".com"), 2).otherwise(1))
-
-
 @query("T35", r"SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '<email>', 'g'), '\+?[0-9][0-9 ()-]{8,}[0-9]', '<phone>', 'g') AS text FROM documents")
 def masked(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.mask_personal(F.col("text")).alias("text"))
 
 
-@query("T36", "SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '[0-9]+'))) AS numbers FROM documents WHERE NOT regexp_matches(text, '[0-9][ ,][0-9]')")
-def number_sets(spark, sf_dir):
-    return _docs(spark, sf_dir).filter(~F.col("text").rlike("[0-9][ ,][0-9]")).select("doc_id", T.numbers(F.col("text")).alias("numbers"))
-
-
-@query("T37", r"SELECT item_id, count(doc_id) AS quoted FROM benchmark LEFT JOIN documents d ON contains(d.text, benchmark.text) GROUP BY 1")
-def verified_quotes(spark, sf_dir):
-    items = F.broadcast(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item")))  # the stated items
-    hits = _docs(spark, sf_dir).join(items, F.contains("text", F.col("item"))).groupBy("item_id").agg(F.count("doc_id").alias("quoted"))
-    return table(spark, sf_dir, "benchmark").select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("quoted", F.lit(0)).alias("quoted"))
-
-
 @query("T40", """SELECT event_id, sha256('{"user":' || user_id || ',"type":"' || event_type || '"}') AS digest FROM events""")
 def digests(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.sha2(F.to_json(F.struct(F.col("user_id").alias("user"), F.col("event_type").alias("type"))), 256).alias("digest"))
@@ -131,20 +88,6 @@ def amounts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.nullif(F.regexp_extract("url", "([0-9]+)", 1), F.lit("")).try_cast("bigint").alias("amount"))
 
 
-@query("T45", """
-SELECT o_orderkey AS key, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE round(40 * least(o_totalprice / 300000, 1) + CASE o_orderpriority WHEN '1-URGENT' THEN 30 WHEN '2-HIGH' THEN 20 ELSE 5 END + CASE WHEN c_acctbal > 0 THEN 30 ELSE 0 END, 4) END AS score
-FROM orders JOIN customer ON o_custkey = c_custkey""")
-def scored(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), F.col("o_custkey") == F.col("c_custkey"))
-    price = 40 * F.least(F.col("o_totalprice") / 300000, F.lit(1.0))
-    rank = F.when(F.col("o_orderpriority") == "1-URGENT", 30).when(F.col("o_orderpriority") == "2-HIGH", 20).otherwise(5)
-    total = price + rank + F.when(F.col("c_acctbal") > 0, 30).otherwise(0)
-    return rows.select(F.col("o_orderkey").alias("key"), F.when(F.col("o_orderstatus") == "P", F.lit(0.0)).otherwise(F.round(total, 4)).alias("score"))
-
-
-# Dates and numbers ---------------------------------------------------------------------------------------------------
-
-
 @query("D3", f"SELECT o_orderkey AS key FROM orders WHERE date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-02') BETWEEN 0 AND 180")
 def date_window(spark, sf_dir):
     return table(spark, sf_dir, "orders").filter(F.datediff(F.lit("1998-08-02").cast("date"), F.to_date("o_orderdate")).between(0, 180)).select(F.col("o_orderkey").alias("key"))

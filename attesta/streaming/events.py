@@ -19,8 +19,10 @@ def source(spark: SparkSession, path: str, per_batch: int = 1) -> DataFrame:
 
 def shared(spark: SparkSession) -> str:
     """A new folder that all executors see."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/attesta-checkpoints"
-    return f"{root}/attesta-stream/{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{root or 'file:///tmp/attesta-checkpoints'}/attesta-stream/{uuid.uuid4().hex}"
 
 
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -62,23 +64,46 @@ def first_last(table: DataFrame | None, batch: DataFrame) -> DataFrame:
 
 
 def alerts(events: DataFrame, hours: int = 24) -> DataFrame:
-    """The events of each user that come `hours` or more after the last one let through, in order of time.
+    """The events of each user and kind that come `hours` or more after the last one let through, in order of time.
 
     An event that arrives late can change which later ones are let through, so this takes the table of all events; each
-    task reads its users' events in order and holds one moment. Events without ts are left out.
+    task reads its keys' events in order and holds one moment. Events without ts are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        user, last = object(), 0
+        key, last = object(), 0
         for batch in batches:
             kept = []
-            for own, at in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
-                if own != user or at - last >= hours * 3_600_000_000:
-                    user, last = own, at
+            for own, at in zip(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()), batch.column(3).to_pylist()):
+                if own != key or at - last >= hours * 3_600_000_000:
+                    key, last = own, at
                     kept.append(True)
                 else:
                     kept.append(False)
             yield batch.filter(pa.array(kept, pa.bool_())).select([0, 1, 2])
 
     rows = events.filter("ts is not null").select("user_id", "ts", "event_type", F.unix_micros("ts").alias("at"))
-    return rows.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_type").mapInArrow(run, rows.select("user_id", "ts", "event_type").schema)
+    return rows.repartition("user_id", "event_type").sortWithinPartitions("user_id", "event_type", "ts").mapInArrow(run, rows.select("user_id", "ts", "event_type").schema)
+
+
+def seen_state(table: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """(user_id, active, cycles) after one complete run: keys that it lacks become inactive, keys that are back count a cycle."""
+    seen = batch.select("user_id").distinct().withColumn("seen", F.lit(True))
+    if table is None:
+        return seen.select("user_id", F.lit(True).alias("active"), F.lit(1).cast("long").alias("cycles"))
+    both = table.join(seen, "user_id", "full")
+    here = F.coalesce("seen", F.lit(False))
+    back = here & ~F.coalesce("active", F.lit(True))
+    return both.select("user_id", here.alias("active"), (F.coalesce("cycles", F.lit(1)) + back.cast("long")).alias("cycles"))
+
+
+def in_portions(rows: DataFrame, size: int) -> DataFrame:
+    """(event_id, result): each task hands its rows on in portions of `size`, and a portion is done as a whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, size) for i in range(0, batch.num_rows, size)):
+                done = pa.array([None if v is None else v * 2 for v in part.column(1).to_pylist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([part.column(0), done], ["event_id", "result"])
+
+    return rows.select("event_id", "value").mapInArrow(run, "event_id long, result double")
