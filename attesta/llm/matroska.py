@@ -19,7 +19,7 @@ from attesta.llm.common import texts_of
 
 # Element identifiers of the format.
 EBML, SEGMENT, INFO, SCALE = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x2AD7B1
-TRACKS, TRACK, NUMBER, UID, KIND, CODEC, AUDIO, RATE, CHANNELS, DEPTH = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
+TRACKS, TRACK, NUMBER, UID, KIND, CODEC, AUDIO, RATE, CHANNELS, DEPTH, DURATION = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264, 0x23E383
 CLUSTER, TIME, SIMPLE, GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
 CUES, CUE, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 MASTERS = frozenset([SEGMENT, TRACKS, TRACK, CLUSTER, GROUP, CUES, CUE, CUE_POSITIONS])
@@ -129,58 +129,82 @@ def frames_of(data: bytes, at: int, end: int) -> tuple[int, int, list[tuple[int,
     return track, when, out
 
 
+def real(data: bytes) -> float:
+    """An EBML floating-point number of 0, 4 or 8 bytes."""
+    kind = {0: None, 4: ">f4", 8: ">f8"}[len(data)]
+    return float(np.frombuffer(data, kind)[0]) if kind else 0.0
+
+
 def parse(data: bytes) -> dict:
-    """packets: (cluster, track, timestamp in ms, start, length); tracks, cues (ms, track, place), clusters; ok."""
+    """packets: (cluster, track, timestamp in ms, start, length); tracks, cues (ms, track, place), clusters; ok.
+
+    Elements are walked with a stack of open masters, so nesting has no limit. Frames of a laced block follow each other by
+    the track's default duration; of 8-bit or wider PCM without one, by the samples they hold at the track's rate.
+    """
     got = {"packets": [], "tracks": {}, "cues": [], "clusters": [], "ok": True}
-    state = {"scale": 1_000_000, "time": 0, "segment": 0, "track": {}, "cue": {}}
+    scale, segment, time, track, cue = 1_000_000, 0, 0, {}, {}
+    stack: list[tuple[int, int]] = [(0, len(data))]  # (element, end) of each open master
+    at = 0
+
+    def close(ident: int) -> None:
+        if ident == TRACK:
+            got["tracks"][track.get(NUMBER, 0)] = track
+        elif ident == CUE_POSITIONS:
+            got["cues"].append((cue.get(CUE_TIME, 0) * scale // 1_000_000, cue.get(CUE_TRACK, 0), cue.get(CUE_CLUSTER, 0)))
+
+    def packets(at: int, stop: int) -> None:
+        number_, when, ranges = frames_of(data, at, stop)
+        own, base, seen = got["tracks"].get(number_, {}), (time + when) * scale / 1_000_000, 0
+        width = own.get(DEPTH, 8) // 8 * own.get(CHANNELS, 1) or 1
+        for k, (a, n) in enumerate(ranges):
+            step = k * own[DURATION] / 1_000_000 if DURATION in own else seen / width * 1000 / own[RATE] if own.get(RATE) else 0
+            got["packets"].append((len(got["clusters"]) - 1, number_, int(base + step), a, n))
+            seen += n
 
-    def walk(at: int, end: int, parent: int) -> int:
-        while at < end:
+    try:
+        while True:
+            while at >= stack[-1][1]:
+                ident, _ = stack.pop()
+                if not stack:
+                    return got
+                close(ident)
             began = at
             ident, at = varint(data, at, keep=True)
-            if parent == CLUSTER and ident in TOP:  # ends a cluster of unknown size
-                return began
+            while ident in TOP and stack[-1][0] == CLUSTER:  # ends a cluster of unknown size
+                stack.pop()
+            end = stack[-1][1]
             size, at = varint(data, at)
-            unknown = size < 0
-            stop = end if unknown else at + size
+            stop = end if size < 0 else at + size
             if stop > end:
                 raise ValueError("element beyond its parent")
-            if ident == SEGMENT:
-                state["segment"] = at
-            elif ident == CLUSTER:
-                got["clusters"].append(began - state["segment"])
-            elif ident == TRACK:
-                state["track"] = {}
-            elif ident == CUE:
-                state["cue"] = {}
             if ident in MASTERS or ident == INFO or ident == AUDIO:
-                stop = walk(at, stop, ident)
-                if ident == TRACK:
-                    got["tracks"][state["track"].get(NUMBER, 0)] = state["track"]
-                elif ident == CUE_POSITIONS:
-                    got["cues"].append((state["cue"].get(CUE_TIME, 0) * state["scale"] // 1_000_000, state["cue"].get(CUE_TRACK, 0), state["cue"].get(CUE_CLUSTER, 0)))
-            elif ident == SCALE:
-                state["scale"] = int.from_bytes(data[at:stop], "big")
+                if ident == SEGMENT:
+                    segment = at
+                elif ident == CLUSTER:
+                    got["clusters"].append(began - segment)
+                elif ident == TRACK:
+                    track = {}
+                elif ident == CUE:
+                    cue = {}
+                stack.append((ident, stop))
+                continue
+            body = data[at:stop]
+            if ident == SCALE:
+                scale = int.from_bytes(body, "big")
             elif ident == TIME:
-                state["time"] = int.from_bytes(data[at:stop], "big")
+                time = int.from_bytes(body, "big")
             elif ident in (SIMPLE, BLOCK):
-                track, when, ranges = frames_of(data, at, stop)
-                base, seen = (state["time"] + when) * state["scale"] // 1_000_000, 0
-                for a, n in ranges:
-                    got["packets"].append((len(got["clusters"]) - 1, track, base + seen * 1000 // HZ, a, n))
-                    seen += n
-            elif ident in (NUMBER, KIND, CHANNELS, DEPTH):
-                state["track"][ident] = int.from_bytes(data[at:stop], "big")
+                packets(at, stop)
+            elif ident in (NUMBER, KIND, CHANNELS, DEPTH, DURATION):
+                track[ident] = int.from_bytes(body, "big")
+            elif ident == RATE:
+                track[RATE] = real(body)
             elif ident == CODEC:
-                state["track"][CODEC] = data[at:stop].decode("ascii", "replace")
+                track[CODEC] = body.decode("ascii", "replace")
             elif ident in (CUE_TIME, CUE_TRACK, CUE_CLUSTER):
-                state["cue"][ident] = int.from_bytes(data[at:stop], "big")
+                cue[ident] = int.from_bytes(body, "big")
             at = stop
-        return at
-
-    try:
-        walk(0, len(data), 0)
-    except (ValueError, IndexError):
+    except (ValueError, IndexError, KeyError):
         got["ok"] = False
     return got
 
@@ -194,6 +218,8 @@ def feature_of(data: bytes, got: dict, back: bytes) -> str:
     """Counts of the container, and the samples' mean, deviation, mean step and zero share."""
     x = np.frombuffer(back, np.uint8).astype(np.float64)
     step = np.abs(np.diff(x)).mean() if len(x) > 1 else 0.0
+    if not len(x):
+        x = np.zeros(1)  # a file without packets
     return f"tracks={len(got['tracks'])};clusters={len(got['clusters'])};packets={len(got['packets'])};cues={len(got['cues'])};ms={len(back) * 1000 // HZ};mean={x.mean():.3f};dev={x.std():.3f};step={step:.3f};zeros={(x == 0).mean():.4f}"
 
 
@@ -228,12 +254,13 @@ def packet_table(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """Digests of what is read back through the packets of (doc_id, media, n_bytes)."""
+    """Digests of what is read back through the packets of (doc_id, media, n_bytes); null media count as empty files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for ident, data, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                data = data or b""
                 got = parse(data)
                 back = b"".join(data[a : a + k] for _, _, _, a, k in got["packets"])
                 rows.append((ident, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature_of(data, got, back)))
