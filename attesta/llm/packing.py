@@ -127,25 +127,27 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
     return [x for r in sorted(bins) for x in bins[r]]
 
 
-def best_fit(pieces: DataFrame, *, capacity: int = 1024, shards: int = 64) -> DataFrame:
+def best_fit(pieces: DataFrame, *, capacity: int = 1024, shard_rows: int = 5_000) -> DataFrame:
     """pieces with sequence_id and offset. Rows are told apart by (doc_id, piece, start); rows equal in these share no place.
 
-    Ranks within a length come from counts by (length, shard), so that no task needs all pieces of a length.
+    Ranks within a length come from counts by (length, shard), so that no task needs all pieces of a length: each length
+    has as many shards as `shard_rows` asks for.
     """
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
+    sizes = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
+    spark = pieces.sparkSession
+    parts = F.broadcast(spark.createDataFrame([(n, -(-c // shard_rows)) for n, c in sizes.items()] or [(0, 1)], "length long, parts long"))  # bounded by the capacity
+    dealt = pieces.join(parts, "length").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts")).cast("int"))
     counts = dealt.groupBy("length", "shard").count()
-    total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
-    slots, base, at = [], 0, dict.fromkeys(total, 0)
-    for many, own in plan(total, capacity):
+    slots, base, at = [], 0, dict.fromkeys(sizes, 0)
+    for many, own in plan(sizes, capacity):
         offset = 0
         for n in own:
             slots.append((n, at[n], at[n] + many, base, offset))
             at[n] += many
             offset += n
         base += many
-    spark = pieces.sparkSession
     places = F.broadcast(spark.createDataFrame(slots or [(0, 0, 0, 0, 0)], "length long, lo long, hi long, base long, offset long"))  # bounded by the capacity
-    before = F.broadcast(counts.select("length", "shard", F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")))  # capacity * shards rows at most
+    before = counts.select("length", "shard", F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     within = F.row_number().over(Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = dealt.withColumn("within", within).join(before, ["length", "shard"]).withColumn("rank", F.col("within") + F.col("before"))
     placed = ranked.join(places, (ranked["length"] == places["length"]) & (ranked["rank"] >= places["lo"]) & (ranked["rank"] < places["hi"]))
