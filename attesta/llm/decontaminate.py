@@ -67,6 +67,8 @@ class Items:
     """A block of the benchmark, ready for lookup."""
 
     def __init__(self, rows: list[tuple[int, bytes]], rate: float):
+        self.short = [(i, b" " + x + b" ") for i, x in rows if 0 < len(x) < Q]
+        rows = [(i, x) for i, x in rows if len(x) >= Q]
         self.ids = [i for i, _ in rows]
         self.data = [np.frombuffer(x, np.uint8) for _, x in rows]
         self.raw = [x for _, x in rows]
@@ -89,6 +91,11 @@ class Items:
 
     def find(self, data: bytes) -> list[tuple[int, int, int]]:
         """(item id, edits, place of the best band's first shared gram) of each item in data, once per item."""
+        padded = b" " + data + b" " if self.short else b""
+        few = [(i, 0, at) for i, x in self.short if (at := padded.find(x)) >= 0]
+        return sorted(few + self._long(data)) if few else self._long(data)
+
+    def _long(self, data: bytes) -> list[tuple[int, int, int]]:
         text = np.frombuffer(data, np.uint8)
         g = grams(text)
         at = np.flatnonzero(self.table[self._slot(g)])
@@ -145,14 +152,15 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
     n = max(1, math.ceil(size / block_bytes))
     for i in range(n):
         part = rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i)
-        yield [(r["item"], x) for r in part.collect() if len(x := normalise(r["text"])) >= Q]
+        yield [(r["item"], x) for r in part.collect() if (x := normalise(r["text"]))]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.1, block_bytes: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, edits, place): each benchmark item that a document holds with at most `rate` edits per byte.
 
-    place: the byte in the normalised text near which it begins. Null or empty texts hold nothing; items of fewer than
-    eight normalised bytes, null items and rows without item id are held by nothing. A repeated item or row gives
+    place: the byte in the normalised text near which it begins. Items of fewer than eight normalised bytes are held where
+    they stand as whole words, without edits. Null or empty texts hold nothing; null or empty items and rows without item
+    id are held by nothing. A repeated item or row gives
     repeated rows only where ids differ or the document row is repeated. Other columns are ignored; empty tables give
     no rows.
     """
