@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import texts_of
+from attesta.llm.common import cut, texts_of
 from attesta.llm.quality_rules import in_fold
 
 # The letters that a character is used for in disguised words.
@@ -329,7 +329,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", folds
     lm = language_model(trigram_counts(texts))
     rows = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y is not null").filter(~in_fold(F.col("id"), folds, fold)).groupBy("id").agg(F.max("y").alias("y"))
     some = rows.filter("y = 1").orderBy(F.xxhash64("id"), "id").limit(sample // 4).unionByName(rows.filter("y = 0").orderBy(F.xxhash64("id"), "id").limit(sample - sample // 4))
-    picked = texts.join(F.broadcast(some), "id").dropDuplicates(["text", "y"])  # at most `sample` rows
+    picked = cut(texts.join(F.broadcast(some), "id").select("text", "y").dropDuplicates(), "picked")  # at most `sample` rows; read five times
 
     def of_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
@@ -354,11 +354,11 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", folds
                 out.append(sorted(found))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.list_(pa.string()))], ["y", "f"])
 
-    have = picked.select("text", "y").mapInArrow(counted, "y int, f array<string>")
+    have = cut(picked.select("text", "y").mapInArrow(counted, "y int, f array<string>"), "features")
     clean_rows = have.filter("y = 0").select(F.explode("f").alias("f")).groupBy("f").count().collect()  # of the candidates only
     n = {r["y"]: r["n"] for r in picked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     clean = {r["f"]: r["count"] for r in clean_rows}
-    sets = [set(r["f"]) for r in have.filter("y = 1").select("f").toLocalIterator()]  # of the sample's toxic rows
+    sets = [set(r["f"]) for r in have.filter("y = 1").select("f").collect()]  # of the sample's toxic rows, a quarter of `sample` at most
     lexicon = cover(sets, clean, n.get(0, 0), least, purity)
     draft = ToxicModel(lm, lexicon, ())
 
