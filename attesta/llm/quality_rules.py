@@ -17,16 +17,20 @@ from attesta.llm.common import texts_of
 
 
 def statistics(text: Column) -> dict[str, Column]:
-    """Named statistics of a text; counts as log(1 + count), shares of characters or words; all 0 for an empty text."""
+    """Named statistics of a text; counts as log(1 + count), shares of characters or words; all 0 for an empty text.
+
+    Characters are counted by how much shorter the text gets without them, so that no match becomes a string of its own.
+    """
     n = F.length(text).cast("double")
     words = F.array_remove(F.split(text, r"[ \t\n\x0B\f\r]+"), "")
     n_words = F.size(words).cast("double")
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
+    without = lambda pattern: F.length(F.regexp_replace(text, pattern, "")).cast("double")
+    literal = lambda s: (n - F.length(F.replace(text, F.lit(s), F.lit("")))) / float(len(s))
     share = lambda x, of: F.when(of > 0, x / of).otherwise(F.lit(0.0))
-    upper, symbol, digit = count(r"\p{Lu}"), count(r"[^\p{L}\p{N}\s.,;:!?'\"()@-]"), count(r"[0-9]")
-    shout, bar, again = count(r"!!"), count(r"\|"), count(r"(?<!\S)(\S++) \1(?!\S)")
-    stop, letter = count(r"[.!?]"), count(r"\p{L}")
-    lines = count(r"\n") + 1
+    upper, digit = n - without(r"\p{Lu}++"), n - without(r"[0-9]++")
+    letter, symbol = without(r"[^\p{L}]++"), without(r"[\p{L}\p{N}\s.,;:!?'\"()@-]++")
+    shout, bar, again = literal("!!"), literal("|"), F.regexp_count(text, F.lit(r"(?<!\S)(\S++) \1(?!\S)")).cast("double")
+    stop, lines = literal(".") + literal("!") + literal("?"), literal("\n") + 1
     return {
         "chars": F.log1p(n),
         "words": F.log1p(n_words),
@@ -187,6 +191,8 @@ def score_quality(docs: DataFrame, model: RuleModel, *, folds: int = 3, fold: in
 def keep_good(docs: DataFrame, model: RuleModel, *, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that score `least` or more; a null text scores as an empty one."""
     stats = statistics(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    # A generator keeps the filter above it, so that each statistic is computed once and not once per rule.
-    rows = docs.select("*", F.inline(F.array(F.struct(*(c.alias(f"__stat_{k}") for k, c in stats.items())))))
-    return rows.filter(model.score({k: F.col(f"__stat_{k}") for k in stats}) >= least).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # Statistics in one projection, which shares what they have in common; a generator after it keeps the filter above it,
+    # so that they are not computed again for each rule.
+    rows = docs.select("*", *(c.alias(f"__stat_{k}") for k, c in stats.items()))
+    scored = rows.select("*", F.explode(F.array(model.score({k: F.col(f"__stat_{k}") for k in stats}))).alias("__score"))
+    return scored.filter(F.col("__score") >= least).select(*(F.col(f"`{c}`") for c in docs.columns))
