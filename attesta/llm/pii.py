@@ -1,10 +1,12 @@
 """Personal data: e-mail addresses, IP addresses, card and phone numbers.
 
-Base spans come from fixed patterns. A character-level bidirectional LSTM with CRF transitions (pii_tagger), trained on
-windows of the documents whose base spans label them and on the same windows rewritten in other notations, adds spans
-that the patterns miss. It reads overlapping windows; where they overlap, emissions are averaged by how central they
-are, and each stretch of windows is decoded as one. A window is read if it has a digit, an @ or a bracketed "at": every
-span of these kinds has one. Added spans must not touch base spans and must be sound (digit counts, check digit, octets).
+Base spans come from fixed patterns. A character-level bidirectional LSTM with CRF transitions (pii_tagger) adds spans
+that the patterns miss. It is trained on windows of the documents, labelled by their base spans, and on windows into which
+invented data were put, in many notations, with their labels, or numbers that are no personal data. It reads overlapping
+windows; where they overlap, emissions are averaged by how central they are; stretches of windows are decoded in pieces
+that overlap, and joined in the middle of each overlap. A window is read if it has a digit, an @, or an "at" that "dot"
+follows: every span of these kinds has one. Added spans must not touch base spans and must be sound: enough digits, a
+right check digit, four octets, an "at" and a "dot", and no part of a longer word.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import texts_of
+from attesta.llm.common import cut, texts_of
 from attesta.llm.pii_tagger import KINDS, MARGIN, PAD, SIZE, STEP, TAGS, Tagger, classes, fit
 
 # The base patterns.
@@ -26,7 +28,9 @@ HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]|[\[(] ?at ?[\])]", re.I)
+AT, DOT = r"(?:@|[\[({<] ?at ?[\])}>]|\bat\b)", r"(?:\.|[\[({<] ?(?:dot|\.) ?[\])}>]|\bdot\b)"
+TRIGGER = re.compile(rf"[0-9@]|[\w.%+-]{{1,40}} ?{AT} ?[\w-]{{1,40}} ?{DOT} ?\w", re.I)
+PIECE, SHARED = 16, 2  # windows of a piece, and of two neighbouring pieces' overlap
 
 Span = tuple[int, int, str]
 
@@ -70,36 +74,48 @@ def base_spans(text: str) -> list[Span]:
 
 
 def sound(text: str, start: int, end: int, kind: str) -> bool:
-    """Whether an added span can be what it is said to be."""
+    """Whether an added span can be what it is said to be: its digits, octets or parts, and that it is no part of a word."""
     s, d = text[start:end], digits_of(text[start:end])
-    whole = not (start and text[start - 1].isalnum() and text[start].isalnum()) and not (end < len(text) and text[end].isalnum() and text[end - 1].isalnum())
-    if not whole or len(s) > 80:
+    if start and text[start - 1].isalnum() and text[start].isalnum() or end < len(text) and text[end].isalnum() and text[end - 1].isalnum():
         return False
     if kind == "email":
-        return bool(re.fullmatch(r"[\w.%+-]+ ?(?:@|[\[(] ?at ?[\])]) ?[\w-]+(?: ?(?:\.|[\[(] ?(?:dot|\.) ?[\])]) ?[\w-]+)+", s, re.I))
+        return len(s) <= 254 and bool(re.search(rf"\w ?{AT} ?\w.*{DOT} ?\w", s, re.I))
+    if re.search(r"[^\W\d_]", re.sub(r"(?i)dot", "", s)):
+        return False
     if kind == "ip":
-        parts = re.split(r" ?(?:\.|[\[(] ?(?:dot|\.) ?[\])]) ?", s)
-        return len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) <= 255 for p in parts)
+        parts = re.findall(r"[0-9]+", s)
+        return len(parts) == 4 and all(len(p) < 4 and int(p) <= 255 for p in parts)
     if kind == "card":
-        return bool(re.fullmatch(r"[0-9](?:[0-9 ./_-]{0,2}[0-9])+", s)) and 13 <= len(d) <= 19 and luhn(d)
-    return bool(re.fullmatch(r"[+(]*[0-9](?:[0-9 ()./-]{0,3}[0-9])+", s)) and 10 <= len(d) <= 15 and len(d) < len(s) and not re.fullmatch(r"[0-9]+(\.[0-9]+)*", s)
+        return 13 <= len(d) <= 19 and luhn(d)
+    return 10 <= len(d) <= 15 and len(d) < len(s)
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
     """(first, last) window of each run of windows to read."""
     out: list[list[int]] = []
+    most = (len(text) - 1) // STEP
     for m in TRIGGER.finditer(text):
-        k = m.start() // STEP
-        for w in (k - 1, k, k + 1) if m.start() % STEP < MARGIN or m.start() % STEP >= STEP - MARGIN else (k,):
-            if w < 0 or w * STEP >= len(text):
-                continue
-            if out and w <= out[-1][1] + 1:
-                out[-1][1] = max(out[-1][1], w)
-            else:
-                out.append([w, w])
+        a, b = max(0, m.start() - MARGIN) // STEP, min(most, (m.end() - 1 + MARGIN) // STEP)
+        if out and a <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
     return [(a, b) for a, b in out]
 
 
+def pieces(text: str) -> list[tuple[int, int, int, int]]:
+    """(first, last, lo, hi): windows to decode at once, at most PIECE of them, and the characters that it decides."""
+    out = []
+    for a, b in stretches(text):
+        lo = a * STEP - MARGIN
+        while b - a >= PIECE:
+            hi = (a + PIECE - SHARED) * STEP - MARGIN + (SHARED * STEP + SIZE - STEP) // 2
+            out.append((a, a + PIECE - 1, lo, hi))
+            a, lo = a + PIECE - SHARED, hi
+        out.append((a, b, lo, b * STEP - MARGIN + SIZE))
+    return out
+
+
 def windows(c: np.ndarray, first: int, last: int) -> np.ndarray:
     """Windows first to last of a text's character classes c; PAD beyond its ends."""
     lo, hi = first * STEP - MARGIN, last * STEP - MARGIN + SIZE
@@ -125,34 +141,40 @@ def tag_spans(tags: np.ndarray, at: int) -> list[Span]:
 
 
 def model_spans(texts: list[str], model: Tagger, chunk: int = 512) -> list[list[Span]]:
-    """The tagger's spans of each text, before any check."""
-    jobs, parts = [], []
+    """The tagger's spans of each text, before any check. At most about `chunk` windows' emissions are held at once."""
+    coded, by_size = {}, {}
     for i, text in enumerate(texts):
-        runs = stretches(text)
-        c = classes(text) if runs else None
-        for a, b in runs:
-            parts.append(windows(c, a, b))
-            jobs.append((i, a, b))
-    out: list[list[Span]] = [[] for _ in texts]
-    if not jobs:
-        return out
-    flat = np.concatenate(parts)
-    e = np.concatenate([model.emissions(flat[s : s + chunk]) for s in range(0, len(flat), chunk)])
-    at, groups = 0, {}
-    for i, a, b in jobs:
-        groups.setdefault(b - a + 1, []).append((i, a, at))
-        at += b - a + 1
-    for n, own in groups.items():
+        for a, b, lo, hi in pieces(text):
+            by_size.setdefault(b - a + 1, []).append((i, a, lo, hi))
+    found: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for n, own in by_size.items():
         size = (n - 1) * STEP + SIZE
-        for s in range(0, len(own), max(1, chunk // n)):
-            some = own[s : s + max(1, chunk // n)]
-            total, weight = np.zeros((len(some), size, TAGS), np.float32), np.zeros(size, np.float32)
+        weight = np.zeros(size, np.float32)
+        for w in range(n):
+            weight[w * STEP : w * STEP + SIZE] += CENTRAL
+        step = max(1, chunk // n)
+        for some in (own[s : s + step] for s in range(0, len(own), step)):
+            for i in {x[0] for x in some} - coded.keys():
+                coded[i] = classes(texts[i])
+            e = model.emissions(np.concatenate([windows(coded[i], a, a + n - 1) for i, a, _, _ in some])).reshape(len(some), n, SIZE, TAGS)
+            total = np.zeros((len(some), size, TAGS), np.float32)
             for w in range(n):
-                weight[w * STEP : w * STEP + SIZE] += CENTRAL
-                total[:, w * STEP : w * STEP + SIZE] += e[[x[2] + w for x in some]] * CENTRAL[:, None]
-            for (i, a, _), tags in zip(some, model.decode(total / weight[:, None])):
+                total[:, w * STEP : w * STEP + SIZE] += e[:, w] * CENTRAL[:, None]
+            for (i, a, lo, hi), tags in zip(some, model.decode(total / weight[:, None])):
+                at = a * STEP - MARGIN
                 if tags.any():
-                    out[i] += tag_spans(tags, a * STEP - MARGIN)
+                    found.setdefault(i, []).append((lo, tags[lo - at : hi - at]))
+    out: list[list[Span]] = [[] for _ in texts]
+    for i, parts in found.items():
+        parts.sort(key=lambda x: x[0])
+        k = 0
+        while k < len(parts):
+            at, tags = parts[k][0], [parts[k][1]]
+            while k + 1 < len(parts) and parts[k + 1][0] == parts[k][0] + len(parts[k][1]):
+                k += 1
+                tags.append(parts[k][1])
+            out[i] += tag_spans(np.concatenate(tags), at)
+            k += 1
     return out
 
 
@@ -166,67 +188,102 @@ def added_spans(text: str, base: list[Span], found: list[Span]) -> list[Span]:
     return out
 
 
-def rewrite(s: str, kind: str, r: np.random.Generator) -> tuple[str, str]:
-    """(the same datum in another notation, its kind)."""
+Pick = np.random.Generator
+
+
+def _digits(r: Pick, k: int) -> str:
+    return "".join(map(str, r.integers(0, 10, k)))
+
+
+def _name(r: Pick, low: int, high: int) -> str:
+    return "".join(chr(97 + x) for x in r.integers(0, 26, int(r.integers(low, high))))
+
+
+def invented(kind: str, r: Pick) -> str:
+    """A datum of a kind, in the notation that the base patterns find."""
+    if kind == "email":
+        user = _name(r, 2, 10) + ["", f".{_name(r, 3, 9)}", f"_{_name(r, 3, 7)}", _digits(r, 2), f"+{_name(r, 2, 5)}"][int(r.integers(5))]
+        return f"{user}@{_name(r, 3, 11)}{['', '', f'.{_name(r, 2, 6)}', f'-{_name(r, 2, 6)}'][int(r.integers(4))]}.{['com', 'org', 'net', 'de', 'co.uk', 'io', 'example'][int(r.integers(7))]}"
+    if kind == "ip":
+        return ".".join(str(int(r.integers(0, 256))) for _ in range(4))
+    if kind == "card":
+        d = str(int(r.integers(3, 7))) + _digits(r, int(r.choice([13, 14, 14, 14, 15, 17])))
+        return d + next(c for c in "0123456789" if luhn(d + c))
+    return f"+{int(r.integers(1, 99))} {_digits(r, 3)} {_digits(r, 3)} {_digits(r, 4)}"
+
+
+def rewrite(s: str, kind: str, r: Pick) -> str:
+    """The same datum in a notation that the base patterns miss."""
     pick = lambda *x: x[int(r.integers(len(x)))]
     d = digits_of(s)
     if kind == "email":
         user, host = s.split("@", 1)
-        dot = pick(".", ".", " [dot] ", "(dot)", "[.]")
-        return f"{user}{pick(' [at] ', '(at)', ' (at) ', '[at]', ' @ ', '@')}{host.replace('.', dot)}", kind
+        at, dot = pick((" [at] ", " [dot] "), ("[at]", "[dot]"), ("(at)", "(dot)"), (" (at) ", " (dot) "), (" at ", " dot "), (" AT ", " DOT "), (" @ ", " . "), ("@", "[.]"), ("[at]", "."), (" {at} ", " {dot} "), ("<at>", "<dot>"), ("(at)", "."), ("@", " dot "))
+        return f"{user}{at}{host.replace('.', dot)}"
     if kind == "ip":
-        return pick("[.]", "(.)", " . ", "[dot]").join(s.split(".")), kind
+        return pick("[.]", "(.)", " . ", "[dot]", "(dot)", " dot ").join(s.split("."))
     if kind == "card":
-        step = pick(4, 4, 5)
-        return pick(".", "/", "_", "  ", "- ").join(d[i : i + step] for i in range(0, len(d), step)), kind
+        step, mark = pick(4, 4, 5, 6), pick(".", "/", "_", "  ", " - ", "--", ". ")
+        return mark.join(d[i : i + step] for i in range(0, len(d), step))
     a, b, c = d[-10:-7], d[-7:-4], d[-4:]
-    return pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"({a}) {b} {c}", f"{a}/{b}-{c}", f"00{d[:-10]} {a} {b} {c}", f"{a} {b} {c}", f"1-{a}-{b}-{c}"), kind
+    return pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"({a}) {b} {c}", f"{a}/{b}-{c}", f"00{d[:-10]} {a} {b} {c}", f"{a} {b} {c}", f"1-{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}){b}-{c}", f"0{a} {b}{c}", f"{a} {b}-{c}", f"00{d[:-10]}-{a}-{b}-{c}", f"{a}/{b}{c}")
 
 
-def decoy(r: np.random.Generator) -> str:
-    """Digits that are no personal data."""
-    n = lambda k: "".join(map(str, r.integers(0, 10, k)))
-    return [lambda: n(4), lambda: f"{n(1)}.{n(1)}", lambda: f"20{n(2)}-0{n(1)}-1{n(1)}", lambda: f"v{n(1)}.{n(1)}.{n(2)}", lambda: n(8), lambda: f"{n(3)},{n(3)}", lambda: f'"{n(5)}ab{n(6)}f{n(7)}"', lambda: f"{n(2)}%", lambda: f"@{n(2)}", lambda: f"{n(1)}:{n(2)}", lambda: f"{n(3)}-{n(2)}", lambda: n(13), lambda: f"#{n(5)}"][int(r.integers(13))]()
+def decoy(r: Pick) -> str:
+    """Digits, or an "at" and a dot, that are no personal data."""
+    n = lambda k: _digits(r, k)
+    w = lambda: _name(r, 2, 9)
+    kinds = [lambda: n(4), lambda: f"{n(1)}.{n(1)}", lambda: f"20{n(2)}-0{n(1)}-1{n(1)}", lambda: f"v{n(1)}.{n(1)}.{n(2)}", lambda: n(8), lambda: f"{n(3)},{n(3)}", lambda: f"{n(1)},{n(3)},{n(3)}.{n(2)}", lambda: f'"{n(5)}ab{n(6)}f{n(7)}"', lambda: f"{n(2)}%", lambda: f"@{n(2)}", lambda: f"{n(1)}:{n(2)}", lambda: f"{n(3)}-{n(2)}", lambda: n(13), lambda: f"#{n(5)}", lambda: f"1{n(1)}.0{n(1)}.20{n(2)}", lambda: f"{n(2)}/{n(2)}/{n(4)}", lambda: f"978-{n(1)}-{n(2)}-{n(6)}-{n(1)}", lambda: f"{n(1)}.{n(1)}.{n(1)}", lambda: f"{n(3)}.{n(3)}.{n(3)}", lambda: f"{n(4)}-{n(4)}", lambda: " ".join(n(5) for _ in range(4)), lambda: f"{w()} at {w()}. {w()} dot {w()}", lambda: f"@{w()}", lambda: f"{w()} @ {w()}", lambda: n(int(r.integers(10, 22))), lambda: f"{n(2)} {n(2)} {n(2)}", lambda: f"[{n(2)}] [{n(3)}]"]
+    return kinds[int(r.integers(len(kinds)))]()
 
 
-def training_windows(text: str, seed: int, most: int = 2) -> list[tuple[bytes, bytes]]:
-    """(classes, tags) of up to `most` windows of a text, each also rewritten, and with decoys."""
-    r, out = np.random.default_rng(seed), []
+def training_windows(text: str, seed: int, own: int = 2, made: int = 4) -> list[tuple[bytes, bytes]]:
+    """(classes, tags) of up to `own` windows of a text, drawn from all that are to be read, and of `made` with something put in."""
+    r, versions = np.random.default_rng(seed), []
     base = base_spans(text)
     runs = stretches(text)
-    for k in r.permutation([w for a, b in runs for w in range(a, b + 1)])[:most]:
+    for k in r.permutation([w for a, b in runs for w in range(a, b + 1)])[:own]:
         lo = max(0, k * STEP - MARGIN)
         hi = min(len(text), lo + SIZE)
-        own = [s for s in base if s[0] < hi and s[1] > lo]
-        versions = [(text[lo:hi], [(max(a, lo) - lo, min(b, hi) - lo, kind) for a, b, kind in own])]
-        whole = [s for s in own if s[0] >= lo and s[1] <= hi]
-        if whole:
-            a, b, kind = whole[int(r.integers(len(whole)))]
-            for s, kind_ in (rewrite(text[a:b], kind, r), rewrite(text[a:b], kind, r), (decoy(r), "")):
-                left = text[max(0, a - int(r.integers(10, 40))) : a]
-                left = left if len(base_spans(left)) == 0 else " "
-                right = " " + re.sub(r"[0-9@+]", "", text[b : b + 60])
-                versions.append(((left + s + right)[:SIZE], [(len(left), min(len(left) + len(s), SIZE), kind_)] if kind_ else []))
-        for t, spans in versions:
-            tags = np.zeros(SIZE, np.uint8)
-            for a, b, kind in spans:
-                if not tags[a:b].any():
-                    tags[a:b] = 2 + 2 * KINDS.index(kind)
-                    tags[a] = 1 + 2 * KINDS.index(kind)
-            c = np.full(SIZE, PAD, np.uint8)
-            c[: len(t)] = classes(t)[:SIZE]
-            out.append((c.tobytes(), tags.tobytes()))
+        versions.append((text[lo:hi], [(max(a, lo) - lo, min(b, hi) - lo, kind) for a, b, kind in base if a < hi and b > lo]))
+    for k in range(made if text else 0):
+        at = int(r.integers(0, len(text)))
+        left, right = text[max(0, at - SIZE) : at], text[at : at + SIZE]
+        if base_spans(left) or base_spans(right):
+            left, right = re.sub(r"[0-9@+]", "", left), re.sub(r"[0-9@+]", "", right)
+        left, right = left.rsplit(" ", 1)[0], right.split(" ", 1)[-1]
+        kind = KINDS[int(r.integers(len(KINDS)))] if r.random() < 0.72 else ""
+        s = (invented(kind, r) if r.random() < 0.15 else rewrite(invented(kind, r), kind, r)) if kind else decoy(r)
+        left = left + [" ", " ", ": ", " (", ", "][int(r.integers(5))] if left else ""
+        whole = left + s + [" ", " ", ".", ", ", ")", "\n"][int(r.integers(6))] + right
+        lo = min(max(0, len(left) - int(r.integers(0, SIZE - min(len(s), SIZE - 8) // 2))), max(0, len(whole) - SIZE))
+        a, b = max(0, len(left) - lo), min(SIZE, len(left) + len(s) - lo)
+        versions.append((whole[lo : lo + SIZE], [(a, b, kind)] if kind and a < b else []))
+    out = []
+    for t, spans in versions:
+        tags = np.zeros(SIZE, np.uint8)
+        for a, b, kind in spans:
+            if not tags[a:b].any():
+                tags[a:b] = 2 + 2 * KINDS.index(kind)
+                tags[a] = 1 + 2 * KINDS.index(kind)
+        c = np.full(SIZE, PAD, np.uint8)
+        c[: len(t)] = classes(t)[:SIZE]
+        out.append((c.tobytes(), tags.tobytes()))
     return out
 
 
-def train(docs: DataFrame, *, sample: int = 1200, most: int = 2400, id_col: str = "doc_id", text_col: str = "text") -> Tagger:
-    """Fit on windows of at most `sample` documents that have a digit or an @, the first by hash; at most `most` windows."""
+def train(docs: DataFrame, *, sample: int = 1200, most: int = 4800, id_col: str = "doc_id", text_col: str = "text", **options) -> Tagger:
+    """Fit on windows of at most `sample` documents, the first by hash of id; at most `most` windows. options: of pii_tagger.fit.
+
+    Fewer documents get more invented data each, so that there are about as many windows.
+    """
     texts = texts_of(docs, id_col, text_col)
-    some = texts.filter(F.col("text").rlike("[0-9@]")).select("id").orderBy(F.xxhash64("id"), "id").limit(sample)
+    some = cut(texts.filter("id is not null").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample), "sample")
+    made = min(40, max(4, most // max(1, some.count()) - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [w for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in training_windows(t, (i or 0) & 0xFFFFFFFF)]
+            rows = [w for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in training_windows(t, i & 0xFFFFFFFF, made=made)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*rows)], ["c", "y"])
 
@@ -234,7 +291,7 @@ def train(docs: DataFrame, *, sample: int = 1200, most: int = 2400, id_col: str
     if not rows:
         return Tagger.new(8, 0)
     c, y = (np.frombuffer(b"".join(r[k] for r in rows), np.uint8).reshape(-1, SIZE) for k in ("c", "y"))
-    return fit(c.astype(np.int64), y.astype(np.int64))
+    return fit(c.astype(np.int64), y.astype(np.int64), **options)
 
 
 def find_spans(docs: DataFrame, model: Tagger, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,7 +305,7 @@ def find_spans(docs: DataFrame, model: Tagger, *, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
+            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
                 texts = part.column(1).to_pylist()
                 base = [base_spans(t) for t in texts]
                 every = [sorted([*b, *added_spans(t, b, f)], key=lambda s: (s[0], KINDS.index(s[2]), s[1])) for t, b, f in zip(texts, base, model_spans(texts, shared.value))]

@@ -41,15 +41,6 @@ FORBID = allowed()
 FIRST = np.where(np.arange(TAGS) % 2 * 1 + (np.arange(TAGS) == 0) > 0, 0, -1e4).astype(np.float32)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 @dataclass
 class Tagger:
     """Weights of both directions stacked: x (2, classes, 4h), h (2, h, 4h), b (2, 1, 4h), out (2h, tags), bias, moves."""
@@ -68,14 +59,22 @@ class Tagger:
         """Hidden states (2, T, N, h) of windows c (N, T), the second direction read from the right; keep: for training."""
         n, t = c.shape
         h = self.p["h"].shape[1]
+        kind = self.p["x"].dtype
         both = np.stack([c.T, c.T[::-1]])  # (2, T, N)
-        hs, cs = np.zeros((2, t + 1, n, h), np.float32), np.zeros((2, t + 1, n, h), np.float32)
-        gates = np.zeros((2, t, n, 4 * h), np.float32) if keep else None
+        # A sigmoid is half a tanh of half its input and a half, so that all four gates are one tanh.
+        half = np.ones(4 * h, kind)
+        half[: 3 * h] = 0.5
+        x = (self.p["x"] + self.p["b"]) * half
+        w = self.p["h"] * half
         which = np.arange(2)[:, None]
+        hs, cs = np.zeros((2, t + 1, n, h), kind), np.zeros((2, t + 1, n, h), kind)
+        gates = np.zeros((2, t, n, 4 * h), kind) if keep else None
         for i in range(t):
-            z = self.p["x"][which, both[:, i]] + hs[:, i] @ self.p["h"] + self.p["b"]
-            z[..., : 3 * h] = _sigmoid(z[..., : 3 * h])
-            z[..., 3 * h :] = np.tanh(z[..., 3 * h :])
+            z = x[which, both[:, i]]
+            z += hs[:, i] @ w
+            np.tanh(z, out=z)
+            z[..., : 3 * h] *= 0.5
+            z[..., : 3 * h] += 0.5
             cs[:, i + 1] = z[..., h : 2 * h] * cs[:, i] + z[..., :h] * z[..., 3 * h :]
             hs[:, i + 1] = z[..., 2 * h : 3 * h] * np.tanh(cs[:, i + 1])
             if keep:
@@ -111,55 +110,52 @@ class Tagger:
         both, hs, cs, gates = self.states(c, keep=True)
         x = np.concatenate([hs[0, 1:], hs[1, 1:][::-1]], axis=-1)  # (T, N, 2h)
         e = x @ self.p["out"] + self.p["bias"]
-        moves = self.p["moves"] + FORBID
-        a, b = np.zeros_like(e), np.zeros_like(e)
-        a[0] = e[0] + FIRST
-        for i in range(1, t):
-            a[i] = _logsum(a[i - 1][:, :, None] + moves, 1) + e[i]
+        # Forward and backward in probabilities, scaled to sum to one at each place.
+        top = e.max(axis=2, keepdims=True)
+        odds, moves = np.exp(e - top), np.exp(self.p["moves"] + FORBID)
+        a, b, scale = np.zeros_like(e), np.ones_like(e), np.zeros((t, n, 1), e.dtype)
+        now = odds[0] * np.exp(FIRST)
+        for i in range(t):
+            if i:
+                now = (a[i - 1] @ moves) * odds[i]
+            scale[i] = now.sum(axis=1, keepdims=True)
+            a[i] = now / scale[i]
         for i in range(t - 2, -1, -1):
-            b[i] = _logsum(moves + (e[i + 1] + b[i + 1])[:, None, :], 2)
-        z = _logsum(a[-1], 1)
-        d = np.exp(a + b - z[:, None])  # marginals (T, N, tags)
+            b[i] = (odds[i + 1] * b[i + 1] / scale[i + 1]) @ moves.T
+        z = (np.log(scale) + top).sum(axis=(0, 2))
+        d = a * b  # marginals (T, N, tags)
         rows = np.arange(n)
-        gold = sum(e[i, rows, y[:, i]] for i in range(t)) + FIRST[y[:, 0]] + sum(moves[y[:, i], y[:, i + 1]] for i in range(t - 1))
-        g = {"moves": np.zeros((TAGS, TAGS), np.float32)}
-        for i in range(1, t):
-            g["moves"] += np.exp(a[i - 1][:, :, None] + moves + (e[i] + b[i])[:, None, :] - z[:, None, None]).sum(axis=0)
-            np.subtract.at(g["moves"], (y[:, i - 1], y[:, i]), 1)
-            d[i, rows, y[:, i]] -= 1
-        d[0, rows, y[:, 0]] -= 1
+        gold = sum(e[i, rows, y[:, i]] for i in range(t)) + FIRST[y[:, 0]] + (self.p["moves"] + FORBID)[y[:, :-1], y[:, 1:]].sum(axis=1)
+        g = {"moves": moves * (a[:-1].reshape(-1, TAGS).T @ (odds[1:] * b[1:] / scale[1:]).reshape(-1, TAGS))}
+        np.subtract.at(g["moves"], (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
+        d[np.arange(t)[:, None], rows, y.T] -= 1
         d /= n
         g["moves"] /= n
         g["out"] = x.reshape(-1, 2 * h).T @ d.reshape(-1, TAGS)
         g["bias"] = d.sum(axis=(0, 1))
         dx = d @ self.p["out"].T
         dh_out = np.stack([dx[..., :h], dx[::-1, :, h:]])
-        every = np.zeros((2, t, n, 4 * h), np.float32)
-        gh, gb = np.zeros_like(self.p["h"]), np.zeros_like(self.p["b"])
-        dh, dc = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
-        dz = np.zeros((2, n, 4 * h), np.float32)
+        # What the steps back multiply by, for all places at once.
+        one, forget, out, new = (gates[..., k * h : (k + 1) * h] for k in range(4))
+        th = np.tanh(cs[:, 1:])
+        into = out * (1 - th * th)
+        by = [new * one * (1 - one), cs[:, :-1] * forget * (1 - forget), th * out * (1 - out), one * (1 - new * new)]
+        dz = np.zeros((2, t, n, 4 * h), e.dtype)
+        dh, dc, back = np.zeros((2, n, h), e.dtype), np.zeros((2, n, h), e.dtype), self.p["h"].transpose(0, 2, 1)
         for i in range(t - 1, -1, -1):
-            q = gates[:, i]
-            one, forget, out, new = q[..., :h], q[..., h : 2 * h], q[..., 2 * h : 3 * h], q[..., 3 * h :]
-            th = np.tanh(cs[:, i + 1])
             dh = dh + dh_out[:, i]
-            dc = dc + dh * out * (1 - th * th)
-            dz[..., :h] = dc * new * one * (1 - one)
-            dz[..., h : 2 * h] = dc * cs[:, i] * forget * (1 - forget)
-            dz[..., 2 * h : 3 * h] = dh * th * out * (1 - out)
-            dz[..., 3 * h :] = dc * one * (1 - new * new)
-            gh += hs[:, i].transpose(0, 2, 1) @ dz
-            gb += dz.sum(axis=1, keepdims=True)
-            every[:, i] = dz
-            dh = dz @ self.p["h"].transpose(0, 2, 1)
-            dc = dc * forget
-        hot = (both.reshape(2, -1)[:, :, None] == np.arange(CLASSES)).astype(np.float32)
-        gx = hot.transpose(0, 2, 1) @ every.reshape(2, -1, 4 * h)
-        g |= {"x": gx, "h": gh, "b": gb}
+            dc = dc + dh * into[:, i]
+            own = np.concatenate([dc * by[0][:, i], dc * by[1][:, i], dh * by[2][:, i], dc * by[3][:, i]], axis=-1)
+            dz[:, i] = own
+            dh = own @ back
+            dc = dc * forget[:, i]
+        every = dz.reshape(2, -1, 4 * h)
+        hot = (both.reshape(2, -1)[:, :, None] == np.arange(CLASSES)).astype(e.dtype)
+        g |= {"x": hot.transpose(0, 2, 1) @ every, "h": hs[:, :-1].reshape(2, -1, h).transpose(0, 2, 1) @ every, "b": every.sum(axis=1, keepdims=True)}
         return float((z - gold).mean()), g
 
 
-def fit(c: np.ndarray, y: np.ndarray, *, hidden: int = 24, epochs: int = 6, batch: int = 48, rate: float = 0.015, seed: int = 5) -> Tagger:
+def fit(c: np.ndarray, y: np.ndarray, *, hidden: int = 24, epochs: int = 8, batch: int = 96, rate: float = 0.02, seed: int = 5) -> Tagger:
     """Train on windows c (N, SIZE) and tags y (N, SIZE)."""
     model, r = Tagger.new(hidden, seed), np.random.default_rng(seed)
     m, v = {n: np.zeros_like(x) for n, x in model.p.items()}, {n: np.zeros_like(x) for n, x in model.p.items()}
