@@ -43,7 +43,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("personal_data", personal_data), ("packing", packing)]
 
-ORACLE_SQL = None  # tokens and fitted models are beyond SQL; tests/llm hold each stage against a brute-force version
+ORACLE_SQL = None  # tokens and fitted models are beyond SQL; see tests/llm/test_pipeline.py
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
