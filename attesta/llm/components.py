@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import cut
+from attesta.llm.common import cut, dealt_anew
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    least = dealt_anew(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "u")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "down")
-    least = cut(down.groupBy("u").agg(F.min("v").alias("m")), "least")
-    moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    moved = down.join(dealt_anew(least, "u"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -25,8 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) for each node of edges (u, v) but the smallest of its component; component is that smallest id.
 
     Null ends are dropped; loops and repeated edges are harmless; no edges give no rows. Every step is a grouped
-    minimum, which combines before it shuffles, and a join with it. The minimum is written down before the join: both
-    would otherwise share one exchange of the edges, and a node with very many edges could not be split in it.
+    minimum, which combines before it shuffles, and a join with it, in which a node with very many edges is split like
+    any hot key (see dealt_anew).
     """
     now = cut(edges.filter("u is not null and v is not null and u <> v").select("u", "v").distinct(), "edges")
     before = None

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import WordHashes, cut, gram_hashes, mix, texts_of
+from attesta.llm.common import WordHashes, cut, dealt_anew, gram_hashes, mix, texts_of
 from attesta.llm.components import components
 
 BITS = 2
@@ -185,8 +185,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sigs = reps.select("id", "sig")
     keys = reps.select("id", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top"), F.count(F.lit(1)).alias("c")).filter("top <> pivot")
-    buckets = cut(buckets.select("key", "pivot", "c"), "buckets")  # here and below: written before the join, so that a hot key is split there
-    members = cut(keys.join(buckets, "key"), "members")
+    members = cut(keys.join(dealt_anew(buckets.select("key", "pivot", "c"), "key"), "key"), "members")
 
     # The one time that texts are shuffled; merged at every size, so that the cost follows the input.
     candidates = cut(texts.join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "candidates")
@@ -201,9 +200,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = cut(confirmed(tried, candidates, shingle, num, den), "links")
     first = components(links)
     # Buckets that still hold several components.
-    now = cut(members.join(first, "id", "left").select("key", "id", "c", F.coalesce("component", "id").alias("comp")), "now")
+    now = members.join(first, "id", "left").select("key", "id", "c", F.coalesce("component", "id").alias("comp"))
     mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("head")).filter("lo <> hi").select("key", "head")
-    rest = cut(now.join(cut(mixed, "heads"), "key"), "mixed")
+    rest = cut(now.join(dealt_anew(mixed, "key"), "key"), "mixed")
     small = rest.filter(F.col("c") <= SMALL_BUCKET)
     other = small.select("key", F.col("id").alias("v"), F.col("comp").alias("comp_v"))
     pairs = small.select("key", F.col("id").alias("u"), "comp").join(other, "key").filter("u < v and comp <> comp_v").select("u", "v").distinct()
