@@ -195,8 +195,8 @@ def respaced(tokens: list[str], lm: np.ndarray, singles: list[int] | None = None
 
 
 def word_features(w: str) -> list[str]:
-    """A word, and its beginnings of four to six letters."""
-    return [f"={w}", *(f"^{w[:n]}" for n in (4, 5, 6) if len(w) > n - 1)]
+    """A word, and its beginnings of four to eight letters."""
+    return [f"={w}", *(f"^{w[:n]}" for n in range(4, 9) if len(w) > n - 1)]
 
 
 def document_words(text: str, lm: np.ndarray, cache: dict[str, list[str]]) -> Iterator[str]:
@@ -303,22 +303,29 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 30)
     return w
 
 
-def cover(toxic: list[set[str]], clean: dict[str, int], n_clean: int, least: int, purity: float) -> dict[str, float]:
-    """Greedy set covering: the features that most not yet covered toxic documents have and hardly any clean one; their log odds."""
+def cover(toxic: list[set[str]], clean: dict[str, int], n_clean: int, least: int, purity: float, times: int = 3) -> dict[str, float]:
+    """Greedy set covering, each toxic document up to `times` times: the features that most of those not yet covered so often have and hardly any clean one; their log odds.
+
+    A feature that nearly the same documents have as one taken before adds nothing and is passed over.
+    """
     by: dict[str, set[int]] = {}
     for i, features in enumerate(toxic):
         for f in features:
             by.setdefault(f, set()).add(i)
     ok = {f: s for f, s in by.items() if len(s) >= least and len(s) / (len(s) + clean.get(f, 0) * len(toxic) / max(1, n_clean)) >= purity}
-    left, out = set(range(len(toxic))), {}
+    need, out = dict.fromkeys(range(len(toxic)), times), {}
+    left = set(need)
     while ok:
         f = min(ok, key=lambda k: (-len(ok[k] & left), len(k), k))
-        gain = ok[f] & left
+        gain = ok.pop(f) & left
         if len(gain) < least:
             break
+        if any(len(by[f] & by[g]) > 0.8 * len(by[f] | by[g]) for g in out):
+            continue
         out[f] = math.log((len(by[f]) + 0.5) / (len(toxic) + 1)) - math.log((clean.get(f, 0) + 0.5) / (n_clean + 1))
-        left -= gain
-        del ok[f]
+        for i in gain:
+            need[i] -= 1
+        left = {i for i in left if need[i]}
         ok = {k: s for k, s in ok.items() if len(s & left) >= least}
     return out
 
