@@ -72,9 +72,13 @@ def capped_per_group(rows: DataFrame, cell: list[str], owner: str, key: list[str
 
 def cascade_cells(rows: DataFrame, levels: list[str], value: str) -> DataFrame:
     """Count and quartiles of every prefix of the levels: the most detailed cell is level 1."""
-    cells = rows.select(value, *levels, F.explode(F.sequence(F.lit(1), F.lit(len(levels)))).alias("level"))
+    # Equal values of a cell are counted once, before rows are spread over the levels; one buffer gives all quartiles.
+    counted = rows.groupBy(*levels, value).agg(F.count(F.lit(1)).alias("__n"))
+    cells = counted.select(value, "__n", *levels, F.explode(F.sequence(F.lit(1), F.lit(len(levels)))).alias("level"))
     named = [F.when(F.col("level") <= len(levels) - i, F.col(c)).alias(c) for i, c in enumerate(levels)]
-    return cells.select("level", value, *named).groupBy("level", *levels).agg(F.count(F.lit(1)).alias("n"), *(F.round(F.percentile(value, F.lit(q)), 6).alias(k) for k, q in (("p25", 0.25), ("median", 0.5), ("p75", 0.75))))
+    quartiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("__n"))
+    per = cells.select("level", value, "__n", *named).groupBy("level", *levels).agg(F.sum("__n").alias("n"), quartiles.alias("__q"))
+    return per.select("level", *levels, "n", *(F.round(F.col("__q")[i], 6).alias(k) for i, k in enumerate(("p25", "median", "p75"))))
 
 
 def decayed_axis(rows: DataFrame, by: list[str], weight: Column, months: Column, cap: float, half: float = 18.0, scale: float = 6.0) -> DataFrame:

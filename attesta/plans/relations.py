@@ -8,6 +8,7 @@ from attesta.operators import filters as flt
 from attesta.operators import history as hist
 from attesta.operators import similar
 from attesta.plans.registry import query
+from attesta.streaming.events import written
 from attesta.sources.tables import NOW, now, table
 
 
@@ -101,7 +102,7 @@ SELECT doc_id FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(DISTINC
 def copied_elsewhere(spark, sf_dir):
     from attesta.functions.text import text_hash
 
-    h = table(spark, sf_dir, "documents").select("doc_id", "source", text_hash(F.col("text")).alias("h"))
+    h = written(table(spark, sf_dir, "documents").select("doc_id", "source", text_hash(F.col("text")).alias("h")))  # read twice
     return h.join(similar.shared_elsewhere(h, "h", "source"), "h", "left_semi").select("doc_id")
 
 
@@ -151,7 +152,7 @@ def cascade_lookup(spark, sf_dir):
 
     part = table(spark, sf_dir, "part").select("p_partkey", F.split_part("p_type", F.lit(" "), F.lit(1)).alias("role"), F.col("p_brand").alias("grade"))
     o = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_suppkey").alias("owner"), "l_extendedprice").join(part, F.col("l_partkey") == F.col("p_partkey"))
-    cells = cascade_cells(o, ["role", "grade", "owner"], "l_extendedprice")
+    cells = written(cascade_cells(o, ["role", "grade", "owner"], "l_extendedprice"))  # read three times
     own = cells.filter("level = 1").select("role", "grade", "owner", F.col("n").alias("n1"), F.col("median").alias("m1"))
     mid = cells.filter("level = 2").select("role", "grade", F.col("n").alias("n2"), F.col("median").alias("m2"))
     top = cells.filter("level = 3").select("role", F.col("median").alias("m3"))

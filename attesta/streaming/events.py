@@ -25,6 +25,13 @@ def shared(spark: SparkSession) -> str:
     return f"{root or 'file:///tmp/attesta-checkpoints'}/attesta-stream/{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """rows, written to a new shared folder and read back: for what several steps read and that is dear to compute."""
+    folder = shared(rows.sparkSession)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Everything that the stream has now, written to the shared folder, and read back."""
     spark, folder = stream.sparkSession, shared(stream.sparkSession)

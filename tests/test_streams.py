@@ -40,10 +40,10 @@ def test_sliding_windows_are_all_there(spark, folder):
 
 def test_alerts_follow_time_and_not_files(spark, folder):
     want = []
-    for user in (1, 2):
+    for user, kind in ((u, k) for u in (1, 2) for k in ("error", "view")):
         last = None
-        for hour in sorted(e[2] for e in EVENTS if e[1] == user and e[3] == "error"):
+        for hour in sorted(e[2] for e in EVENTS if e[1] == user and e[3] == kind):
             if last is None or hour - last >= 24:
                 last = hour
-                want.append((hour, user, "error"))
+                want.append((hour, user, kind))
     assert hours(entry.queries()["X7"](spark, folder), "user_id", "event_type") == sorted(want)
