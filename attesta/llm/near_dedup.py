@@ -181,6 +181,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     linked = feat.filter("n > 0 and id is not null")
     sets = cut(linked.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")), "sets")
     copies = linked.select("id", "set_a", "set_b").join(sets.filter("c > 1"), ["set_a", "set_b"]).filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    # Ids whose rows differ link what their rows are copies of; all other copies just take the component of their rep.
+    several = linked.groupBy("id").agg(F.min(F.struct("set_a", "set_b")).alias("lo"), F.max(F.struct("set_a", "set_b")).alias("hi")).filter("lo <> hi").select(F.col("id").alias("u"))
+    copies = cut(copies.join(several.withColumn("several", F.lit(True)), "u", "left"), "copies")
     reps = linked.join(sets.select(F.col("rep").alias("id"), "set_a", "set_b"), ["id", "set_a", "set_b"], "left_semi")
     sigs = reps.select("id", "sig")
     keys = reps.select("id", F.explode("bands").alias("key"))
@@ -197,7 +200,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     star = members.filter("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct()
     tried = promising(star)
-    links = cut(confirmed(tried, candidates, shingle, num, den), "links")
+    links = confirmed(tried, candidates, shingle, num, den).unionByName(copies.filter("several").select("u", "v"))
     first = components(links)
     # Buckets that still hold several components.
     now = members.join(first, "id", "left").select("key", "id", "c", F.coalesce("component", "id").alias("comp"))
@@ -207,12 +210,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     other = small.select("key", F.col("id").alias("v"), F.col("comp").alias("comp_v"))
     pairs = small.select("key", F.col("id").alias("u"), "comp").join(other, "key").filter("u < v and comp <> comp_v").select("u", "v").distinct()
     more = promising(pairs.join(tried, ["u", "v"], "left_anti"))
-    links = links.unionByName(cut(confirmed(more, candidates, shingle, num, den), "links"))
+    new = cut(confirmed(more, candidates, shingle, num, den), "links")
     large = rest.filter(F.col("c") > SMALL_BUCKET)
     if large.limit(1).count():
-        links = links.unionByName(_large_groups(large, candidates, sigs, shingle, num, den, size, low))
-    found = components(links.unionByName(copies))
-    out = feat.select("id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        new = new.unionByName(_large_groups(large, candidates, sigs, shingle, num, den, size, low))
+    # The components so far are stars, so that what is new needs few rounds; where nothing is, they stay.
+    found = components(first.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(new)) if new.limit(1).count() else first
+    of_rep = found.select(F.col("id").alias("v"), "component")
+    taken = copies.filter("several is null").join(of_rep, "v", "left").select(F.col("u").alias("id"), F.coalesce("component", "v").alias("component")).distinct()
+    out = feat.select("id", "n").join(found.unionByName(taken), "id", "left").withColumn("component", F.coalesce("component", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id").isNull() | (F.col("id") == F.col("component"))).alias("kept"))
 
 
