@@ -68,15 +68,6 @@ def drop_cut(*frames: DataFrame) -> None:
         _remove(df.sparkSession, df._cut_path, True)
 
 
-def dealt_anew(df: DataFrame, key: str) -> DataFrame:
-    """df with its 64-bit key under another expression of the same value.
-
-    An aggregate's output is already dealt by its key, and a join above it takes it so; but then the planner can't split
-    a hot key of the other side. The key's new expression has the small aggregate shuffled once more, and the split works.
-    """
-    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
-
-
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) of docs; null texts are empty. Other columns, whatever their names, are left out."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))

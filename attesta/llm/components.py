@@ -25,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) for each node of edges (u, v) but the smallest of its component; component is that smallest id.
 
     Null ends are dropped; loops and repeated edges are harmless; no edges give no rows. Every step is a grouped
-    minimum and a join, so a node with very many edges splits like any skewed join side.
+    minimum and a join by one key: the edges of one node meet in one task of the join.
     """
     now = cut(edges.filter("u is not null and v is not null and u <> v").select("u", "v").distinct(), "edges")
     before = None
