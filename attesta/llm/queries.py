@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import pii, quality_rules, toxicity, url_filter
+from attesta.llm import bpe, pii, quality_rules, toxicity, url_filter
 from attesta.llm.common import table
 from attesta.llm.decontaminate import decontaminate
 from attesta.llm.fingerprint_log import remove_repeats
@@ -63,6 +63,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), file="byte_bpe_50k.json")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_reputation": op8_url_reputation,
         "op9_matroska_media": op9_matroska_media,
         "op10_toxicity": op10_toxicity,
+        "op11_bpe_transducer": op11_bpe_transducer,
     }
 
 
