@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, pii, quality_rules, toxicity, url_filter
+from attesta.llm import bpe, filter_audit, pii, quality_rules, sort_means, toxicity, url_filter
 from attesta.llm.common import table
 from attesta.llm.decontaminate import decontaminate
 from attesta.llm.fingerprint_log import remove_repeats
@@ -67,6 +67,14 @@ def op11_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), file="byte_bpe_50k.json")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means.sort_means(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, scale=1024, seed=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
@@ -80,6 +88,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_matroska_media": op9_matroska_media,
         "op10_toxicity": op10_toxicity,
         "op11_bpe_transducer": op11_bpe_transducer,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_sort_means": op13_sort_means,
     }
 
 
@@ -120,4 +130,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_sparse_suffix_dedup": _removal_sql(50, True),
         "op6_fingerprint_log_dedup": _removal_sql(20, False),
         "op8_url_reputation": url_filter.SQL,
+        "op12_filter_audit": filter_audit.SQL,
+        "op13_sort_means": sort_means.oracle(),
     }
