@@ -1,12 +1,11 @@
 """Repeated windows around places that begin with the same words: sorted contexts, compared with their neighbours.
 
 A place is where a `gram` of words begins that other places have too. Its context is the words that follow the gram and,
-nearest first, the words before it, as 32-bit hashes. Spark sorts the places by gram and by what follows: a sparse suffix
+nearest first, the words before it, as 64-bit hashes. Spark sorts the places by gram and by what follows: a sparse suffix
 array. In a task, neighbours' common prefixes give for each length the runs of places that go on alike; the same places,
 sorted by what is before them, give the runs that are alike to the left. A window with `a` words before the gram is the
 same at places that share a run of `window - gram - a` words to the right and one of `a` words to the left; all but the
-first of each such class are repeats. Two different words with one hash, at one position of otherwise equal windows of
-equal 64-bit grams, would be taken for equal: about once in 4 billion pairs of windows that differ in a single word.
+first of each such class are repeats. Two different words are taken for equal only if their 64-bit hashes are.
 
 Places of one gram meet in one group. A group of more than `most` is dealt to several by (id, place); what is first in
 its part then meets the other parts' firsts in a grouped minimum, which combines before it shuffles.
@@ -29,9 +28,9 @@ KIND = "key long, salt int, parts int, era int, id long, place int, n_after int,
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
-    """A binary array with one value per row of 32-bit words, big-endian so that bytes sort as words do."""
-    data = np.ascontiguousarray(rows.astype(">u4"))
-    at = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(4 * rows.shape[1])
+    """A binary array with one value per row of 64-bit words, big-endian so that bytes sort as words do."""
+    data = np.ascontiguousarray(rows.astype(">u8"))
+    at = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(8 * rows.shape[1])
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())])
 
 
@@ -50,10 +49,10 @@ def contexts(marked: DataFrame, window: int, gram: int) -> DataFrame:
                     at = np.array([p["place"] for p in places], np.int64)
                     parts = np.array([p["parts"] for p in places], np.int32)[at < len(grams)]
                     at = at[at < len(grams)]
-                    short = np.zeros(len(words) + 2 * reach, np.uint32)
-                    short[reach : reach + len(words)] = words >> np.uint64(32)
-                    after = short[(at + reach + gram)[:, None] + np.arange(reach)]
-                    before = short[(at + reach - 1)[:, None] - np.arange(reach)]
+                    wide = np.zeros(len(words) + 2 * reach, np.uint64)
+                    wide[reach : reach + len(words)] = words
+                    after = wide[(at + reach + gram)[:, None] + np.arange(reach)]
+                    before = wide[(at + reach - 1)[:, None] - np.arange(reach)]
                     salt = mix(at.astype(np.uint64) + mix(np.array([ident], np.int64).view(np.uint64))) % parts.astype(np.uint64)
                     own = (grams[at].view(np.int64), salt.astype(np.int32), parts, np.full(len(at), era, np.int32), np.full(len(at), ident, np.int64), at.astype(np.int32), np.clip(len(words) - gram - at, 0, reach).astype(np.int32), np.clip(at, 0, reach).astype(np.int32), after, before)
                     for x, y in zip(found, own):
@@ -66,7 +65,7 @@ def contexts(marked: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _words(column: pa.ChunkedArray, reach: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), ">u4").reshape(len(column), reach).astype(np.uint32)
+    return np.frombuffer(b"".join(column.to_pylist()), ">u8").reshape(len(column), reach).astype(np.uint64)
 
 
 def neighbour_prefix(x: np.ndarray, n: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -99,7 +98,7 @@ def judge(table: pa.Table, reach: int) -> pa.RecordBatch:
     new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
     group = np.cumsum(new)
     right = neighbour_prefix(after, n_after, new)
-    back = np.frombuffer(before.astype(">u4").tobytes(), f"S{4 * reach}")
+    back = np.frombuffer(before.astype(">u8").tobytes(), f"S{8 * reach}")
     by_left = np.argsort(back, kind="stable")
     by_left = by_left[np.argsort(group[by_left], kind="stable")]
     left_new = np.ones(len(key), bool)

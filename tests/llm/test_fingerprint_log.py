@@ -63,3 +63,21 @@ def test_a_long_periodic_document(spark, remove, window):
     rows = [(1, " ".join([unit] * 400)), (2, unit), (3, "x y " * 3000)]
     got = [tuple(x)[:4] for x in remove(frame(spark, rows), window=window, most=50).collect()]
     assert sorted(got) == brute_removed(rows, window)
+
+
+def test_words_that_agree_in_half_their_hash_differ(spark):
+    """Two words with equal upper halves of their hashes, in otherwise equal windows: nothing is a repeat."""
+    import xxhash
+
+    from attesta.llm.fingerprint_log import remove_repeats
+    from attesta.llm.suffix_dedup import remove_passages
+
+    a, b = "q31667", "q75341"
+    assert xxhash.xxh3_64_intdigest(a) >> 32 == xxhash.xxh3_64_intdigest(b) >> 32
+    for window, remove in ((20, remove_repeats), (50, remove_passages)):
+        for at in (0, 9, window - 1):
+            words = [f"w{i}" for i in range(window)]
+            texts = [" ".join([*words[:at], w, *words[at + 1 :]]) for w in (a, b, b)]
+            docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+            got = {r["doc_id"]: r["n_removed"] for r in remove(docs, window=window).collect()}
+            assert got == {0: 0, 1: 0, 2: window}
