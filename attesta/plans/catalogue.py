@@ -183,7 +183,7 @@ _HOST = r"regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)
 
 @query("T34", rf"""
 WITH h AS (SELECT {_HOST} AS host FROM pages), d AS (SELECT host, string_split(host, '.') AS p FROM h)
-SELECT host, array_to_string(p[greatest(len(p) - 1, 1):], '.') AS domain, p[-1] AS suffix, count(*) AS n, CASE WHEN starts_with(host, 'blog.') THEN 0.5 WHEN p[-1] IN ('org', 'edu') THEN 0.9 WHEN p[-1] = 'com' THEN 0.7 ELSE 0.6 END AS trust FROM d WHERE NOT (host LIKE '%.example.net') GROUP BY ALL""")
+SELECT host, array_to_string(p[greatest(len(p) - 1, 1):], '.') AS domain, p[-1] AS suffix, count(*) AS n, (CASE WHEN starts_with(host, 'blog.') THEN 0.5 WHEN p[-1] IN ('org', 'edu') THEN 0.9 WHEN p[-1] = 'com' THEN 0.7 ELSE 0.6 END)::DOUBLE AS trust FROM d WHERE NOT (host LIKE '%.example.net') GROUP BY ALL""")
 def host_trust(spark, sf_dir):
     """Hosts, their domains and suffixes, and how far to trust them; hosts of boards are no company's."""
     h = table(spark, sf_dir, "pages").select(T.host(F.col("url")).alias("host")).filter(~F.col("host").endswith(".example.net"))

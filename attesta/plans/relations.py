@@ -256,10 +256,11 @@ def decide(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.when(p >= 0.8, "yes").when(p <= 0.2, "no").otherwise("undecided").alias("verdict"))
 
 
-@query("P21", f"SELECT user_id FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '{NOW}' - INTERVAL 72 HOUR")
+@query("P21", f"SELECT user_id, event_type FROM events GROUP BY ALL HAVING max(ts) < TIMESTAMP '{NOW}' - INTERVAL 72 HOUR")
 def due(spark, sf_dir):
-    last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last"))
-    return last.filter(F.coalesce("last", F.lit("1970-01-01").cast("timestamp")) < now() - F.expr("INTERVAL 72 HOURS")).select("user_id")
+    """What is watched, an event's kind of a user, and was last seen more than 72 hours ago."""
+    last = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max("ts").alias("last"))
+    return last.filter(F.coalesce("last", F.lit("1970-01-01").cast("timestamp")) < now() - F.expr("INTERVAL 72 HOURS")).select("user_id", "event_type")
 
 
 @query("P25", f"SELECT user_id, date_diff('day', max(CAST(ts AS DATE)), DATE '{NOW[:10]}') <= 3 AS fresh FROM events GROUP BY 1")

@@ -214,7 +214,7 @@ def review_evidence(rows: DataFrame) -> DataFrame:
     return said.select("company", "code", F.col("m.a").alias("axis"), F.col("m.p").alias("polarity"), F.col("m.w").alias("weight"), F.round(0.8 * F.coalesce(trust[F.col("site")], F.lit(0.6)) * weight, 9).alias("trust"), F.col("dated_at").alias("observed"))
 
 
-@query("Z1", f"WITH {_FAKE}, rv AS {_LOW}, hits AS ({_HITS}), {_EV_REVIEWS} SELECT company, code, axis, polarity, weight::INT AS weight, trust, observed FROM er")
+@query("Z1", f"WITH {_FAKE}, rv AS {_LOW}, hits AS ({_HITS}), {_EV_REVIEWS} SELECT company, code, axis, polarity, weight::INT AS weight, trust::DOUBLE AS trust, observed FROM er")
 def evidence_of_reviews(spark, sf_dir):
     return review_evidence(D.reviews(spark, sf_dir))
 
