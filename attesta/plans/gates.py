@@ -19,6 +19,7 @@ from attesta.plans.registry import query
 from attesta.plans.signals import _FEATURES, _findings_sql
 from attesta.sources.tables import NOW, now, table
 from attesta.streaming import events as st
+from attesta.streaming import state
 
 # Gates over vectors --------------------------------------------------------------------------------------------------
 
@@ -287,24 +288,33 @@ def cooled_down(spark, sf_dir):
     return last.select("kind", "last", (F.unix_micros(now()) - F.unix_micros(F.col("last").cast("timestamp")) >= 3 * 3_600_000_000).alias("due"))
 
 
+_COMPLETE = [True, True, False, True, True]  # of the five runs, the third breaks off
+
+
 @query("X2", """
-WITH s AS (SELECT DISTINCT user_id, event_id % 5 AS run FROM events WHERE user_id % 7 <> event_id % 5), k AS (SELECT user_id, min(run) AS first FROM s GROUP BY 1), g AS (SELECT user_id, run FROM k, range(5) r(run) WHERE run >= first),
-f AS (SELECT g.user_id, g.run, s.user_id IS NOT NULL AS seen FROM g LEFT JOIN s USING (user_id, run)), w AS (SELECT *, lag(seen) OVER (PARTITION BY user_id ORDER BY run) AS before FROM f)
+WITH s AS (SELECT DISTINCT user_id, event_id % 5 AS run FROM events WHERE user_id % 7 <> event_id % 5 AND (event_id % 5 <> 2 OR user_id % 2 = 0)), k AS (SELECT user_id, min(run) AS first FROM s GROUP BY 1), g AS (SELECT user_id, run FROM k, range(5) r(run) WHERE run >= first),
+f AS (SELECT g.user_id, g.run, s.user_id IS NOT NULL AS seen FROM g LEFT JOIN s USING (user_id, run) WHERE s.user_id IS NOT NULL OR g.run <> 2), w AS (SELECT *, lag(seen) OVER (PARTITION BY user_id ORDER BY run) AS before FROM f)
 SELECT user_id, arg_max(seen, run) AS active, 1 + sum((seen AND before = false)::INT)::BIGINT AS cycles FROM w GROUP BY 1""")
 def seen_and_missing(spark, sf_dir):
-    """Five complete runs, a file each: keys that a run lacks become inactive, and count one more cycle when they are back."""
+    """Five runs, a file each: keys that a complete run lacks become inactive, and count one more cycle when they are back."""
     path = st.shared(spark)
-    e = table(spark, sf_dir, "events").filter("user_id % 7 <> event_id % 5").select("user_id", "ts", "event_id")
-    for run in range(5):
-        e.filter(F.col("event_id") % 5 == run).coalesce(1).write.mode("append").parquet(f"{path}/runs")
-    return st.run_merged(st.source(spark, f"{path}/runs"), st.seen_state)
+    run = F.col("event_id") % 5
+    e = table(spark, sf_dir, "events").filter("user_id % 7 <> event_id % 5").filter((run != 2) | (F.col("user_id") % 2 == 0))
+    for r, clock in enumerate(state.run_clock(_COMPLETE)):
+        e.filter(run == r).select("user_id", F.lit(clock).alias("clock")).distinct().coalesce(1).write.mode("append").parquet(f"{path}/runs")
+    runs = spark.readStream.schema("user_id long, clock int").option("maxFilesPerTrigger", 1).parquet(f"{path}/runs")
+    changes = state.presence_changes(runs, "user_id", "long")
+    state.run_available(changes, path)
+    told = state.presence(spark.read.schema(changes.schema).parquet(f"{path}/out"))
+    return told.select(F.col("key").alias("user_id"), "active", "cycles")
 
 
 @query("X8", "SELECT event_id, round(value * 2, 4) AS result FROM events")
 def background(spark, sf_dir):
-    """Records handed on in portions of twenty, each portion done by itself."""
+    """Records handed on to a background stage in portions of twenty, batch by batch."""
     rows = st.source(spark, f"{sf_dir}/events.parquet").select("event_id", "value")
-    return st.run_once(st.in_portions(rows, 20)).select("event_id", F.round("result", 4).alias("result"))
+    done = st.run_portions(rows, 20, lambda portions: portions.withColumn("result", F.round(F.col("value") * 2, 4)))
+    return done.select("event_id", "result")
 
 
 # Functions and registries --------------------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from attesta.plans.registry import query
 from attesta.streaming import events as st
+from attesta.streaming import state
 
 
 def _events(spark, sf_dir):
@@ -32,10 +33,12 @@ def sliding(spark, sf_dir):
     return st.run_merged(_events(spark, sf_dir), st.sliding_counts)
 
 
-@query("X6", "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-11' GROUP BY 1")
+@query("X6", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY > (SELECT max(ts) FROM events) - INTERVAL 20 DAY GROUP BY ALL")
 def retained(spark, sf_dir):
-    rows = _events(spark, sf_dir).withWatermark("ts", "180 days").filter(F.col("ts") >= F.lit("2024-01-11").cast("timestamp")).select("event_id", "event_type")
-    return st.run_once(rows).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    """Counts by day that the state holds after all events: of the last 20 days, as the events span 30; older days are evicted."""
+    folder = st.shared(spark)
+    state.run_available(state.daily_counts(_events(spark, sf_dir), "20 days"), folder)
+    return state.retained_counts(spark, folder)
 
 
 @query("X7", """
@@ -43,4 +46,4 @@ WITH RECURSIVE r AS (SELECT user_id, event_type, min(ts) AS ts FROM events GROUP
 SELECT user_id, event_type, ts FROM r""")
 def cooled(spark, sf_dir):
     """Of each user's events of each kind, those that come a day or more after the last one let through."""
-    return st.alerts(st.run_once(_events(spark, sf_dir).select("user_id", "ts", "event_type")))
+    return state.alerts_of(_events(spark, sf_dir).select("user_id", "ts", "event_type"), st.shared(spark), hours=24, delay="30 days")

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,47 +69,19 @@ def first_last(table: DataFrame | None, batch: DataFrame) -> DataFrame:
     return table.unionByName(new).groupBy("user_id").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("n").alias("n"))
 
 
-def alerts(events: DataFrame, hours: int = 24) -> DataFrame:
-    """The events of each user and kind that come `hours` or more after the last one let through, in order of time.
+def run_portions(stream: DataFrame, size: int, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `work` gives for (portion, *columns) of the stream; a portion has at most `size` rows of one task of one batch.
 
-    An event that arrives late can change which later ones are let through, so this takes the table of all events; each
-    task reads its keys' events in order and holds one moment. Events without ts are left out.
+    Each batch is written to a folder of its own number, so that a batch that is done again replaces what it had written.
     """
+    spark, folder = stream.sparkSession, shared(stream.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last = object(), 0
-        for batch in batches:
-            kept = []
-            for own, at in zip(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()), batch.column(3).to_pylist()):
-                if own != key or at - last >= hours * 3_600_000_000:
-                    key, last = own, at
-                    kept.append(True)
-                else:
-                    kept.append(False)
-            yield batch.filter(pa.array(kept, pa.bool_())).select([0, 1, 2])
-
-    rows = events.filter("ts is not null").select("user_id", "ts", "event_type", F.unix_micros("ts").alias("at"))
-    return rows.repartition("user_id", "event_type").sortWithinPartitions("user_id", "event_type", "ts").mapInArrow(run, rows.select("user_id", "ts", "event_type").schema)
-
-
-def seen_state(table: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """(user_id, active, cycles) after one complete run: keys that it lacks become inactive, keys that are back count a cycle."""
-    seen = batch.select("user_id").distinct().withColumn("seen", F.lit(True))
-    if table is None:
-        return seen.select("user_id", F.lit(True).alias("active"), F.lit(1).cast("long").alias("cycles"))
-    both = table.join(seen, "user_id", "full")
-    here = F.coalesce("seen", F.lit(False))
-    back = here & ~F.coalesce("active", F.lit(True))
-    return both.select("user_id", here.alias("active"), (F.coalesce("cycles", F.lit(1)) + back.cast("long")).alias("cycles"))
-
-
-def in_portions(rows: DataFrame, size: int) -> DataFrame:
-    """(event_id, result): each task hands its rows on in portions of `size`, and a portion is done as a whole."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, size) for i in range(0, batch.num_rows, size)):
-                done = pa.array([None if v is None else v * 2 for v in part.column(1).to_pylist()], pa.float64())
-                yield pa.RecordBatch.from_arrays([part.column(0), done], ["event_id", "result"])
+    def step(batch: DataFrame, epoch: int) -> None:
+        at = F.monotonically_increasing_id()
+        task, within = F.shiftrightunsigned(at, 33), at.bitwiseAND((1 << 33) - 1)
+        portions = batch.withColumn("portion", F.struct(F.lit(epoch).alias("batch"), task.alias("task"), (within / size).cast("long").alias("number")))
+        work(portions).write.mode("overwrite").parquet(f"{folder}/out/batch={epoch}")
 
-    return rows.select("event_id", "value").mapInArrow(run, "event_id long, result double")
+    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out/*").drop("batch")
