@@ -41,7 +41,7 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(FREE_SHUFFLES, before)
 
 
-def _remove(spark: SparkSession, path: str, now: bool) -> None:
+def remove_files(spark: SparkSession, path: str, now: bool) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.delete(where, True) if now else fs.deleteOnExit(where)
@@ -56,7 +56,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = f"{scratch_dir(spark)}/attesta/{name}-{uuid.uuid4().hex}"
     with shuffles_freed(spark):
         df.write.parquet(path)
-    _remove(spark, path, False)
+    remove_files(spark, path, False)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
@@ -65,7 +65,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 def drop_cut(*frames: DataFrame) -> None:
     """Remove the files of frames that cut gave and that nothing reads any more."""
     for df in frames:
-        _remove(df.sparkSession, df._cut_path, True)
+        remove_files(df.sparkSession, df._cut_path, True)
 
 
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm.anchors import anchor_rows, entries, removed_digest
-from attesta.llm.common import cut, drop_cut, shuffles_freed, texts_of
+from attesta.llm.common import cut, drop_cut, remove_files, scratch_dir, shuffles_freed, texts_of
 from attesta.llm.contexts import by_text, repeated_windows
 
 
 @dataclass
 class FingerprintLog:
-    """Runs of one corpus; every run has the same number of buckets. Tables are in the session's warehouse."""
+    """Runs of one corpus; every run has the same number of buckets. Their files are in the shared folder."""
 
     spark: SparkSession
     buckets: int
@@ -32,11 +32,18 @@ class FingerprintLog:
     runs: list[str] = field(default_factory=list)
     sizes: list[int] = field(default_factory=list)  # the batches that each run holds
 
+    def _path(self, run: str) -> str:
+        return f"{scratch_dir(self.spark)}/attesta/{run}"
+
+    def _drop(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        remove_files(self.spark, self._path(run), True)
+
     def _write(self, rows: DataFrame) -> str:
         """Save (key, n), grouped by key. Groups are dealt like buckets where there are as many of them as buckets."""
         name = f"attesta_run_{uuid.uuid4().hex}"
         with shuffles_freed(self.spark):
-            rows.write.bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
+            rows.write.option("path", self._path(name)).bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
         return name
 
     def add(self, anchors: DataFrame) -> str:
@@ -68,11 +75,11 @@ class FingerprintLog:
             merged = self._write(both)
             self.runs[-2:], self.sizes[-2:] = [merged], [sum(self.sizes[-2:])]
             for run in (old, new):
-                self.spark.sql(f"DROP TABLE {run}")
+                self._drop(run)
 
     def drop(self) -> None:
         for run in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+            self._drop(run)
         self.runs, self.sizes = [], []
 
 
