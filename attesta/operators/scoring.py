@@ -17,31 +17,31 @@ def stopped(tokens: Column, text: Column, words: Column) -> Column:
     return F.exists(words, lambda w: F.when(F.contains(w, F.lit(" ")), F.contains(text, w)).otherwise(F.exists(tokens, lambda t: t.startswith(stem(w)))))
 
 
-def share(words: Column, text: Column) -> Column:
-    """The share of words that a text contains; 0 of none."""
-    return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.contains(text, w))) / F.size(words)).otherwise(F.lit(0.0))
+def share(words: Column, held: Column) -> Column:
+    """The share of words that are among those held; 0 of none."""
+    return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.array_contains(held, w))) / F.size(words)).otherwise(F.lit(0.0))
 
 
-def points(text: Column, title: Column, net: Column, remote: Column, experience: Column, market: Column, skills: Column, nice: Column, wanted: Column, min_net: Column, experience_ok: Column, weights: Mapping[str, Column]) -> dict[str, Column]:
-    """What each of the seven criteria gives."""
+def points(held: Column, named: Column, net: Column, remote: Column, experience: Column, market: Column, skills: Column, nice: Column, wanted: Column, min_net: Column, experience_ok: Column, weights: Mapping[str, Column]) -> dict[str, Column]:
+    """What each of the seven criteria gives. held, named: the terms that the record's text and its title hold, see approximate.terms_held."""
     w = weights
     pay = F.when(net.isNull(), 0.4).when((min_net > 0) & (net < min_net), 0.6).otherwise(1.0)
     known = (F.size(experience_ok) > 0) & (F.coalesce(experience, F.lit("")) != "")
     return {
         "salary": w["salary"] * pay,
-        "skills": w["skills"] * share(skills, text),
-        "nice": w["nice"] * share(nice, text),
+        "skills": w["skills"] * share(skills, held),
+        "nice": w["nice"] * share(nice, held),
         "remote": F.when(remote, w["remote"]).otherwise(F.lit(0.0)),
         "experience": w["experience"] * F.when(~known, 0.5).when(F.array_contains(experience_ok, experience), 1.0).otherwise(0.0),
         "market": w["market"] * F.coalesce(market, F.lit(0.0)),
-        "title": F.when(F.exists(wanted, lambda x: F.contains(title, x)), w["title"]).otherwise(F.lit(0.0)),
+        "title": F.when(F.arrays_overlap(named, wanted), w["title"]).otherwise(F.lit(0.0)),
     }
 
 
-def ceiling(title: Column, wanted: Column, weights: Mapping[str, Column]) -> Column:
+def ceiling(title: Column, named: Column, wanted: Column, weights: Mapping[str, Column]) -> Column:
     """The most that a record can still reach: all weights, less the title's where the title is known and says none of the wanted words."""
     rest = sum((w for k, w in weights.items() if k != "title"), F.lit(0.0))
-    may = (F.size(wanted) == 0) | (title == "") | F.exists(wanted, lambda x: F.contains(title, x))
+    may = (F.size(wanted) == 0) | (title == "") | F.arrays_overlap(named, wanted)
     return F.round(F.least(rest + F.when(may, weights["title"]).otherwise(F.lit(0.0)), F.lit(100.0)), 1)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attesta.functions import text as T
 from attesta.operators import names
 from attesta.operators import reviews as R
+from attesta.operators.approximate import name_held
 from attesta.plans import derived as D
 from attesta.plans.registry import query
 from attesta.plans.signals import _CODES, _SIGNALS, signal_codes
@@ -151,11 +152,19 @@ def about_company(spark, sf_dir):
     return rows.select("doc_id", (F.contains("n", F.col("name")) | F.contains("n", F.lit("company"))).alias("ours"))
 
 
+_MENTIONS = ["'At ' || company || ' all is well. '", "'Frm' || substr(company, 5) || ' pays. '", "'About F1rm ' || substr(company, 6) || '. '", "''"]
+
+
+def mentioning(spark, sf_dir) -> DataFrame:
+    """Reviews whose first words may name their company, some with a letter less or another one."""
+    said = "CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN {m}" for i, m in enumerate(_MENTIONS)) + " END"
+    return D.reviews(spark, sf_dir).selectExpr("doc_id", "company", f"{said} || text AS text")
+
+
 @query("T25")
 def company_on_page(spark, sf_dir):
-    """Whether a page names its company: in the text, or in a part of a line that is 80 or more alike. tests hold it against brute force."""
-    rows = D.reviews(spark, sf_dir).select("doc_id", F.lower("company").alias("name"), F.lower(F.substring_index("text", ". ", -2)).alias("line"))
-    return rows.select("doc_id", (F.contains("line", F.col("name")) | (names.partial_ratio("name", "line") >= 80)).alias("named"))
+    """Whether a page names its company: whole, or in a part that is 80 or more alike, anywhere in it. tests hold it against brute force."""
+    return mentioning(spark, sf_dir).select("doc_id", name_held(F.lower("company"), F.lower("text"), 80.0).alias("named"))
 
 
 _BOILER = "bp AS (SELECT h FROM (SELECT DISTINCT sha1(text) AS h, company FROM " + D.REVIEWS_SQL + ") GROUP BY h HAVING count(*) >= 3)"

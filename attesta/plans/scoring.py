@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators import reviews as R
 from attesta.operators import scoring as S
+from attesta.operators.approximate import terms_held
 from attesta.plans import derived as D
 from attesta.plans.employers import _FAKE, _HITS, _LOW, suspicious
 from attesta.plans.registry import query
@@ -16,15 +17,15 @@ from attesta.sources.tables import NOW, now, table
 _VACANCY = [
     "o_orderkey AS key",
     "'firm ' || CAST(o_custkey % 23 AS STRING) AS company",
-    "CASE o_orderkey % 6 WHEN 0 THEN 'senior sql developer' WHEN 1 THEN 'sales manager' WHEN 2 THEN 'data engineer' WHEN 3 THEN '' WHEN 4 THEN 'internship for students' ELSE 'agent' END AS title",
-    "CASE o_orderkey % 5 WHEN 0 THEN 'sql, spark and python every day' WHEN 1 THEN 'cold calls, shift work' WHEN 2 THEN 'python, airflow; remote' WHEN 3 THEN 'docker, sql' ELSE 'a friendly team' END AS body",
+    "CASE o_orderkey % 6 WHEN 0 THEN 'senior sql developer' WHEN 1 THEN 'sales manger' WHEN 2 THEN 'data engineer' WHEN 3 THEN '' WHEN 4 THEN 'internship for students' ELSE 'office manger' END AS title",
+    "CASE o_orderkey % 5 WHEN 0 THEN 'sql, spark and python every day' WHEN 1 THEN 'cold calls, shift work, a frendly team' WHEN 2 THEN 'python, airflow; remote' WHEN 3 THEN 'docker, sql, machne learning' ELSE 'a friendly team' END AS body",
     "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END AS net",
     "CASE o_orderkey % 4 WHEN 1 THEN 'between1And3' WHEN 2 THEN 'moreThan6' ELSE '' END AS experience",
     "CASE o_orderpriority WHEN '1-URGENT' THEN 1.0 WHEN '2-HIGH' THEN 0.7 ELSE NULL END AS market",
 ]
 PROFILES = [
-    ("eng", ["sql", "spark", "python"], ["docker", "airflow"], ["internship", "cold calls"], ["developer", "engineer"], 150_000.0, True, ["between1And3"], True, 55.0, 10),
-    ("mgr", ["friendly"], [], ["shift work"], ["manager", "sales"], 0.0, False, [], False, 30.0, 0),
+    ("eng", ["sql", "spark", "python"], ["docker", "airflow", "machine learning"], ["internship", "cold calls"], ["developer", "engineer"], 150_000.0, True, ["between1And3"], True, 55.0, 10),
+    ("mgr", ["friendly team"], [], ["shift work"], ["manager", "sales"], 0.0, False, [], False, 30.0, 0),
 ]
 _PROFILE = "id string, skills array<string>, nice array<string>, stop_words array<string>, wanted array<string>, min_net double, allow_missing boolean, experience_ok array<string>, remote_ok boolean, min_score double, w_market int"
 
@@ -34,20 +35,31 @@ def _sql_list(words) -> str:
 
 
 _PROFILES_SQL = "(VALUES " + ", ".join(f"('{i}', {_sql_list(s)}, {_sql_list(n)}, {_sql_list(st)}, {_sql_list(w)}, {m}::DOUBLE, {a}, {_sql_list(e)}, {r}, {ms}::DOUBLE, {wm})" for i, s, n, st, w, m, a, e, r, ms, wm in PROFILES) + ") p(id, skills, nice, stop_words, wanted, min_net, allow_missing, experience_ok, remote_ok, min_score, w_market)"
-_SHARE = "CASE WHEN len({0}) > 0 THEN len(list_filter({0}, lambda w: contains(text, w))) / len({0})::DOUBLE ELSE 0 END"
+FUZZY = 88.0  # the ratio from which a term counts as named
+TERMS = sorted({t for p in PROFILES for t in (*p[1], *p[2], *p[4])})
+_SHARE = "CASE WHEN len({0}) > 0 THEN len(list_filter({0}, lambda w: list_contains(coalesce(held, []), w))) / len({0})::DOUBLE ELSE 0 END"
+# Terms that a text holds: of the shorter of both, each part of the longer that is as long, or cut by its ends.
+_COMMON_SQL = "list_last(list_reduce(list_prepend(list_transform(range(0, length(p) + 1), lambda k: 0), list_transform(string_split(w, ''), lambda c: [ord(c)])), lambda row, x: list_prepend(0, list_transform(range(1, len(row)), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(row[i + 1], row[i] + (ord(p[i]) = x[1])::INT)))))))"
+_HELD_SQL = f"""
+th AS MATERIALIZED (SELECT DISTINCT text AS hay FROM vt UNION SELECT DISTINCT title FROM vt),
+tp AS (SELECT hay, term, CASE WHEN length(term) <= length(hay) THEN term ELSE hay END AS p, CASE WHEN length(term) <= length(hay) THEN hay ELSE term END AS t FROM th CROSS JOIN (SELECT unnest({_sql_list(TERMS)}) AS term) WHERE hay <> ''),
+tw AS MATERIALIZED (SELECT hay, term, p, substr(t, greatest(i, 1), CASE WHEN i < 1 THEN length(p) + i - 1 ELSE length(p) END) AS w FROM (SELECT *, unnest(range(2 - length(p), length(t) + 1)) AS i FROM tp)),
+tl AS MATERIALIZED (SELECT p, w, {_COMMON_SQL} AS l FROM (SELECT DISTINCT p, w FROM tw WHERE 200 * length(w) >= {FUZZY} * (length(p) + length(w)) / 2)),
+tf AS MATERIALIZED (SELECT hay, list(DISTINCT term) AS held FROM tw JOIN tl USING (p, w) WHERE 200.0 * l / (length(p) + length(w)) >= {FUZZY} - 1e-9 GROUP BY hay)"""
 _W = S.WEIGHTS
 _SCORES = rf"""
-vc AS (SELECT {', '.join(_VACANCY)} FROM orders), vt AS (SELECT *, title || ' ' || body AS text, regexp_extract_all(title || ' ' || body, '[a-z0-9]+') AS tokens FROM vc),
-vp AS (SELECT vt.*, p.*, len(list_filter(stop_words, lambda w: CASE WHEN contains(w, ' ') THEN contains(text, w) ELSE len(list_filter(tokens, lambda t: starts_with(t, CASE WHEN length(w) >= 5 THEN substr(w, 1, length(w) - 1) ELSE w END))) > 0 END)) > 0 AS stop FROM vt CROSS JOIN {_PROFILES_SQL}),
-vs AS (SELECT key, company, id AS profile, min_score, title, wanted, w_market, CASE WHEN stop THEN 'stop word' WHEN net IS NULL AND NOT allow_missing THEN 'no pay stated' WHEN min_net > 0 AND net < min_net * 0.85 THEN 'pay below the least' END AS reject,
+vc AS (SELECT {', '.join(_VACANCY)} FROM orders), vt AS (SELECT *, title || ' ' || body AS text, regexp_extract_all(title || ' ' || body, '[a-z0-9]+') AS tokens FROM vc),{_HELD_SQL},
+vp AS (SELECT vt.*, a.held, coalesce(b.held, []) AS named, p.*, len(list_filter(stop_words, lambda w: CASE WHEN contains(w, ' ') THEN contains(text, w) ELSE len(list_filter(tokens, lambda t: starts_with(t, CASE WHEN length(w) >= 5 THEN substr(w, 1, length(w) - 1) ELSE w END))) > 0 END)) > 0 AS stop FROM vt LEFT JOIN tf a ON vt.text = a.hay LEFT JOIN tf b ON vt.title = b.hay CROSS JOIN {_PROFILES_SQL}),
+vs AS (SELECT key, company, id AS profile, min_score, title, named, wanted, w_market, CASE WHEN stop THEN 'stop word' WHEN net IS NULL AND NOT allow_missing THEN 'no pay stated' WHEN min_net > 0 AND net < min_net * 0.85 THEN 'pay below the least' END AS reject,
   {_W['salary']} * CASE WHEN net IS NULL THEN 0.4 WHEN min_net > 0 AND net < min_net THEN 0.6 ELSE 1 END + {_W['skills']} * {_SHARE.format('skills')} + {_W['nice']} * {_SHARE.format('nice')}
   + CASE WHEN contains(text, 'remote') AND remote_ok THEN {_W['remote']} ELSE 0 END + {_W['experience']} * CASE WHEN NOT (len(experience_ok) > 0 AND experience <> '') THEN 0.5 WHEN list_contains(experience_ok, experience) THEN 1 ELSE 0 END
-  + w_market * coalesce(market, 0) + CASE WHEN len(list_filter(wanted, lambda w: contains(title, w))) > 0 THEN {_W['title']} ELSE 0 END AS total FROM vp),
+  + w_market * coalesce(market, 0) + CASE WHEN list_has_any(named, wanted) THEN {_W['title']} ELSE 0 END AS total FROM vp),
 sc AS (SELECT key, company, profile, min_score, reject, CASE WHEN reject IS NOT NULL THEN 0.0 ELSE round(least(total, 100.0), 1) END AS score FROM vs)"""
 
 
 def vacancies(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(*_VACANCY).withColumn("text", F.concat("title", F.lit(" "), "body"))
+    rows = table(spark, sf_dir, "orders").selectExpr(*_VACANCY).withColumn("text", F.concat("title", F.lit(" "), "body"))
+    return rows.withColumn("held", terms_held(F.col("text"), TERMS, FUZZY)).withColumn("named", terms_held(F.col("title"), TERMS, FUZZY))
 
 
 def _profiles(spark) -> DataFrame:
@@ -59,7 +71,7 @@ def scored(spark, sf_dir) -> DataFrame:
     rows = vacancies(spark, sf_dir).withColumn("tokens", F.regexp_extract_all("text", F.lit("[a-z0-9]+"), F.lit(0))).crossJoin(_profiles(spark))
     weights = {k: F.lit(float(w)) for k, w in S.WEIGHTS.items()} | {"market": F.col("w_market")}
     c = F.col
-    parts = S.points(c("text"), c("title"), c("net"), F.contains("text", F.lit("remote")) & c("remote_ok"), c("experience"), c("market"), c("skills"), c("nice"), c("wanted"), c("min_net"), c("experience_ok"), weights)
+    parts = S.points(c("held"), c("named"), c("net"), F.contains("text", F.lit("remote")) & c("remote_ok"), c("experience"), c("market"), c("skills"), c("nice"), c("wanted"), c("min_net"), c("experience_ok"), weights)
     reject = F.when(S.stopped(c("tokens"), c("text"), c("stop_words")), "stop word").when(c("net").isNull() & ~c("allow_missing"), "no pay stated").when((c("min_net") > 0) & (c("net") < c("min_net") * 0.85), "pay below the least")
     total = F.round(F.least(sum(parts.values(), F.lit(0.0)), F.lit(100.0)), 1)
     judged = rows.select("key", "company", c("id").alias("profile"), "min_score", reject.alias("reject"), total.alias("total"))
@@ -85,11 +97,11 @@ def passed_profiles(spark, sf_dir):
     return ok.groupBy("key").agg(F.array_sort(F.collect_list("profile")).alias("profiles")).withColumn("least", F.lit(least))
 
 
-@query("P14_ceiling", f"WITH {_SCORES} SELECT key, profile, round(least(100.0, {sum(_W.values()) - _W['title']} + w_market + CASE WHEN len(wanted) = 0 OR title = '' OR len(list_filter(wanted, lambda w: contains(title, w))) > 0 THEN {_W['title']} ELSE 0 END), 1)::DOUBLE AS most FROM vs")
+@query("P14_ceiling", f"WITH {_SCORES} SELECT key, profile, round(least(100.0, {sum(_W.values()) - _W['title']} + w_market + CASE WHEN len(wanted) = 0 OR title = '' OR list_has_any(named, wanted) THEN {_W['title']} ELSE 0 END), 1)::DOUBLE AS most FROM vs")
 def ceilings(spark, sf_dir):
     rows = vacancies(spark, sf_dir).crossJoin(_profiles(spark))
     weights = {k: F.lit(float(w)) for k, w in S.WEIGHTS.items()} | {"market": F.col("w_market").cast("double")}
-    return rows.select("key", F.col("id").alias("profile"), S.ceiling(F.col("title"), F.col("wanted"), weights).alias("most"))
+    return rows.select("key", F.col("id").alias("profile"), S.ceiling(F.col("title"), F.col("named"), F.col("wanted"), weights).alias("most"))
 
 
 @query("M18", """
