@@ -6,7 +6,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,50 +48,11 @@ def containment_pairs(rows: DataFrame, key: str, within: str, text: str, least:
     return found.unionByName(copies)
 
 
-def cosine_pairs(rows: DataFrame, key: str, vector: str, least: float, block: int = 512) -> DataFrame:
-    """(a, b, cosine) of all pairs at `least` or more, exactly: vectors meet block by block.
+def best_of_groups(dealt: DataFrame, width: int, k: int, kinds: str) -> DataFrame:
+    """(q, id, cosine): of each group (i, j), the k best rows (role 1) of every query (role 0), itself excluded.
 
-    Every pair of blocks is a task of its own, of at most 2 * block vectors.
+    dealt: (k, v, i, j, role). A group's queries are held, its rows stream past them; ties go to the smallest id.
     """
-    n = max(1, math.ceil(rows.count() / block))
-    dealt = rows.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("own"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dealt = dealt.select("k", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        pdf = pdf.sort_values("k", kind="stable")
-        x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        size = np.linalg.norm(x, axis=1)
-        x = x / np.where(size > 0, size, 1)[:, None]
-        left, right = np.flatnonzero(pdf["own"] == pdf["i"]), np.flatnonzero(pdf["own"] == pdf["j"])
-        c = x[left] @ x[right].T
-        p, q = np.nonzero(c >= least)
-        k = pdf["k"].to_numpy()
-        a, b = k[left[p]], k[right[q]]
-        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": np.round(c[p, q], 4)})
-        return out[out["a"] < out["b"]].drop_duplicates(["a", "b"])
-
-    return dealt.groupBy("i", "j").applyInPandas(compare, "a long, b long, cosine double")
-
-
-def most_similar(rows: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int = 2048, block_bytes: int = 8 << 20, shares: int = 32) -> DataFrame:
-    """The k most similar rows of every query (q, qv), itself excluded, exactly; of any number of queries.
-
-    Queries go in blocks of about `block` vectors or `block_bytes`, whichever is less, to each of `shares` shares of the
-    rows, which stream past the block; only the k best of a share leave its task. Vectors of unequal lengths, of nothing
-    or with a null have a cosine of 0.
-    """
-    whole = lambda c: F.when(~F.exists(c, lambda x: x.isNull()), F.col(c).cast("array<double>"))
-    held = rows.select(F.col(key).alias("k"), whole(vector).alias("v")).filter("k is not null")
-    stated = queries.select(F.col("q").alias("k"), whole("qv").alias("v")).filter("k is not null")
-    n, longest = stated.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    width = max(longest or 0, held.agg(F.max(F.size("v"))).first()[0] or 0, 1)
-    m = max(1, math.ceil(n / block), math.ceil(n * width * 8 / block_bytes))
-    own = lambda count: F.pmod(F.xxhash64("k"), F.lit(count)).cast("int")
-    left = stated.select("k", "v", F.lit(0).alias("role"), own(m).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("j"))
-    right = held.select("k", "v", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"), own(shares).alias("j"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, asked, best = None, [], None
@@ -135,8 +95,30 @@ def most_similar(rows: DataFrame, key: str, vector: str, queries: DataFrame, k:
                     best = tuple(np.take_along_axis(z, first, axis=1) for z in now)
         yield from ended()
 
-    kinds = f"q {queries.schema['q'].dataType.simpleString()}, id {rows.schema[key].dataType.simpleString()}, cosine double"
-    dealt = left.unionByName(right).select("k", "v", "i", "j", "role").repartition("i", "j").sortWithinPartitions("i", "j", "role", "k")
-    scored = dealt.mapInArrow(run, kinds)
+    return dealt.select("k", "v", "i", "j", "role").repartition("i", "j").sortWithinPartitions("i", "j", "role", "k").mapInArrow(run, kinds)
+
+
+def k_best(scored: DataFrame, k: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "id"))
     return scored.withColumn("place", place).filter(F.col("place") <= k).select("q", "id", "cosine")
+
+
+def most_similar(rows: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int = 2048, block_bytes: int = 8 << 20, shares: int = 32) -> DataFrame:
+    """The k most similar rows of every query (q, qv), itself excluded, exactly; of any number of queries.
+
+    Queries go in blocks of about `block` vectors or `block_bytes`, whichever is less, to each of `shares` shares of the
+    rows, which stream past the block; only the k best of a share leave its task. Vectors of unequal lengths, of nothing
+    or with a null have a cosine of 0.
+    """
+    whole = lambda c: F.when(~F.exists(c, lambda x: x.isNull()), F.col(c).cast("array<double>"))
+    held = rows.select(F.col(key).alias("k"), whole(vector).alias("v")).filter("k is not null")
+    stated = queries.select(F.col("q").alias("k"), whole("qv").alias("v")).filter("k is not null")
+    n, longest = stated.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    width = max(longest or 0, held.agg(F.max(F.size("v"))).first()[0] or 0, 1)
+    m = max(1, math.ceil(n / block), math.ceil(n * width * 8 / block_bytes))
+    own = lambda count: F.pmod(F.xxhash64("k"), F.lit(count)).cast("int")
+    left = stated.select("k", "v", F.lit(0).alias("role"), own(m).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("j"))
+    right = held.select("k", "v", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"), own(shares).alias("j"))
+
+    kinds = f"q {queries.schema['q'].dataType.simpleString()}, id {rows.schema[key].dataType.simpleString()}, cosine double"
+    return k_best(best_of_groups(left.unionByName(right), width, k, kinds), k)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from attesta.functions import text as T
 from attesta.functions import vectors as V
 from attesta.operators import aggregates as agg
-from attesta.operators import gate, history, similar
+from attesta.operators import gate, history, similar, vector_index
 from attesta.operators import generated as gen
 from attesta.operators import injection as inj
 from attesta.operators import reviews as R
@@ -147,7 +147,7 @@ def paraphrases(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     n = e.agg(F.count(F.lit(1))).first()[0]
     first = hashed.groupBy("h").agg(F.min("doc_id").alias("first")).groupBy((F.col("first") % n).alias("vec_id")).agg(F.min("first").alias("k"))
-    return similar.cosine_pairs(first.join(e, "vec_id").select("k", "embedding"), "k", "embedding", 0.3)
+    return vector_index.near_pairs(first.join(e, "vec_id").select("k", "embedding"), "k", "embedding", 0.3)
 
 
 @query("Z17", "SELECT event_id, array_to_string(list_filter([event_type, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'user ' || user_id END, props], lambda x: x IS NOT NULL AND trim(x) <> ''), chr(10)) AS text FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")

@@ -9,7 +9,7 @@ from attesta.functions import text as T
 from attesta.functions import vectors as V
 from attesta.operators import aggregates as agg
 from attesta.operators import filters as flt
-from attesta.operators import gate, names, similar
+from attesta.operators import gate, names, similar, vector_index
 from attesta.operators import history as hist
 
 
@@ -94,7 +94,7 @@ def test_containment(spark):
 def test_cosine_pairs_in_blocks_are_all_pairs(spark):
     data = [(i, [float((i * 7 + j * 3) % 11 - 5) for j in range(4)]) for i in range(60)]
     df = spark.createDataFrame(data, "k long, v array<float>")
-    few, many = (rows(similar.cosine_pairs(df, "k", "v", 0.9, block=b)) for b in (500, 7))
+    few, many = (rows(vector_index.near_pairs(df, "k", "v", 0.9, block=b)) for b in (500, 7))
     assert few == many and few
 
 
