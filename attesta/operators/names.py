@@ -1,15 +1,20 @@
 """Fuzzy names: ratios of common characters, and joins of names whose ratio reaches a limit, without comparing all pairs.
 
 The ratio of two strings is 100 * 2 * L / (sum of lengths), L the length of their longest common subsequence. A ratio of
-`least` allows d = (1 - least / 100) * (sum of lengths) insertions and deletions. If the shorter string is split into
-d + 1 segments, one of them is whole in the longer, at most d places away; so strings join on (length, segment, its
-characters), and only what joins is compared. Nothing that reaches the limit is lost.
+`least` allows d = (1 - least / 100) * (sum of lengths) insertions and deletions.
+
+Short strings join on deletion neighbourhoods: two strings reach the limit if and only if deleting i characters of one
+and j of the other, i + j <= d, gives the same string, so they join on (i, j, what is left), and nothing joins that is
+not a result. The number of ways to delete grows with the length; where it passes `most`, strings join on segments: if
+the shorter is split into d + 1 segments, one of them is whole in the longer, at most d places away; so they join on
+(length, segment, its characters), and what joins is compared. Nothing that reaches the limit is lost either way.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 import pyarrow as pa
@@ -74,11 +79,45 @@ def segments(n: int, parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(at, at[1:])]
 
 
-def _keys(s: str, least: float, probe: bool) -> set[str]:
+def allowed(left: int, i: int, j: int, least: float) -> bool:
+    """Whether strings of left + i and left + j characters that share `left` of them reach the limit."""
+    return 200.0 * left >= least * (2 * left + i + j) - 1e-9
+
+
+def _deletions(n: int, least: float) -> int:
+    """The most characters that a string of n may lose."""
+    return max(i for i in range(n + 1) if allowed(n - i, i, 0, least))
+
+
+def short_limit(least: float, most: int) -> int:
+    """The longest strings whose deletion neighbourhood, and that of all shorter ones, has at most `most` members."""
+    n = 0
+    while sum(math.comb(n + 1, i) for i in range(_deletions(n + 1, least) + 1)) <= most:
+        n += 1
+        if n > 200:  # at a limit of 100, nothing may be deleted
+            break
+    return n
+
+
+def _neighbours(s: str, least: float, probe: bool) -> set[str]:
+    """Keys of a short string: how many characters it and its partner lose, in this order for one side, and what is left."""
+    n, out = len(s), set()
+    for i in range(_deletions(n, least) + 1):
+        partner = [j for j in range(n + 1) if allowed(n - i, i, j, least)]
+        for gone in combinations(range(n), i):
+            left = "".join(s[a + 1 : b] for a, b in zip((-1, *gone), (*gone, n)))
+            out.update(f"{j}.{i}.{left}" if probe else f"{i}.{j}.{left}" for j in partner)
+    return out
+
+
+def _keys(s: str, least: float, probe: bool, limit: int) -> set[str]:
+    """Keys by segments, for pairs of which the longer string has more than `limit` characters."""
     n, out = len(s), set()
     if not probe:
         d = budget(n, least)
-        return {f"{n}:{i}:{s[a : a + k]}" for i, (a, k) in enumerate(segments(n, d + 1))}
+        return {f"{n}:{i}:{s[a : a + k]}" for i, (a, k) in enumerate(segments(n, d + 1))} if n + d > limit else out
+    if n <= limit:
+        return out
     for m in range(n, 0, -1):
         d = budget(m, least)
         if n - m > d:
@@ -89,13 +128,25 @@ def _keys(s: str, least: float, probe: bool) -> set[str]:
     return out
 
 
-def _keyed(names: DataFrame, least: float, probe: bool) -> DataFrame:
+def _keyed(names: DataFrame, keys_of) -> DataFrame:
+    """(name, key): 64-bit hashes of the keys that keys_of(sorted words) gives."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(s, sorted(_keys(sorted_words(s), least, probe))) for s in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], ["name", "keys"])
+            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
+                rows = [(s, sorted(keys_of(sorted_words(s)))) for s in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], ["name", "keys"])
 
-    return names.mapInArrow(run, "name string, keys array<string>").select("name", F.explode("keys").alias("key"))
+    return names.mapInArrow(run, "name string, keys array<string>").select("name", F.explode("keys").alias("key")).select("name", F.xxhash64("key").alias("key"))
+
+
+def name_candidates(x: DataFrame, y: DataFrame, least: float, most: int = 4000) -> DataFrame:
+    """(a, b): distinct pairs of names of two frames (name) that may reach the limit; all that do are among them."""
+    limit = short_limit(least, most)
+    a, b = F.col("name").alias("a"), F.col("name").alias("b")
+    near = lambda probe: lambda s: _neighbours(s, least, probe) if len(s) <= limit else set()
+    far = lambda probe: lambda s: _keys(s, least, probe, limit)
+    join = lambda left, right: _keyed(x, left).select(a, "key").join(_keyed(y, right).select(b, "key"), "key").select("a", "b")
+    return join(near(False), near(True)).unionByName(join(far(False), far(True))).unionByName(join(far(True), far(False))).distinct()
 
 
 def similar_names(left: DataFrame, right: DataFrame, least: float = 92.0) -> DataFrame:
@@ -104,11 +155,7 @@ def similar_names(left: DataFrame, right: DataFrame, least: float = 92.0) -> Dat
     Null and blank names match nothing; repeated names count once.
     """
     x, y = (d.select(F.col(d.columns[0]).alias("name")).filter("trim(name) <> ''").distinct() for d in (left, right))
-    a, b = F.col("name").alias("a"), F.col("name").alias("b")
-    forth = _keyed(x, least, False).select(a, "key").join(_keyed(y, least, True).select(b, "key"), "key")
-    back = _keyed(x, least, True).select(a, "key").join(_keyed(y, least, False).select(b, "key"), "key")
-    pairs = forth.unionByName(back).select("a", "b").distinct()
-    return pairs.withColumn("ratio", token_sort_ratio("a", "b")).filter(F.col("ratio") >= least)
+    return name_candidates(x, y, least).withColumn("ratio", token_sort_ratio("a", "b")).filter(F.col("ratio") >= least)
 
 
 def resolved(claimed: DataFrame, known: DataFrame, least: float = 92.0) -> DataFrame:

@@ -53,6 +53,40 @@ def test_similar_names_lose_no_pair(spark):
     assert got == want and len(got) > len(every)
 
 
+@pytest.mark.parametrize("least,most", [(92.0, 4000), (92.0, 30), (80.0, 400), (100.0, 4000)])
+def test_short_and_long_names_lose_no_pair(spark, least, most):
+    """Pairs on both sides of the length from which segments are used; of short names only results are candidates."""
+    r = random.Random(7)
+    every = set()
+    for n in (1, 2, 6, 11, 12, 13, 14, 19, 20, 21, 22, 30):
+        for _ in range(4):
+            s = "".join(r.choice("abcd") for _ in range(n))
+            every.add(s)
+            for _ in range(3):
+                t = list(s)
+                for _ in range(r.randrange(1, 4)):
+                    i = r.randrange(len(t)) if t else 0
+                    t[i : i + r.randrange(2)] = r.choice(["", "a", "z"])
+                every.add("".join(t))
+    every = sorted(x for x in every if x)
+    df = spark.createDataFrame([(x,) for x in every], "name string")
+    found = {tuple(p) for p in names.name_candidates(df, df, least, most).collect()}
+    want = {(a, b) for a in every for b in every if names.ratio(a, b) >= least - 1e-9}
+    assert want <= found
+    limit = names.short_limit(least, most)
+    assert {p for p in found if max(map(len, p)) <= limit} == {p for p in want if max(map(len, p)) <= limit}
+
+
+def test_candidates_of_names_with_one_prefix_grow_with_the_names(spark):
+    r = random.Random(8)
+    counts = []
+    for n in (200, 800):
+        every = {"supplier " + "".join(r.choice("0123456789") for _ in range(9)) for _ in range(n)}
+        df = spark.createDataFrame([(x,) for x in every], "name string")
+        counts.append(names.name_candidates(df, df, 92.0).count() / len(every))
+    assert max(counts) < 2
+
+
 def test_resolved_names(spark):
     known = spark.createDataFrame([("acme trading house",), ("beta works limited",)], "n string")
     asked = spark.createDataFrame([("acme trading house",), ("house acme tradin",), ("other",), (None,)], "n string")
