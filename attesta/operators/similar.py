@@ -48,6 +48,28 @@ def containment_pairs(rows: DataFrame, key: str, within: str, text: str, least:
     return found.unionByName(copies)
 
 
+def anchored_groups(rows: DataFrame, key: str, owner: str, text: str, day: str, days: int = 7, least: float = 0.6) -> DataFrame:
+    """(key, n): of each dated row, how many rows of its owner, itself included, are alike and come 0 to days - 1 days later.
+
+    Alike: as in containment_pairs. Texts are compared once per distinct set of shingles and only where sets have days that
+    are near: a set is in the weeks of its days and the ones before, and sets meet within a week. Counts by set and day are
+    what is joined, not rows, so that many copies of a day are one. Rows without day, owner or words are left out.
+    """
+    shingles = F.array_sort(T.shingle_hashes(T.words(F.col(text))))
+    each = rows.select(F.col(key).alias("k"), F.col(owner).alias("grp"), F.col(text).alias("t"), F.datediff(F.col(day), F.lit("1970-01-01").cast("date")).alias("d"), shingles.alias("s"))
+    each = each.filter("grp is not null and d is not null and size(s) > 0").select("k", "grp", "t", "d", F.xxhash64("grp", "s").alias("h"))
+    counts = each.groupBy("grp", "h", "d").agg(F.count(F.lit(1)).alias("n"))
+    week = F.floor(F.col("d") / days)
+    sets = each.withColumn("w", F.explode(F.array(week, week - 1))).groupBy("h", F.struct("grp", "w").alias("within")).agg(F.min("t").alias("t"))
+    pairs = containment_pairs(sets, "h", "within", "t", least).select("a", "b").distinct()
+    same = counts.select(F.col("h").alias("a"), F.col("h").alias("b")).distinct()
+    alike = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same)
+    other = counts.select(F.col("h").alias("b"), F.col("d").alias("d2"), F.col("n").alias("m"))
+    met = counts.select(F.col("h").alias("a"), "d").join(alike, "a").join(other, "b").filter((F.col("d2") >= F.col("d")) & (F.col("d2") < F.col("d") + days))
+    sizes = met.groupBy(F.col("a").alias("h"), "d").agg(F.sum("m").alias("n"))
+    return each.select("k", "h", "d").join(sizes, ["h", "d"]).select(F.col("k").alias(key), "n")
+
+
 def best_of_groups(dealt: DataFrame, width: int, k: int, kinds: str) -> DataFrame:
     """(q, id, cosine): of each group (i, j), the k best rows (role 1) of every query (role 0), itself excluded.
 

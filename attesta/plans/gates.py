@@ -258,14 +258,16 @@ def recommended(spark, sf_dir):
     return cascades(spark, sf_dir).filter("place = 1").select("stage", "model", "score")
 
 
-@query("N12", f"""
-WITH hx AS (SELECT doc_id, company, dated_at, sha1({_NORMAL.replace('lower(text)', 'lower(right(text, 40))')}) AS h FROM {D.REVIEWS_SQL})
-SELECT a.doc_id, count(*) AS n FROM hx a JOIN hx b ON a.company = b.company AND a.h = b.h AND b.dated_at BETWEEN a.dated_at AND a.dated_at + 60 GROUP BY 1 HAVING count(*) >= 2""")
+@query("N12", r"""
+WITH w AS (SELECT doc_id, lang AS company, doc_id % 9 AS d, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, company, d, CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w WHERE len(w) > 0),
+g AS (SELECT doc_id, company, d, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id, b.doc_id AS other FROM g a JOIN g b ON a.company = b.company AND a.g = b.g AND b.d BETWEEN a.d AND a.d + 6 GROUP BY ALL HAVING round(count(*) / least(any_value(a.n), any_value(b.n))::DOUBLE, 4) >= 0.6)
+SELECT doc_id, count(*) AS n FROM p GROUP BY 1 HAVING count(*) >= 3""")
 def anchors(spark, sf_dir):
-    """Reviews that, with those of their company that end alike and come within 60 days after, make a group; how many there are."""
-    rows = D.reviews(spark, sf_dir).select("doc_id", "company", T.text_hash(F.right("text", F.lit(40))).alias("h"), F.datediff("dated_at", F.lit("2000-01-01").cast("date")).alias("day"))
-    ahead = Window.partitionBy("company", "h").orderBy("day").rangeBetween(0, 60)
-    return rows.select("doc_id", F.count(F.lit(1)).over(ahead).alias("n")).filter("n >= 2")
+    """Reviews that, with those of their company that are alike and come within a week from them, make a group of three or more."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", F.date_add(F.lit("2023-06-01").cast("date"), (F.col("doc_id") % 9).cast("int")).alias("dated_at"))
+    return similar.anchored_groups(rows, "doc_id", "lang", "text", "dated_at").filter("n >= 3")
 
 
 @query("M13", "SELECT doc_id, sha1('7:' || doc_id) < (SELECT quantile_disc(sha1('7:' || doc_id), 0.2) FROM documents) AS val FROM documents")

@@ -91,6 +91,31 @@ def test_containment(spark):
     assert rows(similar.containment_pairs(df, "k", "g", "t")) == [(1, 2, 1.0)]
 
 
+def test_groups_of_alike_texts_in_a_week(spark):
+    import random
+    from datetime import date, timedelta
+
+    r = random.Random(6)
+    base = [" ".join(r.choice("abcdefghij") + r.choice("xyz") for _ in range(12)) for _ in range(4)]
+    data = []
+    for i in range(120):
+        w = r.choice(base).split()
+        for _ in range(r.randrange(4)):
+            w[r.randrange(len(w))] = r.choice(["new", "other"])
+        data.append((i, r.choice("gh"), " ".join(w), date(2023, 6, 1) + timedelta(days=r.randrange(40))))
+    data += [(200, "g", "short one", date(2023, 6, 3)), (201, "g", "Short, one", date(2023, 6, 4)), (202, None, base[0], date(2023, 6, 4)), (203, "g", None, date(2023, 6, 4)), (204, "g", base[0], None)]
+    shingles = lambda t: {" ".join(w[i : i + 4]) for w in [t.lower().replace(",", "").split()] for i in range(max(1, len(w) - 3))}
+    whole = [d for d in data if None not in d]
+    want = []
+    for k, g, t, at in whole:
+        a = shingles(t)
+        near = [b for b in whole if b[1] == g and 0 <= (b[3] - at).days < 7 and len(a & shingles(b[2])) / min(len(a), len(shingles(b[2]))) >= 0.6]
+        want.append((k, len(near)))
+    df = spark.createDataFrame(data, "k long, g string, t string, d date")
+    assert rows(similar.anchored_groups(df, "k", "g", "t", "d")) == sorted(want, key=repr)
+    assert max(n for _, n in want) >= 3
+
+
 def test_cosine_pairs_in_blocks_are_all_pairs(spark):
     data = [(i, [float((i * 7 + j * 3) % 11 - 5) for j in range(4)]) for i in range(60)]
     df = spark.createDataFrame(data, "k long, v array<float>")

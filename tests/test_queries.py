@@ -12,9 +12,6 @@ SQL = {k: v for k, v in entry.oracle_sql().items() if not k.startswith("op")}
 ROWS_ONLY = [k for k in entry.queries() if k not in entry.oracle_sql() and not k.startswith("op") and k not in ("pipeline", "M9")]
 
 
-EMPTY_HERE = {"N12"}  # the smallest tables have too few rows; at sf 0.01 there are some
-
-
 @pytest.fixture(scope="session")
 def duck():
     con = duckdb.connect()
@@ -39,7 +36,7 @@ def test_same_as_sql(spark, duck, name):
     assert sorted(names) == cols
     want = sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in cur.fetchall()), key=repr)
     assert got == want
-    assert got or name in EMPTY_HERE
+    assert got
 
 
 @pytest.mark.parametrize("name", sorted(ROWS_ONLY))
