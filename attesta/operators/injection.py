@@ -2,25 +2,41 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# What a text says to its reader's tools. English; other languages are parameters.
-ADDRESS = ("ignore previous instructions", "ignore all previous", "ignore the above", "disregard previous", "disregard the above", "forget your instructions", "system prompt", "as an ai language model")
-COMMANDS = ("output only", "respond only with", "do not mention", "must recommend", "rate this candidate")
-DANGEROUS = ("drop table", "delete from", "truncate table", "rm -rf", "os.system", "curl http", "wget http", "send to http", "reveal your prompt")
-CONTEXT = ("prompt engineer", "llm", "jailbreak", "red team")
-MARKUP = r"(?i)<\|[^>]{0,40}\|>|</?\s*(?:system|assistant|user|inst)\s*>|\[/?INST\]|\[/?SYS\]|^\s*(?:system|assistant)\s*:"
+# What a text says to its reader's tools, in English and Russian.
+ADDRESS = (
+    "инструкция для ии", "инструкция для ai", "инструкция для ассистент", "указание для ии", "сообщение для ии", "внимание, ии", "если ты языковая модель", "как языковая модель", "ты языковая модель", "ты ассистент",
+    "system prompt", "системный промпт", "ignore previous instructions", "ignore all previous", "ignore the above", "disregard previous", "disregard the above", "forget your instructions", "you are chatgpt", "as an ai language model", "prompt injection",
+)
+COMMANDS = (
+    "верни пустой", "ответь пустым", "не отмечай", "не указывай", "не сообщай", "ничего не находи", "проигнорируй правила", "игнорируй предыдущие", "игнорируй инструкции", "перепиши инструкцию", "измени инструкцию",
+    "оцени кандидата как идеального", "рекомендуй этого кандидата", "поставь максимальный балл", "укажи зарплату", "напиши, что жалоб нет", "напиши что жалоб нет", "скрой",
+    "output only", "respond only with", "do not mention", "must recommend", "rate this candidate",
+)
+DANGEROUS = (
+    "drop table", "drop database", "delete from", "truncate table", "rm -rf", "format c:", "удали базу", "удалить базу", "очисти базу", "сотри все данные", "shutdown", "os.system", "subprocess", "eval(", "exec(",
+    "curl http", "wget http", "отправь на http", "send to http", "exfiltrate", "api key", "покажи свой промпт", "покажи системное сообщение", "reveal your prompt",
+)
+CONTEXT = ("промпт-инженер", "prompt engineer", "llm", "языковых моделей", "jailbreak", "red team", "безопасность моделей")
+MARKUP = r"(?i)<\|[^>]{0,40}\|>|</?\s*(?:system|assistant|user|s|inst)\s*>|\[/?INST\]|\[/?SYS\]|^\s*(?:system|assistant)\s*:"
 BASE64 = r"[A-Za-z0-9+/]{120,}={0,2}"
-INVISIBLE = "[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]"
+INVISIBLE = "[­​-‏‪-‮⁠-⁤⁪-⁯﻿\U000e0000-\U000e007f]"
+SEPARATORS = r"[\s._*·•|/\\-]+"
 CYRILLIC, LATIN = "асеорхукмнтві", "aceopxykmhtbi"
 MIXED = r"(?:[a-z]+[а-яё]|[а-яё]+[a-z])[a-zа-яё]*"
 LEVELS = {"assistant_address": "red", "hidden_command": "red", "hidden_html": "red", "dangerous": "red", "command": "yellow", "markup": "yellow", "invisible": "yellow", "homoglyph": "yellow", "base64": "yellow"}
-HIDING = r"display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\s*0(?:px|em|rem|pt)?\s*[;\"']|opacity\s*:\s*0\s*[;\"']|aria-hidden\s*=\s*[\"']?true"
+HIDING = (
+    r"display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\s*0(?:\.0+)?(?:px|em|rem|pt)?\b|opacity\s*:\s*0(?:\.0+)?\b|color\s*:\s*(?:#fff(?:fff)?\b|white\b)"
+    r"|text-indent\s*:\s*-\d{3,}|(?:left|top)\s*:\s*-\d{4,}px|\bhidden\b|\baria-hidden\s*=\s*[\"']?true"
+)
 
 
 def contains_any(text: Column, phrases: Iterable[str]) -> Column:
@@ -29,13 +45,18 @@ def contains_any(text: Column, phrases: Iterable[str]) -> Column:
 
 def undisguised(text: Column) -> Column:
     """Lower case, without invisible characters, look-alike letters read as Latin, separators as single spaces."""
-    return F.regexp_replace(F.translate(F.lower(F.regexp_replace(text, INVISIBLE, "")), CYRILLIC, LATIN), r"[\s._*|-]+", " ")
+    return F.regexp_replace(F.translate(F.lower(F.regexp_replace(text, INVISIBLE, "")), CYRILLIC, LATIN), SEPARATORS, " ")
 
 
 def squeezed(text: Column) -> tuple[Column, Column]:
     """The letters alone: as they are, and with look-alikes read as Latin."""
-    low = F.lower(F.regexp_replace(text, INVISIBLE, ""))
-    return F.regexp_replace(low, r"[^\p{L}]", ""), F.regexp_replace(F.translate(low, CYRILLIC, LATIN), r"[^\p{L}]", "")
+    tight = F.regexp_replace(F.lower(text), r"[^\p{L}]", "")
+    return tight, F.translate(tight, CYRILLIC, LATIN)
+
+
+def as_latin(phrases: Iterable[str]) -> list[str]:
+    """Phrases as texts with look-alikes read as Latin have them."""
+    return [p.translate(str.maketrans(CYRILLIC, LATIN)) for p in phrases]
 
 
 def glued(phrases: Iterable[str]) -> list[str]:
@@ -49,13 +70,35 @@ def _readings(text: Column) -> dict[str, Column]:
 
 def _says(read, phrases: tuple[str, ...]) -> Column:
     """Whether any reading has one of the phrases; read: name of a reading to its column."""
-    return contains_any(read("low"), phrases) | contains_any(read("plain"), phrases) | contains_any(read("tight"), glued(phrases)) | contains_any(read("latin"), glued(phrases))
+    return contains_any(read("low"), phrases) | contains_any(read("plain"), as_latin(phrases)) | contains_any(read("tight"), glued(phrases)) | contains_any(read("latin"), as_latin(glued(phrases)))
+
+
+def _spelled() -> str:
+    """A pattern for phrases of few letters, whatever separators stand between their words."""
+    short = [p for p in (*ADDRESS, *COMMANDS, *DANGEROUS) if sum(c.isalpha() for c in p) < 8]
+    gap = SEPARATORS[:-1] + "*"
+    return "|".join(gap.join(re.escape(w) for w in re.split(SEPARATORS, p) if w) for q in short for p in dict.fromkeys((q, *as_latin([q]))))
+
+
+def may_say(text: Column) -> Column:
+    """Whether a line can have any of the phrases: one pass over its letters, one for short phrases. No line that says one is lost."""
+    tight, latin = squeezed(text)
+    long = glued((*ADDRESS, *COMMANDS, *DANGEROUS))
+    whole = F.exists(F.array(F.struct(tight.alias("tight"), latin.alias("latin"))), lambda r: contains_any(r["tight"], long) | contains_any(r["latin"], as_latin(long)))
+    visible = F.lower(F.when(text.rlike(INVISIBLE), F.regexp_replace(text, INVISIBLE, "")).otherwise(text))
+    return whole | visible.rlike(_spelled()) | F.translate(visible, CYRILLIC, LATIN).rlike(_spelled())
 
 
 def findings(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line, code, level) of each suspicious line; line -1: invisible characters somewhere, where no command hides by them."""
+    """(key, line, code, level) of each suspicious line; line -1: invisible characters somewhere, where no command hides by them.
+
+    Lines without any sign, nearly all, are left out by cheap tests before a line is read in four ways.
+    """
     soft = contains_any(F.lower(F.col(text)), CONTEXT)
-    read = F.transform(F.split(text, "\n"), lambda t, i: F.struct(i.alias("line"), t.alias("t"), *(c.alias(k) for k, c in _readings(t).items())))
+    signs = lambda t: may_say(t) | t.rlike(INVISIBLE) | t.rlike(MARKUP) | ((F.length(t) >= 120) & t.rlike(BASE64)) | F.lower(t).rlike("[а-яё]")
+    numbered = F.transform(F.split(text, "\n"), lambda t, i: F.struct(i.alias("line"), t.alias("t")))
+    some = F.filter(numbered, lambda r: (F.trim(r["t"]) != "") & signs(r["t"]))
+    read = F.transform(some, lambda r: F.struct(r["line"].alias("line"), r["t"].alias("t"), *(c.alias(k) for k, c in _readings(r["t"]).items())))
 
     def judged(r: Column) -> Column:
         return F.struct(r["line"].alias("line"), r["t"].alias("t"), r["t"].rlike(INVISIBLE).alias("hidden"), _says(r.getField, ADDRESS).alias("address"), _says(r.getField, COMMANDS).alias("command"), _says(r.getField, DANGEROUS).alias("danger"))
@@ -70,13 +113,12 @@ def findings(rows: DataFrame, key: str, text: str) -> DataFrame:
             ("command", s["command"] & ~s["hidden"] & ~s["address"]),
             ("markup", s["t"].rlike(MARKUP)),
             ("base64", s["t"].rlike(BASE64)),
-            ("homoglyph", F.when(s["t"].rlike("[а-яё]"), F.size(F.filter(mixed, lambda w: F.length(w) > 3)) >= 2)),
+            ("homoglyph", F.when(F.lower(s["t"]).rlike("[а-яё]"), F.size(F.filter(mixed, lambda w: F.length(w) > 3)) >= 2)),
         ]
         level = lambda code: F.when(yellow, "yellow").otherwise("red") if code == "assistant_address" else F.lit(LEVELS[code])
         return F.array_compact(F.array(*(F.when(on, F.struct(s["line"].alias("line"), F.lit(c).alias("code"), level(c).alias("level"))) for c, on in rules)))
 
-    lines = rows.select(key, soft.alias("soft"), F.filter(read, lambda r: F.trim(r["t"]) != "").alias("read"))
-    said = lines.select(key, "soft", F.transform("read", judged).alias("said"))
+    said = rows.select(key, soft.alias("soft"), read.alias("read")).filter(F.size("read") > 0).select(key, "soft", F.transform("read", judged).alias("said"))
     quiet = F.exists("said", lambda s: s["hidden"]) & ~F.exists("said", lambda s: s["hidden"] & s["command"])
     none = F.array(F.struct(F.lit(-1).alias("line"), F.lit("invisible").alias("code"), F.lit("yellow").alias("level")))
     every = F.concat(F.flatten(F.transform("said", found)), F.when(quiet, none).otherwise(F.slice(none, 1, 0)))
@@ -94,20 +136,78 @@ def report(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
 def cleaned(text: Column) -> Column:
     """Invisible characters and mark-up go, then the lines that address, command or endanger; blank lines fold to one."""
     body = F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), MARKUP.replace("(?i)", "(?im)"), " ")
-    read = F.transform(F.split(body, "\n"), lambda t: F.struct(t.alias("t"), *(c.alias(k) for k, c in _readings(t).items())))
-    kept = F.filter(read, lambda r: ~_says(r.getField, (*ADDRESS, *COMMANDS, *DANGEROUS)))
-    return F.regexp_replace(F.regexp_replace(F.array_join(F.transform(kept, lambda r: r["t"]), "\n"), "\n{3,}", "\n\n"), r"^[ \n\t\r]+|[ \n\t\r]+$", "")
+    phrases = (*ADDRESS, *COMMANDS, *DANGEROUS)
+    says = lambda t: F.exists(F.array(F.struct(*(c.alias(k) for k, c in _readings(t).items()))), lambda r: _says(r.getField, phrases))
+    kept = F.filter(F.split(body, "\n"), lambda t: ~(may_say(t) & says(t)))
+    return F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n"), r"^[ \n\t\r]+|[ \n\t\r]+$", "")
+
+
+TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())  # fixed: elements without end
+RAW = frozenset(("script", "style", "textarea", "title"))  # fixed: elements whose text holds no tags
+HIDES = re.compile(HIDING.replace(r"\bhidden\b", r"(?<![\w-])hidden(?![\w-])"), re.I)
+
+
+def hidden_ranges(html: str) -> list[tuple[int, int, int, int]]:
+    """(start, start of text, end of text, end) of the outermost elements that mark-up hides.
+
+    A stack of open elements: an end tag closes the innermost element of its name and all that is open within it; one
+    without such an element is ignored. Elements without end hold nothing. What is open at the end ends there.
+    """
+    out, stack, hidden, raw = [], [], None, None
+
+    def close(depth: int, at: int, end: int) -> None:
+        nonlocal hidden
+        del stack[depth:]
+        if hidden is not None and hidden[0] >= depth:
+            out.append((hidden[1], hidden[2], at, end))
+            hidden = None
+
+    for tag in TAG.finditer(html):
+        name = (tag[2] or "").lower()
+        if not name or raw and not (tag[1] and name == raw):
+            continue
+        raw = None
+        if tag[1]:
+            depth = max((i for i, n in enumerate(stack) if n == name), default=None)
+            if depth is not None:
+                close(depth, tag.start(), tag.end())
+        elif name not in VOID and not tag[3].endswith("/"):
+            if hidden is None and HIDES.search(tag[3]):
+                hidden = len(stack), tag.start(), tag.end()
+            stack.append(name)
+            raw = name if name in RAW else None
+    close(0, len(html), len(html))
+    return out
+
+
+def _pages(html: Column, kind, of) -> Column:
+    @F.pandas_udf(kind)
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda x: of(x or ""))
+
+    return run(html)
 
 
 def hidden_blocks(html: Column, least: int = 20) -> Column:
-    """The texts of elements that mark-up hides, of at least so many characters."""
-    blocks = F.regexp_extract_all(html, F.lit(rf"(?is)<([a-z][\w:-]*)\b[^>]*(?:{HIDING})[^>]*>(.*?)</\1\s*>"), F.lit(2))
-    texts = F.transform(blocks, lambda b: F.trim(F.regexp_replace(F.regexp_replace(b, r"<[^>]+>", " "), r"\s+", " ")))
-    return F.filter(texts, lambda b: F.length(b) >= least)
+    """The texts of the outermost elements that mark-up hides, of at least so many characters; of a null page none."""
+    def texts(page: str) -> list[str]:
+        found = (" ".join(TAG.sub(" ", page[a:b]).split()) for _, a, b, _ in hidden_ranges(page))
+        return [t for t in found if len(t) >= least]
+
+    return _pages(html, "array<string>", texts)
 
 
 def without_hidden(html: Column) -> Column:
-    return F.regexp_replace(html, rf"(?is)<([a-z][\w:-]*)\b[^>]*(?:{HIDING})[^>]*>(.*?)</\1\s*>", " ")
+    """Pages with a space in place of each hidden element."""
+    def shown(page: str) -> str:
+        parts, at = [], 0
+        for a, _, _, b in hidden_ranges(page):
+            parts.append(page[at:a])
+            at = b
+        return " ".join([*parts, page[at:]])
+
+    return _pages(html, "string", shown)
 
 
 def html_findings(rows: DataFrame, key: str, html: str) -> DataFrame:

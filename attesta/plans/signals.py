@@ -13,14 +13,14 @@ from attesta.sources.tables import table
 
 _TRIM = r"regexp_replace({}, '^[ \n\t\r]+|[ \n\t\r]+$', '', 'g')"
 _VISIBLE = f"regexp_replace(t, '{inj.INVISIBLE}', '', 'g')"
-_PLAIN = rf"regexp_replace(translate(lower({_VISIBLE}), '{inj.CYRILLIC}', '{inj.LATIN}'), '[\s._*|-]+', ' ', 'g')"
+_PLAIN = rf"regexp_replace(translate(lower({_VISIBLE}), '{inj.CYRILLIC}', '{inj.LATIN}'), '{inj.SEPARATORS}', ' ', 'g')"
 _TIGHT = rf"regexp_replace(lower({_VISIBLE}), '[^\p{{L}}]', '', 'g')"
 _TIGHT2 = rf"regexp_replace(translate(lower({_VISIBLE}), '{inj.CYRILLIC}', '{inj.LATIN}'), '[^\p{{L}}]', '', 'g')"
 
 
 def _says_sql(phrases) -> str:
     tight = inj.glued(phrases)
-    return f"({D.any_sql('low', phrases)} OR {D.any_sql('plain', phrases)} OR {D.any_sql('tight', tight)} OR {D.any_sql('tight2', tight)})"
+    return f"({D.any_sql('low', phrases)} OR {D.any_sql('plain', inj.as_latin(phrases))} OR {D.any_sql('tight', tight)} OR {D.any_sql('tight2', inj.as_latin(tight))})"
 
 
 def _findings_sql(source: str, key: str) -> str:
@@ -28,8 +28,8 @@ def _findings_sql(source: str, key: str) -> str:
     return rf"""
 src AS (SELECT {key}, text, {D.any_sql('lower(text)', inj.CONTEXT)} AS soft FROM {source}),
 ln AS (SELECT {key}, soft, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line FROM src),
-rd AS (SELECT {key}, soft, t, line::INT AS line, lower(t) AS low, {_PLAIN} AS plain, {_TIGHT} AS tight, {_TIGHT2} AS tight2, regexp_matches(t, '{inj.INVISIBLE}') AS hidden FROM ln WHERE trim(t) <> ''),
-sd AS (SELECT *, {_says_sql(inj.ADDRESS)} AS address, {_says_sql(inj.COMMANDS)} AS command, {_says_sql(inj.DANGEROUS)} AS danger FROM rd),
+rd AS MATERIALIZED (SELECT {key}, soft, t, line::INT AS line, lower(t) AS low, {_PLAIN} AS plain, {_TIGHT} AS tight, {_TIGHT2} AS tight2, regexp_matches(t, '{inj.INVISIBLE}') AS hidden FROM ln WHERE trim(t) <> ''),
+sd AS MATERIALIZED (SELECT *, {_says_sql(inj.ADDRESS)} AS address, {_says_sql(inj.COMMANDS)} AS command, {_says_sql(inj.DANGEROUS)} AS danger FROM rd),
 f0 AS (SELECT {key}, line, 'dangerous' AS code, 'red' AS level FROM sd WHERE danger
   UNION ALL SELECT {key}, line, 'assistant_address', CASE WHEN soft AND NOT command AND NOT hidden THEN 'yellow' ELSE 'red' END FROM sd WHERE address
   UNION ALL SELECT {key}, line, 'hidden_command', 'red' FROM sd WHERE command AND hidden

@@ -172,3 +172,46 @@ def test_ratio(spark):
 def test_daily_series(spark):
     df = spark.createDataFrame([("2024-01-01 10:00:00", 1)], "ts string, v int").withColumn("ts", F.col("ts").cast("timestamp"))
     assert rows(agg.daily_series(df, "ts", high=F.col("v") > 0)) == [(date(2024, 1, 1), 1, 1)]
+
+
+def test_hidden_elements_by_a_stack(spark):
+    from attesta.operators import injection as inj
+
+    long = "words that nobody sees here"
+    cases = {
+        f'<div style="display:none"><div>{long}</div> tail</div><p>shown</p>': ([f"{long} tail"], " <p>shown</p>"),
+        f'<span hidden>{long}<br>more<img src="a>b"></span>end': ([f"{long} more"], " end"),
+        f'a<p style="color: white">{long}': ([long], "a "),
+        f"<div aria-hidden='true'><p>{long}</div>z": ([long], " z"),
+        f'<div style="opacity: 0.0; x"><script>if (a < b) "</div>"</script>{long}</div>': (None, None),
+        f'<br style="display:none">{long}': ([], f'<br style="display:none">{long}'),
+        f'</div><div style="left:-9999px">{long}</DIV>y': ([long], "</div> y"),
+        '<p style="display:none">short</p>': ([], " "),
+        f'<!-- <div hidden> -->{long}': ([], f"<!-- <div hidden> -->{long}"),
+        f'<div style="text-indent:-999px"><b style="display:none">{long}</b> x</div>': ([f"{long} x"], " "),
+        "": ([], ""),
+    }
+    df = spark.createDataFrame([(h,) for h in cases] + [(None,)], "h string")
+    got = {r[0]: (r[1], r[2]) for r in df.select("h", inj.hidden_blocks(F.col("h")), inj.without_hidden(F.col("h"))).collect()}
+    assert got.pop(None) == ([], "")
+    for h, want in cases.items():
+        if want[0] is not None:
+            assert got[h] == want, h
+    deep = "<div>" * 20_000 + "<p hidden>" + long
+    assert inj.hidden_ranges(deep)[0][3] == len(deep)
+
+
+def test_cheap_tests_lose_no_line(spark):
+    from attesta.operators import injection as inj
+
+    lines = []
+    for p in (*inj.ADDRESS, *inj.COMMANDS, *inj.DANGEROUS):
+        swapped = p.translate(str.maketrans("aceop", "асеор"))
+        lines += [p, f"Then {p.upper()} now", p.replace(" ", "..."), p.replace(" ", "​ "), swapped, "x" + swapped.replace(" ", " - ") + "y"]
+    lines += ["plain words", "executive medieval", ""]
+    df = spark.createDataFrame([(x,) for x in lines], "t string")
+    read = F.struct(*(c.alias(k) for k, c in inj._readings(F.col("t")).items()))
+    says = F.exists(F.array(read), lambda r: inj._says(r.getField, (*inj.ADDRESS, *inj.COMMANDS, *inj.DANGEROUS)))
+    rows_ = df.select("t", inj.may_say(F.col("t")).alias("may"), says.alias("says")).collect()
+    assert not [r["t"] for r in rows_ if r["says"] and not r["may"]]
+    assert sum(r["says"] for r in rows_) > 100 and not rows_[-1]["may"]
