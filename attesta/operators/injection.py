@@ -8,7 +8,7 @@ from functools import reduce
 from operator import or_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # What a text says to its reader's tools, in English and Russian.
@@ -73,56 +73,78 @@ def _says(read, phrases: tuple[str, ...]) -> Column:
     return contains_any(read("low"), phrases) | contains_any(read("plain"), as_latin(phrases)) | contains_any(read("tight"), glued(phrases)) | contains_any(read("latin"), as_latin(glued(phrases)))
 
 
-def _spelled() -> str:
-    """A pattern for phrases of few letters, whatever separators stand between their words."""
-    short = [p for p in (*ADDRESS, *COMMANDS, *DANGEROUS) if sum(c.isalpha() for c in p) < 8]
-    gap = SEPARATORS[:-1] + "*"
-    return "|".join(gap.join(re.escape(w) for w in re.split(SEPARATORS, p) if w) for q in short for p in dict.fromkeys((q, *as_latin([q]))))
+_PHRASES = (*ADDRESS, *COMMANDS, *DANGEROUS)
+_GONE = {ord(c): None for c in " \t\n\r\x0b\x0c._*·•|/\\-"}
+_LONG = glued(_PHRASES)
+_SHORT = [p.translate(_GONE) for p in _PHRASES if sum(c.isalpha() for c in p) < 8]
+_UNSEEN, _MARKED, _CODED, _TO_LATIN = re.compile(INVISIBLE), re.compile(MARKUP, re.M), re.compile(BASE64), str.maketrans(CYRILLIC, LATIN)
+_LONG_LATIN, _SHORT_LATIN = as_latin(_LONG), as_latin(_SHORT)
 
 
-def may_say(text: Column) -> Column:
-    """Whether a line can have any of the phrases: one pass over its letters, one for short phrases. No line that says one is lost."""
-    tight, latin = squeezed(text)
-    long = glued((*ADDRESS, *COMMANDS, *DANGEROUS))
-    whole = F.exists(F.array(F.struct(tight.alias("tight"), latin.alias("latin"))), lambda r: contains_any(r["tight"], long) | contains_any(r["latin"], as_latin(long)))
-    visible = F.lower(F.when(text.rlike(INVISIBLE), F.regexp_replace(text, INVISIBLE, "")).otherwise(text))
-    return whole | visible.rlike(_spelled()) | F.translate(visible, CYRILLIC, LATIN).rlike(_spelled())
+_OTHER, _CYRILLIC_LETTER = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ÿ]"), re.compile("[а-яёА-ЯЁ]")
+_NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
+_LONG_BYTES, _SHORT_BYTES = ([p.encode() for p in dict.fromkeys(own) if p.isascii()] for own in ((*_LONG, *_LONG_LATIN), (*_SHORT, *_SHORT_LATIN)))
+_SEPARATOR_BYTES = b" \t\n\r\x0b\x0c._*|/\\-"
+
+
+def may_say(text: str) -> bool:
+    """Whether a text can have any of the phrases, by its letters alone and by its characters other than separators. None that does is lost."""
+    low = text.lower()
+    if not _OTHER.search(low):  # Latin letters and ASCII: whatever separates letters is one byte
+        data = low.encode()
+        tight, close = data.translate(None, _NO_LETTERS), data.translate(None, _SEPARATOR_BYTES)
+        return any(p in tight for p in _LONG_BYTES) or any(p in close for p in _SHORT_BYTES)
+    tight, close = "".join(filter(str.isalpha, low)), _UNSEEN.sub("", "".join(low.translate(_GONE).split()))
+    latin, near = tight.translate(_TO_LATIN), close.translate(_TO_LATIN)
+    return any(p in tight for p in _LONG) or any(p in latin for p in _LONG_LATIN) or any(p in close for p in _SHORT) or any(p in near for p in _SHORT_LATIN)
+
+
+def has_sign(text: str) -> bool:
+    """Whether a text can have any sign of an injection: phrases, invisible characters, mark-up, long codes, mixed alphabets."""
+    if not text.isascii() and (_UNSEEN.search(text) or _CYRILLIC_LETTER.search(text)):
+        return True
+    return may_say(text) or bool(("<" in text or "[" in text or ":" in text) and _MARKED.search(text)) or len(text) >= 120 and bool(_CODED.search(text))
+
+
+def _lines_with(text: Column, sign) -> Column:
+    """Array of (line, t) of a text's lines with a sign; the text as a whole is asked first."""
+    @F.pandas_udf("array<struct<line:int,t:string>>")
+    def some(texts: pd.Series) -> pd.Series:
+        def of(x: str | None) -> list[dict]:
+            return [{"line": i, "t": t} for i, t in enumerate(x.split("\n")) if sign(t)] if x and sign(x) else []
+
+        return texts.map(of)
+
+    return some(text)
 
 
 def findings(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line, code, level) of each suspicious line; line -1: invisible characters somewhere, where no command hides by them.
 
-    Lines without any sign, nearly all, are left out by cheap tests before a line is read in four ways.
+    Lines without any sign, nearly all, are left out by a cheap test before a line is read in four ways.
     """
-    soft = contains_any(F.lower(F.col(text)), CONTEXT)
-    signs = lambda t: may_say(t) | t.rlike(INVISIBLE) | t.rlike(MARKUP) | ((F.length(t) >= 120) & t.rlike(BASE64)) | F.lower(t).rlike("[а-яё]")
-    numbered = F.transform(F.split(text, "\n"), lambda t, i: F.struct(i.alias("line"), t.alias("t")))
-    some = F.filter(numbered, lambda r: (F.trim(r["t"]) != "") & signs(r["t"]))
-    read = F.transform(some, lambda r: F.struct(r["line"].alias("line"), r["t"].alias("t"), *(c.alias(k) for k, c in _readings(r["t"]).items())))
-
-    def judged(r: Column) -> Column:
-        return F.struct(r["line"].alias("line"), r["t"].alias("t"), r["t"].rlike(INVISIBLE).alias("hidden"), _says(r.getField, ADDRESS).alias("address"), _says(r.getField, COMMANDS).alias("command"), _says(r.getField, DANGEROUS).alias("danger"))
-
-    def found(s: Column) -> Column:
-        yellow = F.col("soft") & ~s["command"] & ~s["hidden"]
-        mixed = F.regexp_extract_all(F.lower(s["t"]), F.lit(MIXED), F.lit(0))
-        rules = [
-            ("dangerous", s["danger"]),
-            ("assistant_address", s["address"]),
-            ("hidden_command", s["command"] & s["hidden"]),
-            ("command", s["command"] & ~s["hidden"] & ~s["address"]),
-            ("markup", s["t"].rlike(MARKUP)),
-            ("base64", s["t"].rlike(BASE64)),
-            ("homoglyph", F.when(F.lower(s["t"]).rlike("[а-яё]"), F.size(F.filter(mixed, lambda w: F.length(w) > 3)) >= 2)),
-        ]
-        level = lambda code: F.when(yellow, "yellow").otherwise("red") if code == "assistant_address" else F.lit(LEVELS[code])
-        return F.array_compact(F.array(*(F.when(on, F.struct(s["line"].alias("line"), F.lit(c).alias("code"), level(c).alias("level"))) for c, on in rules)))
-
-    said = rows.select(key, soft.alias("soft"), read.alias("read")).filter(F.size("read") > 0).select(key, "soft", F.transform("read", judged).alias("said"))
-    quiet = F.exists("said", lambda s: s["hidden"]) & ~F.exists("said", lambda s: s["hidden"] & s["command"])
-    none = F.array(F.struct(F.lit(-1).alias("line"), F.lit("invisible").alias("code"), F.lit("yellow").alias("level")))
-    every = F.concat(F.flatten(F.transform("said", found)), F.when(quiet, none).otherwise(F.slice(none, 1, 0)))
-    return said.select(key, F.explode(every).alias("f")).select(key, "f.line", "f.code", "f.level")
+    c = F.col
+    some = rows.select(key, contains_any(F.lower(c(text)), CONTEXT).alias("soft"), F.explode(_lines_with(c(text), has_sign)).alias("r"))
+    read = some.select(key, "soft", "r.line", "r.t").filter(F.trim("t") != "").withColumns(_readings(c("t")))
+    judged = read.select(key, "soft", "line", "t", c("t").rlike(INVISIBLE).alias("hidden"), _says(c, ADDRESS).alias("address"), _says(c, COMMANDS).alias("command"), _says(c, DANGEROUS).alias("danger"))
+    own = Window.partitionBy(key)
+    quiet = F.max("hidden").over(own) & ~F.max(c("hidden") & c("command")).over(own) & (c("line") == F.min("line").over(own))
+    yellow = c("soft") & ~c("command") & ~c("hidden")
+    mixed = F.filter(F.regexp_extract_all(F.lower("t"), F.lit(MIXED), F.lit(0)), lambda w: F.length(w) > 3)
+    rules = [
+        ("dangerous", c("danger")),
+        ("assistant_address", c("address")),
+        ("hidden_command", c("command") & c("hidden")),
+        ("command", c("command") & ~c("hidden") & ~c("address")),
+        ("markup", c("t").rlike(MARKUP)),
+        ("base64", c("t").rlike(BASE64)),
+        ("homoglyph", F.size(mixed) >= 2),
+        ("invisible", c("quiet")),
+    ]
+    level = lambda code: F.when(yellow, "yellow").otherwise("red") if code == "assistant_address" else F.lit(LEVELS[code])
+    line = lambda code: F.lit(-1) if code == "invisible" else c("line")
+    every = F.array_compact(F.array(*(F.when(on, F.struct(line(code).alias("line"), F.lit(code).alias("code"), level(code).alias("level"))) for code, on in rules)))
+    return judged.withColumn("quiet", quiet).select(key, F.explode(every).alias("f")).select(key, "f.line", "f.code", "f.level")
 
 
 def report(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
@@ -136,9 +158,12 @@ def report(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
 def cleaned(text: Column) -> Column:
     """Invisible characters and mark-up go, then the lines that address, command or endanger; blank lines fold to one."""
     body = F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), MARKUP.replace("(?i)", "(?im)"), " ")
-    phrases = (*ADDRESS, *COMMANDS, *DANGEROUS)
-    says = lambda t: F.exists(F.array(F.struct(*(c.alias(k) for k, c in _readings(t).items()))), lambda r: _says(r.getField, phrases))
-    kept = F.filter(F.split(body, "\n"), lambda t: ~(may_say(t) & says(t)))
+    phrases = _PHRASES
+    read = F.transform(_lines_with(body, may_say), lambda r: F.struct(r["line"].alias("line"), *(c.alias(k) for k, c in _readings(r["t"]).items())))
+    bad = F.transform(F.filter(read, lambda r: _says(r.getField, phrases)), lambda r: r["line"])
+    each = F.transform(F.split(body, "\n"), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    held = F.array(F.struct(each.alias("each"), bad.alias("bad")))  # bound once, for the lines to ask
+    kept = F.flatten(F.transform(held, lambda s: F.transform(F.filter(s["each"], lambda r: ~F.array_contains(s["bad"], r["i"])), lambda r: r["t"])))
     return F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n"), r"^[ \n\t\r]+|[ \n\t\r]+$", "")
 
 

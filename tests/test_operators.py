@@ -212,6 +212,6 @@ def test_cheap_tests_lose_no_line(spark):
     df = spark.createDataFrame([(x,) for x in lines], "t string")
     read = F.struct(*(c.alias(k) for k, c in inj._readings(F.col("t")).items()))
     says = F.exists(F.array(read), lambda r: inj._says(r.getField, (*inj.ADDRESS, *inj.COMMANDS, *inj.DANGEROUS)))
-    rows_ = df.select("t", inj.may_say(F.col("t")).alias("may"), says.alias("says")).collect()
-    assert not [r["t"] for r in rows_ if r["says"] and not r["may"]]
-    assert sum(r["says"] for r in rows_) > 100 and not rows_[-1]["may"]
+    rows_ = df.select("t", says.alias("says")).collect()
+    assert not [r["t"] for r in rows_ if r["says"] and not inj.may_say(r["t"])]
+    assert sum(r["says"] for r in rows_) > 100 and not inj.may_say("plain words")
