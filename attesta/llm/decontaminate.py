@@ -23,6 +23,7 @@ from attesta.llm.common import texts_of
 
 Q = 8
 SLICE = 2_000_000
+PAIRS = 2_000_000  # of grams of a text and of items: more are counted without listing them
 TABLE_BITS = 22
 
 
@@ -108,6 +109,8 @@ class Items:
         if not len(at):
             return []
         many = self.stop[k] - self.start[k]
+        if many.sum() > PAIRS:
+            return self._repetitive(data, text, at, k)
         hit = np.repeat(self.start[k] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
         item = self.item[hit]
         likely = np.bincount(item, minlength=len(self.raw)) >= self.need  # a band can't have more than the whole text
@@ -131,17 +134,55 @@ class Items:
         first = by[first]
         which = found >> np.int64(35)
         enough = count >= self.need[which]
+        return self._aligned(data, text, zip(which[enough].tolist(), ((found[enough] & ((1 << 35) - 1)) - (1 << 33)).tolist(), place[first[enough] % len(place)].tolist(), count[enough].tolist()))
+
+    def _repetitive(self, data: bytes, text: np.ndarray, at: np.ndarray, k: np.ndarray) -> list[tuple[int, int, int]]:
+        """The same where a text's and an item's grams meet in too many pairs to list: bands are counted gram by gram."""
+        occurs = np.bincount(k, minlength=len(self.grams))
+        entries = np.repeat(occurs, self.stop - self.start)
+        likely = np.flatnonzero(np.bincount(self.item, weights=entries, minlength=len(self.raw)) >= self.need)
+        order = np.argsort(k, kind="stable")
+        ends = np.cumsum(occurs)
+        of_gram = lambda g: at[order[ends[g] - occurs[g] : ends[g]]]
+        out = []
+        for i in likely.tolist():
+            own = grams(self.data[i])
+            step = 2 * int(self.edits[i]) + 1
+            low = -(len(self.raw[i]) // step) - 3
+            count, first = np.zeros(len(text) // step - low + 3, np.int32), np.full(len(text) // step - low + 3, -1, np.int64)
+            for p, g in enumerate(np.searchsorted(self.grams, own).tolist()):
+                if not occurs[g]:
+                    continue
+                places = of_gram(g)
+                band = (places - p) // step - low
+                new = np.flatnonzero(np.diff(band, prepend=-9))
+                band, began = band[new], places[new]
+                has = np.zeros(len(count), bool)
+                for b in (band, band - 1):  # bands overlap by one
+                    has[b] = True
+                    unset = first[b] < 0
+                    first[b[unset]] = began[unset]
+                count += has
+            some = np.flatnonzero(count >= self.need[i])
+            out += zip([i] * len(some), (some + low).tolist(), first[some].tolist(), count[some].tolist())
+        return self._aligned(data, text, out)
+
+    def _aligned(self, data: bytes, text: np.ndarray, bands) -> list[tuple[int, int, int]]:
+        """(item id, fewest edits, place) from (item, band, place, shared grams), verified by banded alignment."""
         out: dict[int, tuple[int, int, int]] = {}
-        for i, b, f, c in sorted(zip(which[enough].tolist(), ((found[enough] & ((1 << 35) - 1)) - (1 << 33)).tolist(), first[enough].tolist(), count[enough].tolist()), key=lambda x: -x[3]):
+        fewest: dict[int, int] = {}
+        for i, b, at, _ in sorted(bands, key=lambda x: -x[3]):
             e = int(self.edits[i])
-            if out.get(i, (0, 1, 0))[1] == 0:
+            if i not in fewest:
+                fewest[i] = 0 if self.raw[i] in data else 1
+            if i in out and out[i][1] <= fewest[i]:
                 continue
             low, high = b * (2 * e + 1) - e, (b + 2) * (2 * e + 1) - 1 + e
             start, end = max(0, low), max(0, high + len(self.raw[i]))
             exact = data.find(self.raw[i], start, end)
             d = 0 if exact >= 0 else aligned(self.data[i].astype(np.int16), text, low, high, e)
             if d <= e and (i not in out or d < out[i][1]):
-                out[i] = (self.ids[i], d, exact if exact >= 0 else int(place[f % len(place)]))
+                out[i] = (self.ids[i], d, exact if exact >= 0 else at)
         return sorted(out.values())
 
 
@@ -158,6 +199,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.1, block_bytes: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, edits, place): each benchmark item that a document holds with at most `rate` edits per byte.
 
+    Items of up to about 80 bytes allow fewer, as the lemma must ask for a shared gram: (bytes - 8) // 8 at most; see budget.
     place: the byte in the normalised text near which it begins. Items of fewer than eight normalised bytes are held where
     they stand as whole words, without edits. Null or empty texts hold nothing; null or empty items and rows without item
     id are held by nothing. A repeated item or row gives

@@ -328,3 +328,33 @@ def test_urls(spark):
     assert by[6] == ("bad.org", "/x", None, "block") and by[None][3] == "allow"
     none = url_filter.filter_urls(pages.limit(0), outcomes.limit(0), url_filter.RULES)
     assert none.count() == 0
+
+
+def test_repetitive_texts_are_counted_without_listing_pairs(monkeypatch):
+    """A long text of one character against a repetitive item: little time and memory; and the same bands either way."""
+    import random
+    import time
+    import tracemalloc
+
+    from attesta.llm import decontaminate as d
+
+    items = d.Items([(1, b"a" * 300)], 0.1)
+    tracemalloc.start()
+    began = time.time()
+    assert items.find(b"a" * 1_000_000) == [(1, 0, 0)]
+    assert time.time() - began < 60 and tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+    r = random.Random(1)
+    for _ in range(150):
+        letters = r.choice(["a", "ab", "abc"])
+        word = lambda n: "".join(r.choice(letters) for _ in range(n)).encode()
+        rows = [(i, word(r.randrange(8, 120))) for i in range(3)]
+        base = bytearray(r.choice(rows)[1])
+        for _ in range(r.randrange(6)):
+            base[r.randrange(len(base))] = ord(r.choice("abz"))
+        text, items = word(r.randrange(200)) + bytes(base) + word(r.randrange(200)), d.Items(rows, 0.1)
+        found = []
+        for pairs in (10**9, 0):
+            monkeypatch.setattr(d, "PAIRS", pairs)
+            found.append(items.find(text))
+        assert found[0] == found[1]
