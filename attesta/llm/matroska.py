@@ -132,7 +132,24 @@ def frames_of(data: bytes, at: int, end: int) -> tuple[int, int, list[tuple[int,
 def real(data: bytes) -> float:
     """An EBML floating-point number of 0, 4 or 8 bytes."""
     kind = {0: None, 4: ">f4", 8: ">f8"}[len(data)]
-    return float(np.frombuffer(data, kind)[0]) if kind else 0.0
+    value = float(np.frombuffer(data, kind)[0]) if kind else 0.0
+    if not 0 <= value < 1e12 or 0 < value < 1e-6:
+        raise ValueError("no rate")
+    return value
+
+
+def unsigned(data: bytes) -> int:
+    """An EBML unsigned integer; longer ones than the format's eight bytes are damage."""
+    if len(data) > 8:
+        raise ValueError("long integer")
+    return int.from_bytes(data, "big")
+
+
+def long_of(value: float) -> int:
+    """value as a 64-bit integer; others are damage."""
+    if not -(1 << 63) <= value < 1 << 63:
+        raise ValueError("no 64-bit integer")
+    return int(value)
 
 
 def parse(data: bytes) -> dict:
@@ -150,7 +167,7 @@ def parse(data: bytes) -> dict:
         if ident == TRACK:
             got["tracks"][track.get(NUMBER, 0)] = track
         elif ident == CUE_POSITIONS:
-            got["cues"].append((cue.get(CUE_TIME, 0) * scale // 1_000_000, cue.get(CUE_TRACK, 0), cue.get(CUE_CLUSTER, 0)))
+            got["cues"].append((long_of(cue.get(CUE_TIME, 0) * scale // 1_000_000), cue.get(CUE_TRACK, 0), cue.get(CUE_CLUSTER, 0)))
 
     def packets(at: int, stop: int) -> None:
         number_, when, ranges = frames_of(data, at, stop)
@@ -158,7 +175,7 @@ def parse(data: bytes) -> dict:
         width = own.get(DEPTH, 8) // 8 * own.get(CHANNELS, 1) or 1
         for k, (a, n) in enumerate(ranges):
             step = k * own[DURATION] / 1_000_000 if DURATION in own else seen / width * 1000 / own[RATE] if own.get(RATE) else 0
-            got["packets"].append((len(got["clusters"]) - 1, number_, int(base + step), a, n))
+            got["packets"].append((len(got["clusters"]) - 1, number_, long_of(base + step), a, n))
             seen += n
 
     try:
@@ -190,21 +207,21 @@ def parse(data: bytes) -> dict:
                 continue
             body = data[at:stop]
             if ident == SCALE:
-                scale = int.from_bytes(body, "big")
+                scale = unsigned(body)
             elif ident == TIME:
-                time = int.from_bytes(body, "big")
+                time = unsigned(body)
             elif ident in (SIMPLE, BLOCK):
                 packets(at, stop)
             elif ident in (NUMBER, KIND, CHANNELS, DEPTH, DURATION):
-                track[ident] = int.from_bytes(body, "big")
+                track[ident] = unsigned(body)
             elif ident == RATE:
                 track[RATE] = real(body)
             elif ident == CODEC:
                 track[CODEC] = body.decode("ascii", "replace")
             elif ident in (CUE_TIME, CUE_TRACK, CUE_CLUSTER):
-                cue[ident] = int.from_bytes(body, "big")
+                cue[ident] = unsigned(body)
             at = stop
-    except (ValueError, IndexError, KeyError):
+    except (ValueError, IndexError, KeyError, OverflowError):
         got["ok"] = False
     return got
 

@@ -53,3 +53,25 @@ def test_unknown_sizes():
     unknown = M.CLUSTER.to_bytes(4, "big") + b"\xff" + M.number(M.TIME, 5) + block
     got = M.parse(M.HEADER + M.SEGMENT.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + unknown + unknown)
     assert got["ok"] and [(p[0], p[2]) for p in got["packets"]] == [(0, 5), (1, 5)]
+
+
+def test_absurd_numbers_are_damage(spark):
+    """Rates, times and scales that no 64-bit time holds: the file is damaged, what came before is kept, nothing is raised."""
+    import numpy as np
+
+    from attesta.llm import matroska as m
+
+    good = m.mux(b"x" * 128)
+    rate = np.float64(m.HZ).tobytes()[::-1]
+    times = m.number(m.TIME, 0)
+    files = [good.replace(rate, np.float64(v).tobytes()[::-1]) for v in (5e-324, float("inf"), float("nan"), -1.0, 1e300)]
+    for width in (8, 9, 12, 200):
+        files.append(m.HEADER + m.element(m.SEGMENT, m.SETUP + m.element(m.CLUSTER, m.element(m.TIME, b"\xff" * width) + m.element(m.SIMPLE, b"\x81\x00\x00\x80abc"))))
+    files.append(good.replace(m.number(m.SCALE, 1_000_000), m.element(m.SCALE, b"\xff" * 8)))
+    files.append(m.HEADER + m.element(m.SEGMENT, m.SETUP + m.element(m.CUES, m.element(m.CUE, m.element(m.CUE_TIME, b"\xff" * 40) + m.element(m.CUE_POSITIONS, m.number(m.CUE_TRACK, 1))))))
+    assert times in good
+    told = [m.parse(f) for f in files]
+    assert [t["ok"] for t in told].count(False) >= 9
+    assert all(-(2**63) <= p[2] < 2**63 for t in told for p in t["packets"])
+    media = spark.createDataFrame([(i, bytearray(f)) for i, f in enumerate(files)], "doc_id long, media binary")
+    assert m.packet_table(media).count() == sum(len(t["packets"]) for t in told)
