@@ -348,7 +348,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", folds
 
     toxic = picked.filter("y = 1").select("text").mapInArrow(of_toxic, "f array<string>")
     wide = toxic.select(F.explode("f").alias("f")).groupBy("f").count().filter(F.col("count") >= least)
-    candidates = frozenset(r["f"] for r in wide.collect())  # each in `least` of the sample's toxic rows
+    had = {r["f"]: r["count"] for r in wide.collect()}  # each in `least` of the sample's toxic rows
+    candidates = frozenset(had)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
@@ -365,7 +366,14 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", folds
     clean_rows = have.filter("y = 0").select(F.explode("f").alias("f")).groupBy("f").count().collect()  # of the candidates only
     n = {r["y"]: r["n"] for r in picked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     clean = {r["f"]: r["count"] for r in clean_rows}
-    sets = [set(r["f"]) for r in have.filter("y = 1").select("f").collect()]  # of the sample's toxic rows, a quarter of `sample` at most
+    pure = frozenset(f for f, k in had.items() if k / (k + clean.get(f, 0) * n.get(1, 0) / max(1, n.get(0, 0))) >= purity)  # what cover can take
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([[f for f in own if f in pure] for own in batch.column(0).to_pylist()], pa.list_(pa.string()))], ["f"])
+
+    ids: dict[str, str] = {}  # one object per feature, however many rows have it
+    sets = [{ids.setdefault(f, f) for f in r["f"]} for r in have.filter("y = 1").select("f").mapInArrow(kept, "f array<string>").toLocalIterator()]  # of the sample's toxic rows, a quarter of `sample` at most
     lexicon = cover(sets, clean, n.get(0, 0), least, purity)
     draft = ToxicModel(lm, lexicon, ())
 
