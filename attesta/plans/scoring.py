@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.operators import injection as inj
 from attesta.operators import reviews as R
 from attesta.operators import scoring as S
 from attesta.operators.approximate import terms_held
 from attesta.plans import derived as D
 from attesta.plans.employers import _FAKE, _HITS, _LOW, suspicious
 from attesta.plans.registry import query
+from attesta.plans.signals import _findings_sql
 from attesta.sources.tables import NOW, now, table
 
 # Records: orders, with titles, skills and pay that follow from their keys. Both engines read these expressions.
@@ -232,20 +234,21 @@ def evidence_of_reviews(spark, sf_dir):
 
 
 _COMPANY_OF = "'Firm ' || CAST({} % 23 AS STRING)"
-_EV_INJECTION = f"ei AS (SELECT company, 'injection' AS code, 'truth' AS axis, 'red' AS polarity, 3 AS weight, 1.0 AS trust, NULL::DATE AS observed FROM (SELECT {_COMPANY_OF.format('doc_id')} AS company, doc_id, row_number() OVER (PARTITION BY doc_id % 23 ORDER BY doc_id DESC) AS r FROM documents WHERE doc_id % 13 = 0) WHERE r <= 5)"
-_EV_DEEP = f"ed AS (SELECT {_COMPANY_OF.format('user_id')} AS company, event_type AS code, 'truth' AS axis, 'red' AS polarity, 1 AS weight, 0.6 AS trust, CAST(ts AS DATE) AS observed FROM events WHERE event_type NOT IN ('view', 'click') AND event_id % 10 = 0)"
+_EV_INJECTION = f"{_findings_sql(D.ATTACKS_SQL, 'doc_id')}, ei AS (SELECT company, 'injection' AS code, 'truth' AS axis, 'red' AS polarity, 3 AS weight, 1.0 AS trust, NULL::DATE AS observed FROM (SELECT {_COMPANY_OF.format('doc_id')} AS company, doc_id, row_number() OVER (PARTITION BY doc_id % 23 ORDER BY doc_id DESC) AS r FROM (SELECT DISTINCT doc_id FROM found WHERE level = 'red')) WHERE r <= 5)"
+_EV_DEEP = f"ed AS (SELECT {_COMPANY_OF.format('user_id')} AS company, event_type AS code, 'truth' AS axis, 'red' AS polarity, 1 AS weight, 0.6 AS trust, CAST(ts AS DATE) AS observed FROM events WHERE event_type NOT IN ('view', 'click'))"
 
 
 def injection_evidence(spark, sf_dir) -> DataFrame:
-    """Of each company the five latest red findings."""
-    hit = table(spark, sf_dir, "documents").filter("doc_id % 13 = 0").selectExpr(f"{_COMPANY_OF.format('doc_id')} AS company", "doc_id")
+    """Of each company the five latest texts with a red finding of the injection scan."""
+    red = inj.findings(D.attacked(spark, sf_dir), "doc_id", "text").filter("level = 'red'").select("doc_id").distinct()
+    hit = red.selectExpr(f"{_COMPANY_OF.format('doc_id')} AS company", "doc_id")
     last = hit.withColumn("r", F.row_number().over(Window.partitionBy("company").orderBy(F.desc("doc_id")))).filter("r <= 5")
     return last.select("company", F.lit("injection").alias("code"), F.lit("truth").alias("axis"), F.lit("red").alias("polarity"), F.lit(3).alias("weight"), F.lit(1.0).alias("trust"), F.lit(None).cast("date").alias("observed"))
 
 
 def deep_evidence(spark, sf_dir) -> DataFrame:
     """Findings of research, but for those of topics that only look things up."""
-    e = table(spark, sf_dir, "events").filter("event_type not in ('view', 'click') and event_id % 10 = 0")
+    e = table(spark, sf_dir, "events").filter("event_type not in ('view', 'click')")
     return e.selectExpr(f"{_COMPANY_OF.format('user_id')} AS company", "event_type AS code", "'truth' AS axis", "'red' AS polarity", "1 AS weight", "CAST(0.6 AS DOUBLE) AS trust", "CAST(ts AS DATE) AS observed")
 
 
