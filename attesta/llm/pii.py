@@ -178,9 +178,27 @@ def model_spans(texts: list[str], model: Tagger, chunk: int = 512) -> list[list[
     return out
 
 
+ADDRESS = re.compile(rf"(?<![\w.%+-])[\w.%+-]+ ?{AT} ?[\w-]+(?: ?{DOT} ?[\w-]+)+", re.I)
+REACH = 24  # characters beyond a span in which its address may begin or end
+
+
+def whole_address(text: str, a: int, b: int) -> tuple[int, int]:
+    """The edges of the address that a span of the tagger overlaps most, where it is none itself: words beside it are none of it."""
+    if ADDRESS.fullmatch(text, a, b):
+        return a, b
+    found, at, end = [], max(0, a - REACH), min(len(text), b + REACH)
+    while m := ADDRESS.search(text, at, end):
+        if m.start() < b and a < m.end():
+            found.append(m.span())
+        at = m.start() + 1
+    return max(found, key=lambda x: (min(x[1], b) - max(x[0], a), -x[0]), default=(a, b))
+
+
 def added_spans(text: str, base: list[Span], found: list[Span]) -> list[Span]:
     out = []
     for a, b, kind in found:
+        if kind == "email":
+            a, b = whole_address(text, max(0, a), b)
         own = text[max(0, a) : b]
         a, b = max(0, a) + len(own) - len(own.lstrip()), max(0, a) + len(own.rstrip())
         if 0 <= a < b <= len(text) and not any(a < y and x < b for x, y, _ in base) and sound(text, a, b, kind):
@@ -199,11 +217,24 @@ def _name(r: Pick, low: int, high: int) -> str:
     return "".join(chr(97 + x) for x in r.integers(0, 26, int(r.integers(low, high))))
 
 
-def invented(kind: str, r: Pick) -> str:
-    """A datum of a kind, in the notation that the base patterns find."""
+def _said(r: Pick, words: list[str]) -> str:
+    """A name: a word of the text around it, syllables, or letters by chance."""
+    x = r.random()
+    if words and x < 0.45:
+        return words[int(r.integers(len(words)))].lower()
+    if x < 0.85:
+        some = lambda s: s[int(r.integers(len(s)))]
+        return "".join(some("bcdfghjklmnprstvwz") + some("aeiou") + (some("lmnrst") if r.random() < 0.3 else "") for _ in range(int(r.integers(1, 4))))
+    return _name(r, 2, 10)
+
+
+def invented(kind: str, r: Pick, words: list[str] = []) -> str:  # noqa: B006
+    """A datum of a kind, in the notation that the base patterns find; names and hosts may be of the given words."""
     if kind == "email":
-        user = _name(r, 2, 10) + ["", f".{_name(r, 3, 9)}", f"_{_name(r, 3, 7)}", _digits(r, 2), f"+{_name(r, 2, 5)}"][int(r.integers(5))]
-        return f"{user}@{_name(r, 3, 11)}{['', '', f'.{_name(r, 2, 6)}', f'-{_name(r, 2, 6)}'][int(r.integers(4))]}.{['com', 'org', 'net', 'de', 'co.uk', 'io', 'example'][int(r.integers(7))]}"
+        w = lambda: _said(r, words)
+        user = w() + ["", "", f".{w()}", f".{w()}", f"_{w()}", f"-{w()}", _digits(r, 2), f"+{w()}", f"{w()}{_digits(r, 2)}"][int(r.integers(9))]
+        last = ["com", "org", "net", "de", "co.uk", "io", "example", "edu", "fr", "info", "es", w()[:4]][int(r.integers(12))]
+        return f"{user}@{w()}{['', '', f'.{w()}', f'-{w()}'][int(r.integers(4))]}.{last}"
     if kind == "ip":
         return ".".join(str(int(r.integers(0, 256))) for _ in range(4))
     if kind == "card":
@@ -226,14 +257,24 @@ def rewrite(s: str, kind: str, r: Pick) -> str:
         step, mark = pick(4, 4, 5, 6), pick(".", "/", "_", "  ", " - ", "--", ". ")
         return mark.join(d[i : i + step] for i in range(0, len(d), step))
     a, b, c = d[-10:-7], d[-7:-4], d[-4:]
-    return pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"({a}) {b} {c}", f"{a}/{b}-{c}", f"00{d[:-10]} {a} {b} {c}", f"{a} {b} {c}", f"1-{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}){b}-{c}", f"0{a} {b}{c}", f"{a} {b}-{c}", f"00{d[:-10]}-{a}-{b}-{c}", f"{a}/{b}{c}")
+    return pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"({a}) {b} {c}", f"{a}/{b}-{c}", f"00{d[:-10]} {a} {b} {c}", f"{a} {b} {c}", f"1-{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a}.{b}.{c}", f"({a}){b}-{c}", f"0{a} {b}{c}", f"{a} {b}-{c}", f"00{d[:-10]}-{a}-{b}-{c}", f"{a}/{b}{c}")
+
+
+def numbers(r: Pick) -> str:
+    """A row of numbers, one after another or by chance, that holds no base span."""
+    for _ in range(9):
+        k, first, size = int(r.integers(3, 12)), int(r.integers(1, 9000)), int(r.integers(1, 6))
+        s = " ".join(str(first + i) if k % 2 else _digits(r, size) for i in range(k))
+        if not base_spans(s):
+            return s
+    return "7"
 
 
 def decoy(r: Pick) -> str:
     """Digits, or an "at" and a dot, that are no personal data."""
     n = lambda k: _digits(r, k)
     w = lambda: _name(r, 2, 9)
-    kinds = [lambda: n(4), lambda: f"{n(1)}.{n(1)}", lambda: f"20{n(2)}-0{n(1)}-1{n(1)}", lambda: f"v{n(1)}.{n(1)}.{n(2)}", lambda: n(8), lambda: f"{n(3)},{n(3)}", lambda: f"{n(1)},{n(3)},{n(3)}.{n(2)}", lambda: f'"{n(5)}ab{n(6)}f{n(7)}"', lambda: f"{n(2)}%", lambda: f"@{n(2)}", lambda: f"{n(1)}:{n(2)}", lambda: f"{n(3)}-{n(2)}", lambda: n(13), lambda: f"#{n(5)}", lambda: f"1{n(1)}.0{n(1)}.20{n(2)}", lambda: f"{n(2)}/{n(2)}/{n(4)}", lambda: f"978-{n(1)}-{n(2)}-{n(6)}-{n(1)}", lambda: f"{n(1)}.{n(1)}.{n(1)}", lambda: f"{n(3)}.{n(3)}.{n(3)}", lambda: f"{n(4)}-{n(4)}", lambda: " ".join(n(5) for _ in range(4)), lambda: f"{w()} at {w()}. {w()} dot {w()}", lambda: f"@{w()}", lambda: f"{w()} @ {w()}", lambda: n(int(r.integers(10, 22))), lambda: f"{n(2)} {n(2)} {n(2)}", lambda: f"[{n(2)}] [{n(3)}]"]
+    kinds = [lambda: n(4), lambda: f"{n(1)}.{n(1)}", lambda: f"20{n(2)}-0{n(1)}-1{n(1)}", lambda: f"v{n(1)}.{n(1)}.{n(2)}", lambda: n(8), lambda: f"{n(3)},{n(3)}", lambda: f"{n(1)},{n(3)},{n(3)}.{n(2)}", lambda: f'"{n(5)}ab{n(6)}f{n(7)}"', lambda: f"{n(2)}%", lambda: f"@{n(2)}", lambda: f"{n(1)}:{n(2)}", lambda: f"{n(3)}-{n(2)}", lambda: n(13), lambda: f"#{n(5)}", lambda: f"1{n(1)}.0{n(1)}.20{n(2)}", lambda: f"{n(2)}/{n(2)}/{n(4)}", lambda: f"978-{n(1)}-{n(2)}-{n(6)}-{n(1)}", lambda: f"{n(1)}.{n(1)}.{n(1)}", lambda: f"{n(3)}.{n(3)}.{n(3)}", lambda: f"{n(4)}-{n(4)}", lambda: " ".join(n(5) for _ in range(4)), lambda: f"{w()} at {w()}. {w()} dot {w()}", lambda: f"@{w()}", lambda: f"{w()} @ {w()}", lambda: n(int(r.integers(10, 22))), lambda: f"{n(2)} {n(2)} {n(2)}", lambda: f"[{n(2)}] [{n(3)}]", lambda: numbers(r), lambda: numbers(r)]
     return kinds[int(r.integers(len(kinds)))]()
 
 
@@ -246,14 +287,18 @@ def training_windows(text: str, seed: int, own: int = 2, made: int = 4) -> list[
         lo = max(0, k * STEP - MARGIN)
         hi = min(len(text), lo + SIZE)
         versions.append((text[lo:hi], [(max(a, lo) - lo, min(b, hi) - lo, kind) for a, b, kind in base if a < hi and b > lo]))
+    words = re.findall(r"[A-Za-z]{2,10}", text)
     for k in range(made if text else 0):
         at = int(r.integers(0, len(text)))
         left, right = text[max(0, at - SIZE) : at], text[at : at + SIZE]
         if base_spans(left) or base_spans(right):
             left, right = re.sub(r"[0-9@+]", "", left), re.sub(r"[0-9@+]", "", right)
         left, right = left.rsplit(" ", 1)[0], right.split(" ", 1)[-1]
-        kind = KINDS[int(r.integers(len(KINDS)))] if r.random() < 0.72 else ""
-        s = (invented(kind, r) if r.random() < 0.15 else rewrite(invented(kind, r), kind, r)) if kind else decoy(r)
+        if r.random() < 0.25:  # among numbers
+            left, right = left[-40:] + " " + numbers(r), numbers(r) + " " + right[:40]
+        kind = KINDS[int(r.integers(len(KINDS)))] if r.random() < 0.78 else ""
+        datum = invented(kind, r, words) if kind else ""
+        s = (datum if r.random() < 0.15 else rewrite(datum, kind, r)) if kind else decoy(r)
         left = left + [" ", " ", ": ", " (", ", "][int(r.integers(5))] if left else ""
         whole = left + s + [" ", " ", ".", ", ", ")", "\n"][int(r.integers(6))] + right
         lo = min(max(0, len(left) - int(r.integers(0, SIZE - min(len(s), SIZE - 8) // 2))), max(0, len(whole) - SIZE))
@@ -272,7 +317,7 @@ def training_windows(text: str, seed: int, own: int = 2, made: int = 4) -> list[
     return out
 
 
-def train(docs: DataFrame, *, sample: int = 1200, most: int = 4800, id_col: str = "doc_id", text_col: str = "text", **options) -> Tagger:
+def train(docs: DataFrame, *, sample: int = 1200, most: int = 6400, id_col: str = "doc_id", text_col: str = "text", **options) -> Tagger:
     """Fit on windows of at most `sample` documents, the first by hash of id; at most `most` windows. options: of pii_tagger.fit.
 
     Fewer documents get more invented data each, so that there are about as many windows.

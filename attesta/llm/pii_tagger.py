@@ -155,7 +155,7 @@ class Tagger:
         return float((z - gold).mean()), g
 
 
-def fit(c: np.ndarray, y: np.ndarray, *, hidden: int = 24, epochs: int = 8, batch: int = 96, rate: float = 0.02, seed: int = 5) -> Tagger:
+def fit(c: np.ndarray, y: np.ndarray, *, hidden: int = 32, epochs: int = 12, batch: int = 96, rate: float = 0.02, seed: int = 5) -> Tagger:
     """Train on windows c (N, SIZE) and tags y (N, SIZE)."""
     model, r = Tagger.new(hidden, seed), np.random.default_rng(seed)
     m, v = {n: np.zeros_like(x) for n, x in model.p.items()}, {n: np.zeros_like(x) for n, x in model.p.items()}
