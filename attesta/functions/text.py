@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,13 +32,47 @@ def shingles(word_list: Column, size: int = 4) -> Column:
 
 
 def shingle_hashes(word_list: Column, size: int = 4) -> Column:
-    """Distinct 64-bit hashes of the shingles: words are hashed once, and runs of hashes are hashed, so no strings are built."""
-    h = F.transform(word_list, lambda w: F.xxhash64(w))
-    n = F.greatest(F.size(h) - (size - 1), F.lit(0))
-    runs = F.slice(h, F.lit(1), n)
-    for j in range(1, size):
-        runs = F.zip_with(runs, F.slice(h, F.lit(j + 1), n), lambda a, b: F.xxhash64(a, b))
-    return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(F.size(h) < size, F.array(F.xxhash64(h))).otherwise(F.array_distinct(runs))
+    """Distinct 64-bit hashes of the shingles, sorted; of fewer words, all as one; of none, none; of null, null.
+
+    One Arrow batch at a time: its different words are hashed once, runs of hashes are mixed for the whole batch, and no
+    string is built. Words are a column of their own to it, so that what splits the text is evaluated once a row.
+    """
+
+    @F.arrow_udf("array<bigint>")
+    def hashed(lists: pa.Array) -> pa.Array:
+        coded = lists.flatten().fill_null("").dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).astype(object)
+        known = pd.util.hash_array(names, categorize=False) if len(names) else np.zeros(0, np.uint64)
+        h = known[coded.indices.to_numpy(zero_copy_only=False)]
+        lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(lengths)
+        runs = h[: max(0, len(h) - size + 1)]
+        for j in range(1, size):
+            runs = _mixed(runs, h[j : j + len(runs)])
+        found = []
+        for end, n in zip(ends.tolist(), lengths.tolist()):
+            start = end - n
+            if n >= size:
+                found.append(np.unique(runs[start : end - size + 1].view(np.int64)))
+            elif n:
+                whole = np.full(1, n, np.uint64)
+                for at in range(start, end):
+                    whole = _mixed(whole, h[at : at + 1])
+                found.append(whole.view(np.int64))
+            else:
+                found.append(np.zeros(0, np.int64))
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+        values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
+        return pa.ListArray.from_arrays(pa.array(offsets), values, mask=lists.is_null())
+
+    return hashed(word_list)
+
+
+def _mixed(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A hash and the next word's, as one: order matters, and every bit reaches every other."""
+    x = h * np.uint64(0x9E3779B97F4A7C15) + word
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
 
 def company_key(name: Column, noise: list[str], forms: list[str]) -> Column:

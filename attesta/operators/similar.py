@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import text as T
+from attesta.streaming.events import written
 
 
 def shared_elsewhere(rows: DataFrame, digest: str, owner: str) -> DataFrame:
@@ -19,32 +20,41 @@ def shared_elsewhere(rows: DataFrame, digest: str, owner: str) -> DataFrame:
 
 
 def containment_pairs(rows: DataFrame, key: str, within: str, text: str, least: float = 0.6, size: int = 4) -> DataFrame:
-    """(a, b, similarity) of two keys within a group whose shingles overlap by `least` of the smaller set.
+    """(a, b, similarity) of two keys within a group whose shingles overlap by `least` of the smaller set, rounded to four places.
 
-    The prefix filter: of a text's n shingles, in any one order of all shingles, one of the first n - ceil(least * n) + 1
-    must be shared by every partner that is no smaller, so only those are joined on. The order is by how many texts of the
-    group have a shingle, so that few meet; shingles that one text alone has come first and join nothing. Sizes are
-    compared in the join; ties in size are covered from both sides. Of keys with equal sets only the smallest is compared;
-    the others are paired with it alone.
+    Of keys with equal sets only the smallest is compared; the others are paired with it alone. Rows without key, group or
+    words pair with nothing.
+
+    Shingles that the same sets hold (all those of a shared passage) are one class, known by the exclusive or of 128 bits of
+    its sets and their number, and counted by its weight; so texts meet once per passage, not once per shingle. In any one
+    order of all classes, of a set of n shingles whose partner is no smaller, the first shared one starts within the first
+    n - ceil(least * n) + 1 (prefix filter), and as many as are needed are still to come in the partner's set, too
+    (positional filter). The order is by how many sets have a class, so that few meet; shingles of one set alone come first
+    and meet nothing. Ties in size are covered from both sides.
     """
-    shingles = T.shingle_hashes(T.words(F.col(text)), size)
-    every = rows.select(F.col(key).alias("k"), F.col(within).alias("grp"), F.array_sort(shingles).alias("s")).filter(F.size("s") > 0)
-    every = every.withColumn("h", F.struct(F.xxhash64("s").alias("x"), F.hash("s").alias("y"), F.size("s").alias("n")))
-    sets = every.groupBy("grp", "h").agg(F.min_by(F.struct("k", "s"), "k").alias("r")).select("grp", "h", "r.k", "r.s")
-    copies = every.select("grp", "h", F.col("k").alias("b")).join(sets.select("grp", "h", F.col("k").alias("a")), ["grp", "h"]).filter("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
-    flat = sets.select("k", "grp", F.size("s").alias("n"), F.explode("s").alias("g"))
-    shared = flat.groupBy("grp", "g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    held = flat.join(shared, ["grp", "g"])
-    own = Window.partitionBy("k")
-    # A shingle's place in its text: those that no other text has come first.
-    place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "g"))
-    probes = held.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-    other = held.select("grp", "g", F.col("k").alias("k2"), F.col("n").alias("m"))
-    met = probes.join(other, ["grp", "g"]).filter((F.col("n") <= F.col("m")) & (F.col("k") != F.col("k2")))
-    pairs = met.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
-    a, b = sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), sets.select(F.col("k").alias("b"), F.col("s").alias("sb"))
+    every = written(rows.select(F.col(key).alias("k"), F.col(within).alias("grp"), T.shingle_hashes(T.words(F.col(text)), size).alias("s")))
+    every = every.filter("k is not null and grp is not null and size(s) > 0")
+    every = every.select("k", "grp", "s", F.xxhash64("s").alias("x"), F.xxhash64(F.lit(size), "s").alias("y"), F.size("s").alias("n"))
+    first = every.groupBy("grp", "x", "y", "n").agg(F.min("k").alias("a"))
+    copies = every.select("grp", "x", "y", "n", F.col("k").alias("b")).join(first, ["grp", "x", "y", "n"]).filter("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
+    sets = written(every.join(first.withColumnRenamed("a", "k"), ["grp", "x", "y", "n", "k"], "left_semi").dropDuplicates(["grp", "x", "y", "n"]))
+
+    flat = sets.select("grp", "k", "x", "y", "n", F.explode("s").alias("g"))
+    shared = flat.groupBy("grp", "g").agg(F.count(F.lit(1)).alias("df"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).filter("df > 1")
+    classes = shared.groupBy("grp", "df", "x", "y").agg(F.count(F.lit(1)).alias("w"), F.min("g").alias("g")).select("grp", "g", "df", "w")
+    own = Window.partitionBy("grp", "k", "x", "y")
+    earlier = F.coalesce(F.sum("w").over(own.orderBy("df", "g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.col("n") - F.sum("w").over(own) + earlier  # shingles of the set that come before the class
+    held = written(flat.join(classes, ["grp", "g"]).select("grp", "g", "k", "n", before.alias("before")))
+
+    need = F.ceil(F.col("n") * (least - 0.00005) - 1e-9)  # what is rounded to `least` is enough
+    probes = held.filter(F.col("before") <= F.col("n") - need)
+    other = held.select("grp", "g", F.col("k").alias("k2"), F.col("n").alias("m"), F.col("before").alias("before2"))
+    met = probes.join(other, ["grp", "g"]).filter((F.col("n") <= F.col("m")) & (F.col("k") != F.col("k2")) & (F.col("before2") <= F.col("m") - need))
+    pairs = met.select("grp", F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
+    a, b = sets.select("grp", F.col("k").alias("a"), F.col("s").alias("sa")), sets.select("grp", F.col("k").alias("b"), F.col("s").alias("sb"))
     similarity = F.size(F.array_intersect("sa", "sb")) / F.least(F.size("sa"), F.size("sb"))
-    found = pairs.join(a, "a").join(b, "b").select("a", "b", F.round(similarity, 4).alias("similarity")).filter(F.col("similarity") >= least)
+    found = pairs.join(a, ["grp", "a"]).join(b, ["grp", "b"]).select("a", "b", F.round(similarity, 4).alias("similarity")).filter(F.col("similarity") >= least)
     return found.unionByName(copies)
 
 
@@ -55,8 +65,8 @@ def anchored_groups(rows: DataFrame, key: str, owner: str, text: str, day: str,
     are near: a set is in the weeks of its days and the ones before, and sets meet within a week. Counts by set and day are
     what is joined, not rows, so that many copies of a day are one. Rows without day, owner or words are left out.
     """
-    shingles = F.array_sort(T.shingle_hashes(T.words(F.col(text))))
-    each = rows.select(F.col(key).alias("k"), F.col(owner).alias("grp"), F.col(text).alias("t"), F.datediff(F.col(day), F.lit("1970-01-01").cast("date")).alias("d"), shingles.alias("s"))
+    shingles = T.shingle_hashes(T.words(F.col(text)))
+    each = written(rows.select(F.col(key).alias("k"), F.col(owner).alias("grp"), F.col(text).alias("t"), F.datediff(F.col(day), F.lit("1970-01-01").cast("date")).alias("d"), shingles.alias("s")))
     each = each.filter("grp is not null and d is not null and size(s) > 0").select("k", "grp", "t", "d", F.xxhash64("grp", "s").alias("h"))
     counts = each.groupBy("grp", "h", "d").agg(F.count(F.lit(1)).alias("n"))
     week = F.floor(F.col("d") / days)

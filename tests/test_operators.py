@@ -91,6 +91,42 @@ def test_containment(spark):
     assert rows(similar.containment_pairs(df, "k", "g", "t")) == [(1, 2, 1.0)]
 
 
+def test_shingle_hashes(spark):
+    data = [(0, "b a b a b a b"), (1, "a b a"), (2, "a b a b"), (3, "b a b a"), (4, ""), (5, None), (6, "a b"), (7, "B, a b A")]
+    got = {r["k"]: r["s"] for r in spark.createDataFrame(data, "k long, t string").repartition(1).select("k", T.shingle_hashes(T.words(F.col("t"))).alias("s")).collect()}
+    assert got[4] == [] and got[5] is None and len(got[1]) == len(got[6]) == 1 and got[1] != got[6]
+    assert got[0] == sorted(set(got[2]) | set(got[3])) and len(got[0]) == 2 and got[7] == got[3]
+    assert spark.createDataFrame([], "k long, t string").select(T.shingle_hashes(T.words(F.col("t")))).collect() == []
+
+
+def test_containment_loses_nothing(spark):
+    import random
+
+    r = random.Random(3)
+    passages = [[r.choice("abcdefgh") + str(r.randrange(40)) for _ in range(r.randrange(3, 40))] for _ in range(6)]
+    data = []
+    for i in range(160):
+        w = [x for p in r.sample(passages, r.randrange(1, 4)) for x in p]
+        for _ in range(r.randrange(0, 6)):
+            w[r.randrange(len(w))] = f"new{r.randrange(30)}"
+        data.append((i, r.choice("gh"), " ".join(w)))
+    data += [(500, "g", data[0][2].upper()), (500, "g", data[0][2].upper()), (501, "g", data[0][2]), (502, None, data[0][2]), (None, "g", data[0][2]), (503, "g", None), (504, "g", ", ."), (505, "g", "long " * 50000)]
+    whole = {k: (g, frozenset(" ".join(w[i : i + 4]) for w in [t.lower().split()] for i in range(max(1, len(w) - 3)))) for k, g, t in data if None not in (k, g, t) and k != 504}
+    least, want = {}, []
+    for k in sorted(whole):
+        least.setdefault(whole[k], k)
+    firsts = set(least.values())
+    want += [(least[v], k, 1.0) for k, v in whole.items() if least[v] != k]
+    for a in firsts:
+        for b in firsts:
+            (g, x), (h, y) = whole[a], whole[b]
+            if a < b and g == h and round(len(x & y) / min(len(x), len(y)), 4) >= 0.6:
+                want.append((a, b, round(len(x & y) / min(len(x), len(y)), 4)))
+    got = similar.containment_pairs(spark.createDataFrame(data, "k long, g string, t string"), "k", "g", "t").distinct()
+    assert rows(got) == sorted(want, key=repr) and len(want) > 100
+    assert rows(similar.containment_pairs(spark.createDataFrame([], "k long, g string, t string"), "k", "g", "t")) == []
+
+
 def test_groups_of_alike_texts_in_a_week(spark):
     import random
     from datetime import date, timedelta
