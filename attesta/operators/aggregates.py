@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.operators.selection import quantiles
+
 
 def funnel(rows: DataFrame, key: str, steps: Mapping[str, DataFrame | Column], by: list[str] | None = None) -> DataFrame:
     """Counts of rows, and of those that reach each step: a condition, or a DataFrame that has the key.
@@ -48,11 +50,6 @@ def top_groups(rows: DataFrame, name: Column, n: int, blank: str = "(none)") ->
     return rows.groupBy(named.alias("name")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(n)
 
 
-def median0(x: Column) -> Column:
-    """The exact median, 0 of nothing."""
-    return F.coalesce(F.percentile(x, F.lit(0.5)), F.lit(0.0))
-
-
 def coverage(rows: DataFrame, **conditions: Column) -> DataFrame:
     """One row: the total, and for each condition how many meet it."""
     return rows.agg(F.count(F.lit(1)).alias("total"), *(F.count_if(c).alias(k) for k, c in conditions.items()))
@@ -72,13 +69,12 @@ def capped_per_group(rows: DataFrame, cell: list[str], owner: str, key: list[str
 
 def cascade_cells(rows: DataFrame, levels: list[str], value: str) -> DataFrame:
     """Count and quartiles of every prefix of the levels: the most detailed cell is level 1."""
-    # Equal values of a cell are counted once, before rows are spread over the levels; one buffer gives all quartiles.
+    # Equal values of a cell are counted once, before rows are spread over the levels.
     counted = rows.groupBy(*levels, value).agg(F.count(F.lit(1)).alias("__n"))
     cells = counted.select(value, "__n", *levels, F.explode(F.sequence(F.lit(1), F.lit(len(levels)))).alias("level"))
     named = [F.when(F.col("level") <= len(levels) - i, F.col(c)).alias(c) for i, c in enumerate(levels)]
-    quartiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("__n"))
-    per = cells.select("level", value, "__n", *named).groupBy("level", *levels).agg(F.sum("__n").alias("n"), quartiles.alias("__q"))
-    return per.select("level", *levels, "n", *(F.round(F.col("__q")[i], 6).alias(k) for i, k in enumerate(("p25", "median", "p75"))))
+    per = quantiles(cells.select("level", value, "__n", *named), ["level", *levels], value, [0.25, 0.5, 0.75], "__n")
+    return per.select("level", *levels, "n", *(F.round(F.col("q")[i], 6).alias(k) for i, k in enumerate(("p25", "median", "p75"))))
 
 
 def decayed_axis(rows: DataFrame, by: list[str], weight: Column, months: Column, cap: float, half: float = 18.0, scale: float = 6.0) -> DataFrame:

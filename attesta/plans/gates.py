@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from attesta.operators import gate, history, similar, vector_index
 from attesta.operators import generated as gen
 from attesta.operators import injection as inj
 from attesta.operators import reviews as R
+from attesta.operators.selection import share_by_hash
 from attesta.plans import derived as D
 from attesta.plans.employers import _FAKE, _NORMAL, suspicious
 from attesta.plans.registry import query
@@ -274,10 +274,7 @@ def anchors(spark, sf_dir):
 def seeded_split(spark, sf_dir):
     """A split of a stated share by the order of seeded hashes: as if shuffled with a seed."""
     h = table(spark, sf_dir, "documents").select("doc_id", F.sha1(F.concat(F.lit("7:"), F.col("doc_id").cast("string")).cast("binary")).alias("h"))
-    n = h.count()
-    k = max(1, int(np.ceil(0.2 * n)))
-    edge = h.orderBy("h").limit(k).agg(F.max("h").alias("edge"))  # one row
-    return h.crossJoin(F.broadcast(edge)).select("doc_id", (F.col("h") < F.col("edge")).alias("val"))
+    return h.crossJoin(F.broadcast(share_by_hash(h, "h", 0.2))).select("doc_id", (F.col("h") < F.col("edge")).alias("val"))  # one row
 
 
 # State ---------------------------------------------------------------------------------------------------------------

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from attesta.operators import aggregates as agg
 from attesta.operators import history as hist
+from attesta.operators.selection import quantiles
 from attesta.plans.registry import query
 from attesta.sources.tables import NOW, now, table
+from attesta.streaming.events import written
 
 
 @query("A1", """
@@ -34,12 +36,16 @@ def points(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     point = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).when(F.col("o_orderstatus") == "O", F.col("o_totalprice") * 0.87)
     rows = o.select(F.col("o_orderpriority").alias("priority"), point.alias("point"), "o_orderstatus")
-    return rows.groupBy("priority").agg(F.count(F.lit(1)).alias("n"), F.count("point").alias("shown"), F.count_if(F.col("o_orderstatus") == "O").alias("gross"), F.round(agg.median0(F.col("point")), 2).alias("median"))
+    counts = rows.groupBy("priority").agg(F.count(F.lit(1)).alias("n"), F.count("point").alias("shown"), F.count_if(F.col("o_orderstatus") == "O").alias("gross"))
+    middle = quantiles(rows, ["priority"], "point", [0.5]).select("priority", "q")
+    return counts.join(middle, "priority", "left").select("priority", "n", "shown", "gross", F.round(F.coalesce(F.col("q")[0], F.lit(0.0)), 2).alias("median"))
 
 
 @query("A4", "SELECT c_mktsegment AS segment, round(coalesce(quantile_cont(c_acctbal, 0.5), 0), 2) AS median FROM customer GROUP BY 1")
 def medians(spark, sf_dir):
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.round(agg.median0(F.col("c_acctbal")), 2).alias("median"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment"), "c_acctbal")
+    middle = quantiles(rows, ["segment"], "c_acctbal", [0.5]).select("segment", "q")
+    return rows.select("segment").distinct().join(middle, "segment", "left").select("segment", F.round(F.coalesce(F.col("q")[0], F.lit(0.0)), 2).alias("median"))
 
 
 @query("A5", """
@@ -80,7 +86,7 @@ SELECT kinds, count(*) AS n, round(quantile_cont(days, 0.5), 4) AS median_days F
 def lifetime(spark, sf_dir):
     days = (F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))) / 86400
     u = table(spark, sf_dir, "events").groupBy("user_id").agg(days.alias("days"), F.least(F.countDistinct("event_type"), F.lit(4)).alias("kinds"))
-    return u.groupBy("kinds").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("days", 0.5), 4).alias("median_days"))
+    return quantiles(u, ["kinds"], "days", [0.5]).select("kinds", "n", F.round(F.col("q")[0], 4).alias("median_days"))
 
 
 @query("A10", f"SELECT event_type, count(DISTINCT user_id) AS users FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 14 DAY GROUP BY 1")
@@ -189,7 +195,8 @@ def capped(spark, sf_dir):
 
 @query("A25", "SELECT l_shipmode, p25, median, p75 FROM (SELECT l_returnflag AS l_shipmode, round(quantile_cont(l_extendedprice, 0.25), 6) AS p25, round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.75), 6) AS p75 FROM lineitem GROUP BY 1)")
 def quartiles(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("l_shipmode")).agg(*(F.round(F.percentile("l_extendedprice", q), 6).alias(k) for k, q in (("p25", 0.25), ("median", 0.5), ("p75", 0.75))))
+    per = quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.25, 0.5, 0.75])
+    return per.select(F.col("l_returnflag").alias("l_shipmode"), *(F.round(F.col("q")[i], 6).alias(k) for i, k in enumerate(("p25", "median", "p75"))))
 
 
 @query("A26", "SELECT p_brand AS brand, round(avg(p_retailprice), 2) AS mean FROM part GROUP BY 1")
@@ -234,10 +241,13 @@ WITH {_OBSERVED}, m AS (SELECT role, quantile_cont(l_extendedprice, 0.5) AS med
 d AS (SELECT l_suppkey, l_extendedprice / med - 1 AS dev FROM o JOIN m USING (role))
 SELECT l_suppkey AS company, count(*) AS n, round(avg(CASE WHEN dev < -0.1 THEN 1 ELSE 0 END), 4) AS below, round(avg(CASE WHEN dev > 0.1 THEN 1 ELSE 0 END), 4) AS above, round(quantile_cont(dev, 0.5), 4) AS deviation FROM d GROUP BY 1""")
 def company_mark(spark, sf_dir):
-    o = _observations(spark, sf_dir)
-    medians_ = o.groupBy("role").agg(F.percentile("l_extendedprice", 0.5).alias("med"))
+    o = written(_observations(spark, sf_dir).select("role", "l_suppkey", "l_extendedprice"))  # read twice
+    medians_ = quantiles(o, ["role"], "l_extendedprice", [0.5]).select("role", F.col("q")[0].alias("med"))
     d = o.join(medians_, "role").select("l_suppkey", (F.col("l_extendedprice") / F.col("med") - 1).alias("dev"))
-    return d.groupBy(F.col("l_suppkey").alias("company")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("dev") < -0.1).cast("int")), 4).alias("below"), F.round(F.avg((F.col("dev") > 0.1).cast("int")), 4).alias("above"), F.round(F.percentile("dev", 0.5), 4).alias("deviation"))
+    d = written(d.select(F.col("l_suppkey").alias("company"), "dev"))  # read twice
+    shares = d.groupBy("company").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("dev") < -0.1).cast("int")), 4).alias("below"), F.round(F.avg((F.col("dev") > 0.1).cast("int")), 4).alias("above"))
+    middle = quantiles(d, ["company"], "dev", [0.5]).select("company", F.round(F.col("q")[0], 4).alias("deviation"))
+    return shares.join(middle, "company", "left")
 
 
 _WEIGHT_SQL = "CASE event_type WHEN 'error' THEN 3.0 WHEN 'purchase' THEN 2.0 WHEN 'signup' THEN 1.5 ELSE 0.5 END"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attesta.functions import text as T
 from attesta.functions import vectors as V
 from attesta.operators import gate, review
+from attesta.operators.selection import quantiles
 from attesta.plans.registry import query
 from attesta.sources.tables import NOW, now, table
 
@@ -125,7 +126,7 @@ WITH m AS (SELECT p_brand, quantile_cont(p_retailprice, 0.25) AS q1, quantile_co
 SELECT p_partkey AS part, CASE WHEN p_retailprice < q1 THEN 'below' WHEN p_retailprice > q3 THEN 'above' ELSE 'market' END AS marker, round(p_retailprice / med - 1, 4) AS deviation FROM part JOIN m USING (p_brand)""")
 def markers(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    m = p.groupBy("p_brand").agg(F.percentile("p_retailprice", 0.25).alias("q1"), F.percentile("p_retailprice", 0.75).alias("q3"), F.percentile("p_retailprice", 0.5).alias("med"))
+    m = quantiles(p, ["p_brand"], "p_retailprice", [0.25, 0.75, 0.5]).select("p_brand", *(F.col("q")[i].alias(c) for i, c in enumerate(("q1", "q3", "med"))))
     mark = F.when(F.col("p_retailprice") < F.col("q1"), "below").when(F.col("p_retailprice") > F.col("q3"), "above").otherwise("market")
     return p.join(m, "p_brand").select(F.col("p_partkey").alias("part"), mark.alias("marker"), F.round(F.col("p_retailprice") / F.col("med") - 1, 4).alias("deviation"))
 
