@@ -1,16 +1,19 @@
-"""Exact order statistics of groups of any size: ranks are found over range partitions, no task holds a group.
+"""Exact order statistics of groups of any size: ranks of large groups are found over range partitions, no task holds one.
 
-Equal values of a group are counted first; the counted values are dealt into ranges in the order of group and value and
-written with the range's number. The ranges' totals, one row for each group and range, say which ranges hold the wanted
-ranks, and only within those are counts added up in order. Nulls are no values; a group without values has no row.
+Equal values of a group are counted first; the counted values are dealt into ranges in the order of group and value, sorted
+there, and written with the range's number and a running total of the counts, which one pass over Arrow batches adds. The
+ranges' totals, one row for each group and range, say in which range and at which running total a wanted rank is. Nulls are
+no values; a group without values has no row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,46 +25,80 @@ def _same(names: list[str], other: str) -> Column:
     return reduce(and_, (F.col(c).eqNullSafe(F.col(other + c)) for c in names))
 
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a range with the running total of n, whatever the group."""
+    before = 0
+    for batch in batches:
+        upto = np.cumsum(batch.column("n").to_numpy()) + before
+        before = int(upto[-1]) if len(upto) else before
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(upto, pa.int64())], [*batch.schema.names, "upto"])
+
+
 def at_ranks(rows: DataFrame, by: list[str], value: str, ranks: list[Callable[[Column], Column]], count: str | None = None) -> DataFrame:
     """(by, n, v): of each group, its number of values and the values at the ranks (from 0), each a function of that number.
 
     count: a column that says how often a row's value counts, else once. Groups may be null. A rank beyond the group's
     values gives null. by may be empty: then all rows are one group, and of no values there is no row.
     """
+    found = _ranked(_counted(rows, by, value, count), _names(by), ranks)
+    return found.select(*(F.col(g).alias(c) for g, c in zip(_names(by), by)), "n", "v")
+
+
+def _names(by: list[str]) -> list[str]:
+    return [f"g{i}" for i in range(max(1, len(by)))]
+
+
+def _counted(rows: DataFrame, by: list[str], value: str, count: str | None) -> DataFrame:
+    """(g0, ..., x, n): how often each group has each value."""
     group = [F.col(c).alias(f"g{i}") for i, c in enumerate(by)] or [F.lit(0).alias("g0")]
-    names = [f"g{i}" for i in range(len(group))]
     n = F.col(count).cast("long") if count else F.lit(1).cast("long")
-    counted = rows.select(*group, F.col(value).alias("x"), n.alias("n")).filter("x is not null and n > 0").groupBy(*names, "x").agg(F.sum("n").alias("n"))
-    held = written(counted.repartitionByRange(*names, "x").withColumn("part", F.spark_partition_id()))
+    return rows.select(*group, F.col(value).alias("x"), n.alias("n")).filter("x is not null and n > 0").groupBy(*_names(by), "x").agg(F.sum("n").alias("n"))
+
+
+def _ranked(counted: DataFrame, names: list[str], ranks: list[Callable[[Column], Column]]) -> DataFrame:
+    ranges = counted.repartitionByRange(*names, "x").withColumn("part", F.spark_partition_id()).sortWithinPartitions(*names, "x")
+    held = written(ranges.mapInArrow(_running, ranges.withColumn("upto", F.lit(1).cast("long")).schema))
 
     within = Window.partitionBy(*names)
-    totals = held.groupBy(*names, "part").agg(F.sum("n").alias("t"))
+    totals = held.groupBy(*names, "part").agg(F.sum("n").alias("t"), F.min(F.col("upto") - F.col("n")).alias("base"))
     placed = totals.withColumns({"start": F.sum("t").over(within.orderBy("part")) - F.col("t"), "all": F.sum("t").over(within)})
     asked = F.array(*(F.struct(F.lit(i).alias("i"), r(F.col("all")).cast("long").alias("rank")) for i, r in enumerate(ranks)))
     here = F.filter(asked, lambda a: (a["rank"] >= F.col("start")) & (a["rank"] < F.col("start") + F.col("t")))
-    wanted = placed.withColumn("asked", here).filter(F.size("asked") > 0).select(*(F.col(c).alias(f"w{c}") for c in names), F.col("part").alias("wpart"), "start", "asked")
+    places = F.transform(here, lambda a: F.struct(a["i"].alias("i"), (a["rank"] - F.col("start") + F.col("base")).alias("at")))
+    wanted = placed.withColumn("asked", places).filter(F.size("asked") > 0).select(*(F.col(c).alias(f"w{c}") for c in names), F.col("part").alias("wpart"), "asked")
 
-    near = held.join(wanted, _same(names, "w") & (F.col("part") == F.col("wpart")))
-    upto = F.col("start") + F.sum("n").over(Window.partitionBy(*names, "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    hit = F.filter("asked", lambda a: (a["rank"] >= F.col("upto") - F.col("n")) & (a["rank"] < F.col("upto")))
-    found = near.withColumn("upto", upto).select(*names, "x", F.explode(hit).alias("a"))
+    hit = F.filter("asked", lambda a: (a["at"] >= F.col("upto") - F.col("n")) & (a["at"] < F.col("upto")))
+    found = held.join(wanted, _same(names, "w") & (F.col("part") == F.col("wpart"))).select(*names, "x", F.explode(hit).alias("a"))
     values = [F.max(F.when(F.col("a.i") == i, F.col("x"))).alias(f"v{i}") for i in range(len(ranks))]
     sizes = totals.groupBy(*(F.col(c).alias(f"s{c}") for c in names)).agg(F.sum("t").alias("n"))
-    return sizes.join(found.groupBy(*names).agg(*values), _same(names, "s"), "left").select(*(F.col(f"sg{i}").alias(c) for i, c in enumerate(by)), "n", F.array(*(F.col(f"v{i}") for i in range(len(ranks)))).alias("v"))
+    return sizes.join(found.groupBy(*names).agg(*values), _same(names, "s"), "left").select(*(F.col(f"s{c}").alias(c) for c in names), "n", F.array(*(F.col(f"v{i}") for i in range(len(ranks)))).alias("v"))
+
 
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], count: str | None = None, most: int = 200_000) -> DataFrame:
+    """(by, n, q): of each group, its number of values and, for each share, the quantile between its two nearest values.
 
-def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], count: str | None = None) -> DataFrame:
-    """(by, n, q): of each group, its number of values and, for each share, the quantile between its two nearest values."""
+    Groups of at most `most` different values are aggregated in a buffer of that many; larger ones are ranged. Both are exact.
+    """
+    names, k = _names(by), len(shares)
+    counted = written(_counted(rows.withColumn(value, F.col(value).cast("double")), by, value, count))
+    large = written(counted.groupBy(*names).agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") > most).select(*(F.col(c).alias(f"l{c}") for c in names)))
+    if large.isEmpty():
+        return _buffered(counted, names, shares).select(*(F.col(g).alias(c) for g, c in zip(names, by)), "n", "q")
+    few = _buffered(counted.join(large, _same(names, "l"), "left_anti"), names, shares)
     low = [lambda n, p=p: F.floor((n - 1) * p) for p in shares]
     high = [lambda n, p=p: F.ceil((n - 1) * p) for p in shares]
-    found = at_ranks(rows.withColumn(value, F.col(value).cast("double")), by, value, low + high, count)
-    k = len(shares)
 
     def between(i: int) -> Column:
         place = (F.col("n") - 1) * shares[i]
         return F.col("v")[i] + (F.col("v")[k + i] - F.col("v")[i]) * (place - F.floor(place))
 
-    return found.select(*by, "n", F.array(*(between(i) for i in range(k))).alias("q"))
+    many = _ranked(counted.join(large, _same(names, "l"), "left_semi"), names, low + high)
+    both = few.unionByName(many.select(*names, "n", F.array(*(between(i) for i in range(k))).alias("q")))
+    return both.select(*(F.col(g).alias(c) for g, c in zip(names, by)), "n", "q")
+
+
+def _buffered(counted: DataFrame, names: list[str], shares: list[float]) -> DataFrame:
+    return counted.groupBy(*names).agg(F.sum("n").alias("s"), F.percentile("x", F.array(*map(F.lit, shares)), F.col("n")).alias("q")).select(*names, F.col("s").alias("n"), "q")
 
 
 def share_by_hash(rows: DataFrame, digest: str, share: float, digits: int = 4) -> DataFrame:

@@ -20,11 +20,12 @@ def test_quantiles(spark):
     data = [(g, float(r.randrange(-50, 50))) for g in ["hot"] * 3000 + ["b", None] * 40 + ["one"]]
     data += [("hot", 7.0)] * 2000 + [("none", None), ("hot", None)]
     df = spark.createDataFrame(data, "g string, x double").repartition(7)
-    got = {row["g"]: (row["n"], row["q"]) for row in selection.quantiles(df, ["g"], "x", [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
-    assert set(got) == {"hot", "b", None, "one"}
-    for g, (n, q) in got.items():
-        values = [x for h, x in data if h == g and x is not None]
-        assert n == len(values) and all(math.isclose(a, by_hand(values, p)) for a, p in zip(q, [0.0, 0.25, 0.5, 0.9, 1.0]))
+    for most in (0, 60, 200_000):  # all groups are ranged, the hot one, none
+        got = {row["g"]: (row["n"], row["q"]) for row in selection.quantiles(df, ["g"], "x", [0.0, 0.25, 0.5, 0.9, 1.0], most=most).collect()}
+        assert set(got) == {"hot", "b", None, "one"}
+        for g, (n, q) in got.items():
+            values = [x for h, x in data if h == g and x is not None]
+            assert n == len(values) and all(math.isclose(a, by_hand(values, p)) for a, p in zip(q, [0.0, 0.25, 0.5, 0.9, 1.0]))
 
 
 def test_quantiles_in_many_ranges(spark):
@@ -33,7 +34,7 @@ def test_quantiles_in_many_ranges(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         df = spark.createDataFrame([(x,) for x in values], "x double")
-        (row,) = selection.quantiles(df, [], "x", [0.1, 0.5, 0.999]).collect()
+        (row,) = selection.quantiles(df, [], "x", [0.1, 0.5, 0.999], most=0).collect()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
     assert row["n"] == 5000 and all(math.isclose(a, by_hand(values, p)) for a, p in zip(row["q"], [0.1, 0.5, 0.999]))
