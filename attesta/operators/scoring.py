@@ -71,6 +71,25 @@ def verdict(kind: Column, text: Column, low: Column, high: Column, days: Column,
     return out, sure
 
 
+SENIOR = ("architecture", "roadmap", "mentoring", "strategy", "budget")
+
+
+def facts(low: Column, high: Column, junior: Column, text: Column, days: Column, active: Column, wide: float = 2.0, senior: tuple[str, ...] = SENIOR, least: int = 3, long: int = 90) -> Column:
+    """Array of (kind, confidence) of what a record's numbers say against it without any claim; empty of nothing.
+
+    pay_band_wide: the upper end of the pay is `wide` times the lower or more; ends of 0 or null are none. grade_mismatch: a
+    junior record whose text has `least` different terms of senior work. long_running: listed still, after `long` days.
+    """
+    terms = sum((F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit(t)).cast("int") for t in senior), F.lit(0))
+    sure = F.when(days >= 60, "high").when(days >= 14, "middle").otherwise("low")
+    fact = lambda kind, when, confidence: F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(kind).alias("kind"), confidence.alias("confidence")))
+    return F.array_compact(F.array(
+        fact("pay_band_wide", (low > 0) & (high >= low * wide), F.lit("high")),
+        fact("grade_mismatch", junior & (terms >= least), F.lit("middle")),
+        fact("long_running", active & (days >= long), sure),
+    ))
+
+
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 PHONE = r"\+[0-9][0-9 ()-]{8,}[0-9]"
 TELEGRAM = r"(?:https?://)?t\.me/([A-Za-z0-9_]{4,})"
@@ -92,6 +111,16 @@ def channels(text: Column) -> Column:
     )
 
 
+PERSONAL_HOSTS = ("facebook.com", "instagram.com", "vk.com")
+
+
+def refused(text: Column, hosts: tuple[str, ...] = PERSONAL_HOSTS) -> Column:
+    """Array of (kind, value) of what a text offers that is no working channel: every phone, in order, and hosts of personal pages, each once."""
+    phones = F.transform(F.regexp_extract_all(text, F.lit(PHONE), F.lit(0)), lambda v: F.struct(F.lit("phone").alias("kind"), v.alias("value")))
+    named = F.array_compact(F.array(*(F.when(F.contains(F.lower(text), F.lit(h)), F.struct(F.lit("host").alias("kind"), F.lit(h).alias("value"))) for h in hosts)))
+    return F.concat(phones, named)
+
+
 LEADS = [(1, ("head of", "director")), (2, ("lead", "team lead")), (3, ("manager",))]
 
 

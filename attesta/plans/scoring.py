@@ -145,6 +145,26 @@ def claim_verdicts(spark, sf_dir):
     return rows.select("doc_id", "c.kind", out.alias("verdict"), sure.alias("confidence"))
 
 
+_DUTIES = [" Architecture, roadmap and mentoring.", " Strategy and budget.", " Mentoring, strategy, budget, roadmap."]
+
+
+@query("T22_facts", f"""
+WITH h AS (SELECT o_custkey AS id, min(o_totalprice) AS low, max(o_totalprice) AS high, date_diff('day', min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE))) AS days, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) = 'O' AS active FROM orders GROUP BY 1),
+x AS (SELECT h.*, h.id % 4 = 0 AS junior, lower(coalesce(text, '') || {D.chosen('h.id', _DUTIES)}) AS t FROM h LEFT JOIN documents ON doc_id = h.id)
+SELECT id, 'pay_band_wide' AS kind, 'high' AS confidence FROM x WHERE low > 0 AND high >= 2 * low
+UNION ALL SELECT id, 'grade_mismatch', 'middle' FROM x WHERE junior AND {' + '.join(f"contains(t, '{t}')::INT" for t in S.SENIOR)} >= 3
+UNION ALL SELECT id, 'long_running', 'high' FROM x WHERE active AND days >= 90""")
+def numeric_facts(spark, sf_dir):
+    """Facts without claims of each customer's record: the band of its orders' prices, the days they span, its text's terms."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(
+        F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"), F.datediff(F.max(F.to_date("o_orderdate")), F.min(F.to_date("o_orderdate"))).alias("days"),
+        (F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")) == "O").alias("active"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    rows = o.join(texts, "id", "left").withColumn("text", F.concat(F.coalesce("text", F.lit("")), D.spark_text("id", _DUTIES)))
+    found = S.facts(F.col("low"), F.col("high"), F.col("id") % 4 == 0, F.col("text"), F.col("days"), F.col("active"))
+    return rows.select("id", F.explode(found).alias("f")).select("id", "f.kind", "f.confidence")
+
+
 # Contacts ------------------------------------------------------------------------------------------------------------
 
 _CONTACT = "CASE doc_id % 7 WHEN 0 THEN ' Write to hr@firm' || CAST(doc_id AS STRING) || '.example.com. Ask Anna Smith, Head of data.' WHEN 1 THEN ' Team lead is John Brown. See https://t.me/jobs_chat or github.com/some-login' WHEN 2 THEN ' info@shop.example, +1 555 010 2030' WHEN 3 THEN ' Ann.Lee@shop.example and ann.lee@shop.example. Director Mary Jane Watson' ELSE '' END"
@@ -169,6 +189,14 @@ def contacts(spark, sf_dir):
     return _talk(spark, sf_dir).select("doc_id", F.explode(S.channels(F.col("text"))).alias("c")).select("doc_id", "c.kind", "c.value", "c.rank")
 
 
+@query("T31_refused", rf"""
+SELECT doc_id, 'phone' AS kind, unnest(regexp_extract_all(text, '{S.PHONE}')) AS value FROM {_TALK}
+UNION ALL SELECT doc_id, 'host', h FROM {_TALK} JOIN (SELECT unnest([{', '.join(f"'{h}'" for h in S.PERSONAL_HOSTS)}]) AS h) ON contains(lower(text), h)""")
+def refused_contacts(spark, sf_dir):
+    """Phones and personal pages, which are no working channels, of every text."""
+    return _talk(spark, sf_dir).select("doc_id", F.explode(S.refused(F.col("text"))).alias("c")).select("doc_id", "c.kind", "c.value")
+
+
 @query("T32", f"WITH {_LEADS} SELECT doc_id, name, rank FROM ld")
 def lead_names(spark, sf_dir):
     return S.leads(_talk(spark, sf_dir), "doc_id", "text")

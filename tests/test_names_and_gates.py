@@ -159,3 +159,17 @@ def test_dates_by_hand(spark):
 def test_trained_gate_has_a_result(spark):
     r = gates.trained_gate(spark, "/root/testdata/sf0.001").collect()[0]
     assert 0 <= r["auroc"] <= 1 and 0 <= r["wrong"] + r["missed"] <= r["n"]
+
+
+def test_facts_without_claims(spark):
+    terms = "Roadmap, strategy; MENTORING"
+    data = [(0, 10.0, 20.0, True, terms, 100, True), (1, 10.0, 19.9, False, terms, 100, False), (2, 0.0, 50.0, True, "roadmap roadmap strategy", 89, True), (3, None, None, None, None, None, None), (4, 10.0, None, True, terms, 90, None)]
+    df = spark.createDataFrame(data, "k int, low double, high double, junior boolean, t string, days int, active boolean")
+    got = {r["k"]: [tuple(f) for f in r["f"]] for r in df.select("k", scoring.facts(*(F.col(c) for c in ("low", "high", "junior", "t", "days", "active"))).alias("f")).collect()}
+    assert got == {0: [("pay_band_wide", "high"), ("grade_mismatch", "middle"), ("long_running", "high")], 1: [], 2: [], 3: [], 4: [("grade_mismatch", "middle")]}
+
+
+def test_phones_and_personal_pages_are_refused(spark):
+    df = spark.createDataFrame([("Call +1 555 010 2030 or +44 (20) 7946-0018, see VK.com/x and vk.com/y",), ("12 34, a@b.example",), ("",), (None,)], "t string")
+    got = [r[0] if r[0] is None else [tuple(c) for c in r[0]] for r in df.select(scoring.refused(F.col("t"))).collect()]
+    assert got == [[("phone", "+1 555 010 2030"), ("phone", "+44 (20) 7946-0018"), ("host", "vk.com")], [], [], None]
