@@ -12,6 +12,7 @@ from attesta.plans import derived as D
 from attesta.plans.registry import query
 from attesta.plans.scoring import _VACANCY
 from attesta.sources.tables import NOW, now, table
+from attesta.streaming.events import written
 
 # Filters -------------------------------------------------------------------------------------------------------------
 
@@ -208,14 +209,17 @@ def number_sets(spark, sf_dir):
     return rows.select("doc_id", T.numbers(F.col("said")).alias("numbers"))
 
 
-@query("T37", r"SELECT item_id, count(doc_id) AS quoted FROM benchmark LEFT JOIN documents d ON contains(d.text, benchmark.text) GROUP BY 1")
+@query("T37", r"""
+WITH d AS MATERIALIZED (SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ') AS t FROM documents), b AS MATERIALIZED (SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ') AS t FROM benchmark)
+SELECT item_id, count(doc_id) AS quoted FROM b LEFT JOIN d ON contains(d.t, b.t) GROUP BY 1""")
 def verified_quotes(spark, sf_dir):
-    """How many texts hold each item word for word: items and texts meet on the item's rarest run of five words, and are then compared."""
+    """How many texts hold each item word for word, whatever the case, spaces and marks: items and texts meet on the item's rarest run of five words, and are then compared."""
     split = lambda c: F.split(c, r"\s+")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    alike = T.normal(F.col("text"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", alike.alias("item"))
     inner = items.withColumn("w", F.slice(split("item"), 2, F.greatest(F.size(split("item")) - 2, F.lit(0))))  # the outer words may be parts of longer ones
     long = inner.filter(F.size("w") >= 5).select("item_id", "item", F.explode(T.shingle_hashes(F.col("w"), 5)).alias("g"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = written(table(spark, sf_dir, "documents").select("doc_id", alike.alias("text")))  # read four times
     grams = docs.select("doc_id", F.explode(T.shingle_hashes(split("text"), 5)).alias("g")).join(long.select("g").distinct(), "g", "left_semi")
     df = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     one = long.join(df, "g", "left").groupBy("item_id").agg(F.min_by("g", F.struct(F.coalesce("df", F.lit(0)), F.col("g"))).alias("g"))
