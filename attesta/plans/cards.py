@@ -108,9 +108,10 @@ def _distance():
 KM_SQL = "2 * 6371.0 * asin(sqrt(pow(sin(radians(lat - 55.5) / 2), 2) + cos(radians(55.5)) * cos(radians(lat)) * pow(sin(radians(lng - 37.5) / 2), 2)))"
 
 
-def _box(km: float):
-    """Degrees north and east that `km` span; the cosine is at least 0.2, so that the box stays finite near the poles."""
-    return km / 111.32, F.lit(km) / (F.lit(111.32) * F.greatest(F.lit(0.2), F.cos(F.radians(F.lit(55.5)))))
+def _box(km: float, lat=None):
+    """Degrees north and east that `km` span at a latitude; the cosine is at least 0.2, so that the box stays finite near the poles."""
+    lat = F.lit(55.5) if lat is None else lat
+    return km / 111.32, F.lit(km) / (F.lit(111.32) * F.greatest(F.lit(0.2), F.cos(F.radians(lat))))
 
 
 @query("J27", f"SELECT event_id, round({KM_SQL}, 3) AS km FROM ({PLACE_SQL}) WHERE {KM_SQL} <= 20")
@@ -120,10 +121,13 @@ def inside_circle(spark, sf_dir):
     return boxed.withColumn("km", _distance()).filter("km <= 20").select("event_id", F.round("km", 3).alias("km"))
 
 
-@query("M7", "SELECT round(20 / 111.32, 6)::DOUBLE AS north, round(20 / (111.32 * greatest(0.2, cos(radians(55.5)))), 6)::DOUBLE AS east")
+@query("M7", f"""
+SELECT event_id, round(lat - 20 / 111.32, 6) AS south, round(lat + 20 / 111.32, 6) AS north, round(lng - 20 / (111.32 * greatest(0.2, cos(radians(lat)))), 6) AS west, round(lng + 20 / (111.32 * greatest(0.2, cos(radians(lat)))), 6) AS east FROM ({PLACE_SQL})""")
 def bounding_box(spark, sf_dir):
-    north, east = _box(20.0)
-    return spark.range(1).select(F.round(F.lit(north), 6).alias("north"), F.round(east, 6).alias("east"))
+    """The box of 20 km around every place."""
+    north, east = _box(20.0, F.col("lat"))
+    lat, lng = F.col("lat"), F.col("lng")
+    return _places(spark, sf_dir).select("event_id", F.round(lat - north, 6).alias("south"), F.round(lat + north, 6).alias("north"), F.round(lng - east, 6).alias("west"), F.round(lng + east, 6).alias("east"))
 
 
 @query("L15", f"SELECT event_id, round({KM_SQL}, 3) AS km FROM ({PLACE_SQL}) WHERE {KM_SQL} <= 20 ORDER BY {KM_SQL}, event_id LIMIT 25")
