@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -114,10 +115,18 @@ def _box(km: float, lat=None):
     return km / 111.32, F.lit(km) / (F.lit(111.32) * F.greatest(F.lit(0.2), F.cos(F.radians(lat))))
 
 
+def _around(km: float, lat: float) -> tuple[float, float]:
+    """Degrees north and east that a circle of `km` reaches from a latitude, a billionth more; all the way round where it holds a pole."""
+    r = km / 6371.0
+    share = math.sin(r) / math.cos(math.radians(lat)) if r < math.pi / 2 - abs(math.radians(lat)) else 1.0
+    return math.degrees(r) * (1 + 1e-9), math.degrees(math.asin(share)) * (1 + 1e-9) if share < 1 else 360.0
+
+
 @query("J27", f"SELECT event_id, round({KM_SQL}, 3) AS km FROM ({PLACE_SQL}) WHERE {KM_SQL} <= 20")
 def inside_circle(spark, sf_dir):
-    north, east = _box(20.0)
-    boxed = _places(spark, sf_dir).filter(F.col("lat").between(55.5 - north, 55.5 + north) & F.col("lng").between(F.lit(37.5) - east, F.lit(37.5) + east))
+    """Places within 20 km; a box that holds the whole circle is asked first."""
+    north, east = _around(20.0, 55.5)
+    boxed = _places(spark, sf_dir).filter(F.col("lat").between(55.5 - north, 55.5 + north) & F.col("lng").between(37.5 - east, 37.5 + east))
     return boxed.withColumn("km", _distance()).filter("km <= 20").select("event_id", F.round("km", 3).alias("km"))
 
 
