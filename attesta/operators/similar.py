@@ -39,39 +39,49 @@ def containment_pairs(rows: DataFrame, key: str, within: str, text: str, least:
     copies = every.select("grp", "x", "y", "n", F.col("k").alias("b")).join(first, ["grp", "x", "y", "n"]).filter("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
     sets = written(every.join(first.withColumnRenamed("a", "k"), ["grp", "x", "y", "n", "k"], "left_semi").dropDuplicates(["grp", "x", "y", "n"]))
 
-    flat = sets.select("grp", "k", "x", "y", "n", F.explode("s").alias("g"))
-    shared = flat.groupBy("grp", "g").agg(F.count(F.lit(1)).alias("df"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).filter("df > 1")
+    return _alike_sets(sets.withColumnRenamed("x", "u"), least).unionByName(copies)
+
+
+def _alike_sets(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) by the keys k of sets (grp, u, k, n, s), u a hash of the set that no other of its group has; see containment_pairs.
+
+    Only (grp, u, n, g) of a shingle is shuffled; what tells classes apart is hashed from u where it is summed up.
+    """
+    flat = sets.select("grp", "u", "n", F.explode("s").alias("g"))
+    x, y = F.bit_xor(F.xxhash64("u")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "u")).alias("y")
+    shared = flat.groupBy("grp", "g").agg(F.count(F.lit(1)).alias("df"), x, y).filter("df > 1")
     classes = shared.groupBy("grp", "df", "x", "y").agg(F.count(F.lit(1)).alias("w"), F.min("g").alias("g")).select("grp", "g", "df", "w")
-    own = Window.partitionBy("grp", "k", "x", "y")
+    own = Window.partitionBy("grp", "u")
     earlier = F.coalesce(F.sum("w").over(own.orderBy("df", "g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     before = F.col("n") - F.sum("w").over(own) + earlier  # shingles of the set that come before the class
-    held = written(flat.join(classes, ["grp", "g"]).select("grp", "g", "k", "n", before.alias("before")))
+    held = written(flat.join(classes, ["grp", "g"]).select("grp", "g", "u", "n", before.alias("before")))
 
     need = F.ceil(F.col("n") * (least - 0.00005) - 1e-9)  # what is rounded to `least` is enough
     probes = held.filter(F.col("before") <= F.col("n") - need)
-    other = held.select("grp", "g", F.col("k").alias("k2"), F.col("n").alias("m"), F.col("before").alias("before2"))
-    met = probes.join(other, ["grp", "g"]).filter((F.col("n") <= F.col("m")) & (F.col("k") != F.col("k2")) & (F.col("before2") <= F.col("m") - need))
-    pairs = met.select("grp", F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
-    a, b = sets.select("grp", F.col("k").alias("a"), F.col("s").alias("sa")), sets.select("grp", F.col("k").alias("b"), F.col("s").alias("sb"))
+    other = held.select("grp", "g", F.col("u").alias("u2"), F.col("n").alias("m"), F.col("before").alias("before2"))
+    met = probes.join(other, ["grp", "g"]).filter((F.col("n") <= F.col("m")) & (F.col("u") != F.col("u2")) & (F.col("before2") <= F.col("m") - need))
+    pairs = met.select("grp", F.least("u", "u2").alias("ua"), F.greatest("u", "u2").alias("ub")).distinct()
+    a, b = (sets.select("grp", F.col("u").alias(f"u{c}"), F.col("k").alias(f"k{c}"), F.col("s").alias(f"s{c}")) for c in "ab")
     similarity = F.size(F.array_intersect("sa", "sb")) / F.least(F.size("sa"), F.size("sb"))
-    found = pairs.join(a, ["grp", "a"]).join(b, ["grp", "b"]).select("a", "b", F.round(similarity, 4).alias("similarity")).filter(F.col("similarity") >= least)
-    return found.unionByName(copies)
+    found = pairs.join(a, ["grp", "ua"]).join(b, ["grp", "ub"]).filter("ka <> kb")
+    return found.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.round(similarity, 4).alias("similarity")).filter(F.col("similarity") >= least)
 
 
 def anchored_groups(rows: DataFrame, key: str, owner: str, text: str, day: str, days: int = 7, least: float = 0.6) -> DataFrame:
     """(key, n): of each dated row, how many rows of its owner, itself included, are alike and come 0 to days - 1 days later.
 
-    Alike: as in containment_pairs. Texts are compared once per distinct set of shingles and only where sets have days that
-    are near: a set is in the weeks of its days and the ones before, and sets meet within a week. Counts by set and day are
-    what is joined, not rows, so that many copies of a day are one. Rows without day, owner or words are left out.
+    Alike: as in containment_pairs. Each distinct set of an owner's shingles is compared once, whatever its days; counts by
+    set and day are what is joined, not rows, so that many copies of a day are one. Rows without day, owner or words are left out.
     """
     shingles = T.shingle_hashes(T.words(F.col(text)))
-    each = written(rows.select(F.col(key).alias("k"), F.col(owner).alias("grp"), F.col(text).alias("t"), F.datediff(F.col(day), F.lit("1970-01-01").cast("date")).alias("d"), shingles.alias("s")))
-    each = each.filter("grp is not null and d is not null and size(s) > 0").select("k", "grp", "t", "d", F.xxhash64("grp", "s").alias("h"))
+    every = written(rows.select(F.col(key).alias("k"), F.col(owner).alias("grp"), F.datediff(F.col(day), F.lit("1970-01-01").cast("date")).alias("d"), shingles.alias("s")))
+    every = every.filter("grp is not null and d is not null and size(s) > 0").withColumn("h", F.xxhash64("grp", "s"))
+    each = every.select("k", "grp", "d", "h")
     counts = each.groupBy("grp", "h", "d").agg(F.count(F.lit(1)).alias("n"))
-    week = F.floor(F.col("d") / days)
-    sets = each.withColumn("w", F.explode(F.array(week, week - 1))).groupBy("h", F.struct("grp", "w").alias("within")).agg(F.min("t").alias("t"))
-    pairs = containment_pairs(sets, "h", "within", "t", least).select("a", "b").distinct()
+    first = each.groupBy("grp", "h").agg(F.min(F.struct("k", "d")).alias("first"))  # one row of each set, to take its shingles from
+    taken = every.join(first, ["grp", "h"]).filter(F.struct("k", "d") == F.col("first")).dropDuplicates(["grp", "h"])
+    sets = written(taken.select("grp", F.col("h").alias("u"), F.col("h").alias("k"), F.size("s").alias("n"), "s"))
+    pairs = _alike_sets(sets, least).select("a", "b")
     same = counts.select(F.col("h").alias("a"), F.col("h").alias("b")).distinct()
     alike = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same)
     other = counts.select(F.col("h").alias("b"), F.col("d").alias("d2"), F.col("n").alias("m"))
