@@ -164,7 +164,8 @@ def cascade_lookup(spark, sf_dir):
     own = cells.filter("level = 1").select("role", "grade", "owner", F.col("n").alias("n1"), F.col("median").alias("m1"))
     mid = cells.filter("level = 2").select("role", "grade", F.col("n").alias("n2"), F.col("median").alias("m2"))
     top = cells.filter("level = 3").select("role", F.col("median").alias("m3"))
-    rows = own.join(mid, ["role", "grade"]).join(top, "role")
+    few = lambda cells: F.broadcast(cells) if cells.count() <= 100_000 else cells  # noqa: E731  # a shuffle by few keys gives few, large tasks
+    rows = own.join(few(mid), ["role", "grade"]).join(few(top), "role")
     pick = F.when(F.col("n1") >= 8, F.lit(1)).when(F.col("n2") >= 8, F.lit(2)).otherwise(F.lit(3))
     return rows.select("role", "grade", "owner", F.when(pick == 1, F.col("m1")).when(pick == 2, F.col("m2")).otherwise(F.col("m3")).alias("median"), pick.alias("level"))
 
