@@ -32,38 +32,49 @@ def containment_pairs(rows: DataFrame, key: str, within: str, text: str, least:
     (positional filter). The order is by how many sets have a class, so that few meet; shingles of one set alone come first
     and meet nothing. Ties in size are covered from both sides.
     """
-    every = written(rows.select(F.col(key).alias("k"), F.col(within).alias("grp"), T.shingle_hashes(T.words(F.col(text)), size).alias("s")))
-    every = every.filter("k is not null and grp is not null and size(s) > 0")
-    every = every.select("k", "grp", "s", F.xxhash64("s").alias("x"), F.xxhash64(F.lit(size), "s").alias("y"), F.size("s").alias("n"))
-    first = every.groupBy("grp", "x", "y", "n").agg(F.min("k").alias("a"))
-    copies = every.select("grp", "x", "y", "n", F.col("k").alias("b")).join(first, ["grp", "x", "y", "n"]).filter("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
-    sets = written(every.join(first.withColumnRenamed("a", "k"), ["grp", "x", "y", "n", "k"], "left_semi").dropDuplicates(["grp", "x", "y", "n"]))
+    every = written(rows.select(F.col(key).alias("k"), F.col(within).alias("grp"), T.shingle_hashes(T.words(F.col(text)), size).alias("s")).filter("k is not null and grp is not null and size(s) > 0").select(
+        "k", "grp", "s", F.xxhash64("s").alias("x"), F.xxhash64(F.lit(size), "s").alias("y"), F.size("s").alias("n"), F.monotonically_increasing_id().alias("row")))
+    first = every.groupBy("grp", "x", "y", "n").agg(F.min(F.struct("k", "row")).alias("first"))
+    placed = written(every.select("grp", "x", "y", "n", "k", "row").join(first, ["grp", "x", "y", "n"]).filter(F.col("row") != F.col("first.row")).select("row", F.col("first.k").alias("a"), F.col("k").alias("b")))
+    copies = placed.filter("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
+    sets = every.join(_few(placed.select("row")), "row", "left_anti").select("grp", F.col("x").alias("u"), "k", "n", "s")
 
-    return _alike_sets(sets.withColumnRenamed("x", "u"), least).unionByName(copies)
+    return _alike_sets(sets, least).unionByName(copies)
+
+
+def _few(rows: DataFrame, most: int = 500_000) -> DataFrame:
+    """rows of a table of one or two numbers, sent to each executor if they are few, so that what they meet need not be shuffled."""
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def _alike_sets(sets: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity) by the keys k of sets (grp, u, k, n, s), u a hash of the set that no other of its group has; see containment_pairs.
 
-    Only (grp, u, n, g) of a shingle is shuffled; what tells classes apart is hashed from u where it is summed up.
+    Each shingle is shuffled once, as two numbers: itself with its group, and its set with its group. Of those that several sets
+    hold, a set's own count by class is the weight, as each set of a class holds all its shingles; so only these go on to their
+    sets, and of each class one row remains. Shingles and classes no partner could meet are left out before they are joined.
     """
-    flat = sets.select("grp", "u", "n", F.explode("s").alias("g"))
-    x, y = F.bit_xor(F.xxhash64("u")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "u")).alias("y")
-    shared = flat.groupBy("grp", "g").agg(F.count(F.lit(1)).alias("df"), x, y).filter("df > 1")
-    classes = shared.groupBy("grp", "df", "x", "y").agg(F.count(F.lit(1)).alias("w"), F.min("g").alias("g")).select("grp", "g", "df", "w")
-    own = Window.partitionBy("grp", "u")
-    earlier = F.coalesce(F.sum("w").over(own.orderBy("df", "g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = F.col("n") - F.sum("w").over(own) + earlier  # shingles of the set that come before the class
-    held = written(flat.join(classes, ["grp", "g"]).select("grp", "g", "u", "n", before.alias("before")))
+    of = F.xxhash64("grp", "u").alias("of")
+    flat = sets.select(of, F.explode("s").alias("s"), "grp").select("of", F.xxhash64("grp", "s").alias("g"))
+    meet = Window.partitionBy("g")
+    shared = flat.withColumns({"df": F.count(F.lit(1)).over(meet), "x": F.bit_xor(F.xxhash64("of")).over(meet)}).filter("df > 1")
+    classes = shared.select("of", "g", F.xxhash64("df", "x").alias("x"), F.col("df").cast("int").alias("df")).repartition("of").groupBy("of", "x", "df").agg(F.count(F.lit(1)).alias("w"), F.min("g").alias("g"))
+    own = Window.partitionBy("of")
+    upto = F.sum("w").over(own.orderBy("df", "g").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.sum("w").over(own) - upto + F.col("w")  # shingles of the set from the class on
+    sizes = sets.select(of, "n")
+    held = written(classes.select("of", "g", after.cast("int").alias("after")).join(sizes, "of").select("of", "g", "n", "after"))
 
     need = F.ceil(F.col("n") * (least - 0.00005) - 1e-9)  # what is rounded to `least` is enough
-    probes = held.filter(F.col("before") <= F.col("n") - need)
-    other = held.select("grp", "g", F.col("u").alias("u2"), F.col("n").alias("m"), F.col("before").alias("before2"))
-    met = probes.join(other, ["grp", "g"]).filter((F.col("n") <= F.col("m")) & (F.col("u") != F.col("u2")) & (F.col("before2") <= F.col("m") - need))
-    pairs = met.select("grp", F.least("u", "u2").alias("ua"), F.greatest("u", "u2").alias("ub")).distinct()
-    a, b = (sets.select("grp", F.col("u").alias(f"u{c}"), F.col("k").alias(f"k{c}"), F.col("s").alias(f"s{c}")) for c in "ab")
+    probes = held.filter(F.col("after") >= need)
+    other = held.select("g", F.col("of").alias("of2"), F.col("n").alias("m"), F.col("after").alias("after2"))
+    met = probes.join(other, "g").filter((F.col("n") <= F.col("m")) & (F.col("of") != F.col("of2")) & (F.col("after2") >= need))
+    pairs = written(met.select(F.least("of", "of2").alias("ua"), F.greatest("of", "of2").alias("ub")).distinct())
+    wanted = written(pairs.select(F.explode(F.array("ua", "ub")).alias("of")).distinct())
+    whole = sets.select(of, "k", "s").join(_few(wanted), "of", "left_semi")
+    a, b = (whole.select(F.col("of").alias(f"u{c}"), F.col("k").alias(f"k{c}"), F.col("s").alias(f"s{c}")) for c in "ab")
     similarity = F.size(F.array_intersect("sa", "sb")) / F.least(F.size("sa"), F.size("sb"))
-    found = pairs.join(a, ["grp", "ua"]).join(b, ["grp", "ub"]).filter("ka <> kb")
+    found = pairs.join(a, "ua").join(b, "ub").filter("ka <> kb")
     return found.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.round(similarity, 4).alias("similarity")).filter(F.col("similarity") >= least)
 
 
