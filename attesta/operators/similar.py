@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import text as T
-from attesta.streaming.events import written
+from attesta.operators.shingle_sets import Members, bucket_count, compared, packed, shared
+from attesta.streaming.events import gone, written
 
 
 def shared_elsewhere(rows: DataFrame, digest: str, owner: str) -> DataFrame:
@@ -23,82 +24,146 @@ def containment_pairs(rows: DataFrame, key: str, within: str, text: str, least:
     """(a, b, similarity) of two keys within a group whose shingles overlap by `least` of the smaller set, rounded to four places.
 
     Of keys with equal sets only the smallest is compared; the others are paired with it alone. Rows without key, group or
-    words pair with nothing.
-
-    Shingles that the same sets hold (all those of a shared passage) are one class, known by the exclusive or of 128 bits of
-    its sets and their number, and counted by its weight; so texts meet once per passage, not once per shingle. In any one
-    order of all classes, of a set of n shingles whose partner is no smaller, the first shared one starts within the first
-    n - ceil(least * n) + 1 (prefix filter), and as many as are needed are still to come in the partner's set, too
-    (positional filter). The order is by how many sets have a class, so that few meet; shingles of one set alone come first
-    and meet nothing. Ties in size are covered from both sides.
+    words pair with nothing. How sets are compared: see _alike_sets.
     """
-    every = written(rows.select(F.col(key).alias("k"), F.col(within).alias("grp"), T.shingle_hashes(T.words(F.col(text)), size).alias("s")).filter("k is not null and grp is not null and size(s) > 0").select(
-        "k", "grp", "s", F.xxhash64("s").alias("x"), F.xxhash64(F.lit(size), "s").alias("y"), F.size("s").alias("n"), F.monotonically_increasing_id().alias("row")))
-    first = every.groupBy("grp", "x", "y", "n").agg(F.min(F.struct("k", "row")).alias("first"))
-    placed = written(every.select("grp", "x", "y", "n", "k", "row").join(first, ["grp", "x", "y", "n"]).filter(F.col("row") != F.col("first.row")).select("row", F.col("first.k").alias("a"), F.col("k").alias("b")))
-    copies = placed.filter("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
-    sets = every.join(_few(placed.select("row")), "row", "left_anti").select("grp", F.col("x").alias("u"), "k", "n", "s")
-
-    return _alike_sets(sets, least).unionByName(copies)
+    stated = rows.filter(F.col(key).isNotNull() & F.col(within).isNotNull())
+    found = _found(stated, {"k": F.col(key)}, within, text, size)
+    docs = _kept(_docs(found).select("of", "n", "k"))
+    sets = _kept(docs.groupBy("of").agg(F.min("n").alias("n"), F.min("k").alias("tag")))
+    lists = _lists(found, sets)
+    gone(found)
+    kind = rows.schema[key].dataType.simpleString()
+
+    def told(members: Members, x: np.ndarray, y: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
+        n = np.minimum(members.n[x], members.n[y])
+        return pa.RecordBatch.from_arrays([members.tag.take(pa.array(x)), members.tag.take(pa.array(y)), pa.array(common, pa.int64()), pa.array(n, pa.int32())], ["x", "y", "common", "n"])
+
+    met = _alike_sets(lists, least, f"x {kind}, y {kind}, common long, n int", told).filter("x <> y")
+    alike = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round(F.col("common") / F.col("n"), 4).alias("similarity")).filter(F.col("similarity") >= least)
+    copies = docs.join(sets.select("of", F.col("tag").alias("a")), "of").filter("k <> a").select("a", F.col("k").alias("b"), F.lit(1.0).alias("similarity"))
+    return alike.unionByName(copies)
+
+
+def _kept(rows: DataFrame, batch: int | None = None) -> DataFrame:
+    """rows, written; what was shuffled for them is removed as soon as they are. batch: how many rows go to a Python worker at once."""
+    conf = rows.sparkSession.conf
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch)} if batch else {})
+    before = {name: conf.get(name, None) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            conf.set(name, value)
+        return written(rows)
+    finally:
+        for name, value in before.items():
+            if value is None:
+                conf.unset(name)
+            else:
+                conf.set(name, value)
+
+
+def _found(rows: DataFrame, doc: dict[str, Column], within: str, text: str, size: int = 4) -> DataFrame:
+    """(of, c, df, w, doc), written: what the sets of rows' shingles share, see shingle_sets.shared, and (of, n, *doc) of each row with words.
+
+    Texts are split once, and each shingle is shuffled once, packed with others; neither texts nor whole sets are written.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = bucket_count(rows.agg(F.sum(F.length(text))).first()[0] or 0, parts)
+    hashed = rows.select(*(c.alias(name) for name, c in doc.items()), F.xxhash64(within).alias("grp"), T.shingle_hashes(T.words(F.col(text)), size).alias("s"))
+    sets = hashed.select(F.xxhash64("grp", "s").alias("of"), "grp", *doc, F.size("s").alias("n"), "s")
+    dealt = packed(sets.select("of", "grp", "s", F.struct("of", "n", *doc).alias("doc")), buckets).repartitionById(buckets, F.col("bucket"))
+    return _kept(shared(dealt), 1000)  # lists of whole texts' words
 
 
-def _few(rows: DataFrame, most: int = 500_000) -> DataFrame:
-    """rows of a table of one or two numbers, sent to each executor if they are few, so that what they meet need not be shuffled."""
-    return F.broadcast(rows) if rows.count() <= most else rows
+def _docs(found: DataFrame) -> DataFrame:
+    return found.filter("doc is not null").select("doc.*")
 
 
-def _alike_sets(sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity) by the keys k of sets (grp, u, k, n, s), u a hash of the set that no other of its group has; see containment_pairs.
+def _lists(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """(of, s, n, tag), written: each set's classes s of shared shingles, with their weights and how many shingles come from each on.
 
-    Each shingle is shuffled once, as two numbers: itself with its group, and its set with its group. Of those that several sets
-    hold, a set's own count by class is the weight, as each set of a class holds all its shingles; so only these go on to their
-    sets, and of each class one row remains. Shingles and classes no partner could meet are left out before they are joined.
+    Sets (of, n, tag) without such are left out.
     """
-    of = F.xxhash64("grp", "u").alias("of")
-    flat = sets.select(of, F.explode("s").alias("s"), "grp").select("of", F.xxhash64("grp", "s").alias("g"))
-    meet = Window.partitionBy("g")
-    shared = flat.withColumns({"df": F.count(F.lit(1)).over(meet), "x": F.bit_xor(F.xxhash64("of")).over(meet)}).filter("df > 1")
-    classes = shared.select("of", "g", F.xxhash64("df", "x").alias("x"), F.col("df").cast("int").alias("df")).repartition("of").groupBy("of", "x", "df").agg(F.count(F.lit(1)).alias("w"), F.min("g").alias("g"))
+    classes = found.filter("c is not null").select("of", "c", "df", "w").repartition("of").groupBy("of", "c", "df").agg(F.sum("w").cast("int").alias("w"))
     own = Window.partitionBy("of")
-    upto = F.sum("w").over(own.orderBy("df", "g").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.sum("w").over(own) - upto + F.col("w")  # shingles of the set from the class on
-    sizes = sets.select(of, "n")
-    held = written(classes.select("of", "g", after.cast("int").alias("after")).join(sizes, "of").select("of", "g", "n", "after"))
+    upto = F.sum("w").over(own.orderBy("df", "c").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.sum("w").over(own) - upto + F.col("w")
+    held = classes.select("of", "c", "w", after.cast("int").alias("after"))
+    return _kept(held.groupBy("of").agg(F.collect_list(F.struct("c", "w", "after")).alias("s")).join(sets, "of"))
+
 
+def _alike_sets(lists: DataFrame, least: float, kinds: str, told: Callable[..., pa.RecordBatch], most: int = 1_000_000) -> DataFrame:
+    """What told gives, see shingle_sets.compared, of all pairs of sets that may overlap by `least` of the smaller; written, and lists removed.
+
+    Shingles that the same sets hold (all those of a shared passage) are one class, known by the exclusive or of its sets'
+    hashes and their number, and counted by its weight; so texts meet once per passage, not once per shingle. In any one
+    order of all classes, of a set of n shingles whose partner is no smaller, the first shared one starts within the first
+    n - ceil(least * n) + 1 (prefix filter), and as many as are needed are still to come in the partner's set, too
+    (positional filter). The order is by how many sets have a class, so that few meet; shingles of one set alone come first
+    and meet nothing.
+
+    A set is labelled by its largest partner, which near copies mostly have in common, and pairs are compared in cells, one
+    for each label of the larger set; so a set is sent once to a cell, not once to each partner, and large sets go to one cell
+    only. Cells whose sets have more than `most` classes are split into blocks, so that a task holds no more than about that.
+    """
+    held = _kept(lists.select("of", "n", F.explode("s").alias("e")).select("of", "n", "e.c", "e.after"))
     need = F.ceil(F.col("n") * (least - 0.00005) - 1e-9)  # what is rounded to `least` is enough
     probes = held.filter(F.col("after") >= need)
-    other = held.select("g", F.col("of").alias("of2"), F.col("n").alias("m"), F.col("after").alias("after2"))
-    met = probes.join(other, "g").filter((F.col("n") <= F.col("m")) & (F.col("of") != F.col("of2")) & (F.col("after2") >= need))
-    pairs = written(met.select(F.least("of", "of2").alias("ua"), F.greatest("of", "of2").alias("ub")).distinct())
-    wanted = written(pairs.select(F.explode(F.array("ua", "ub")).alias("of")).distinct())
-    whole = sets.select(of, "k", "s").join(_few(wanted), "of", "left_semi")
-    a, b = (whole.select(F.col("of").alias(f"u{c}"), F.col("k").alias(f"k{c}"), F.col("s").alias(f"s{c}")) for c in "ab")
-    similarity = F.size(F.array_intersect("sa", "sb")) / F.least(F.size("sa"), F.size("sb"))
-    found = pairs.join(a, "ua").join(b, "ub").filter("ka <> kb")
-    return found.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.round(similarity, 4).alias("similarity")).filter(F.col("similarity") >= least)
+    other = held.select("c", F.col("of").alias("of2"), F.col("n").alias("n2"), F.col("after").alias("after2"))
+    first = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("of") < F.col("of2")))
+    met = probes.join(other, "c").filter(first & (F.col("after2") >= need))
+    pairs = _kept(met.select(F.col("of").alias("a"), F.col("of2").alias("b"), "n2").distinct())
+    gone(held)
+
+    tops = _kept(pairs.groupBy(F.col("a").alias("of")).agg(F.max(F.struct("n2", "b"))["b"].alias("top")))
+    labelled = _kept(pairs.join(tops, F.col("b") == F.col("of"), "left").select(F.coalesce("top", "b").alias("label"), "a", "b"))
+    gone(pairs, tops)
+    of = F.explode(F.array("a", "b")).alias("of")
+    sizes = labelled.select("label", of).distinct().join(lists.select("of", F.size("s").alias("m")), "of").groupBy("label").agg(F.sum("m").alias("m"))
+    split = _kept(sizes.filter(F.col("m") > most).select("label", F.ceil(F.col("m") / most).alias("m")))
+    parts = F.coalesce("m", F.lit(1).cast("long"))
+    dealt = labelled.join(F.broadcast(split), "label", "left").select(F.xxhash64("label", F.pmod("a", parts), F.pmod("b", parts)).alias("cell"), "a", "b")
+
+    members = dealt.select("cell", of).distinct().join(lists, "of")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("n", "int"), ("s", "array<struct<c:bigint,w:int>>"), ("tag", lists.schema["tag"].dataType))]
+    sets = members.select("cell", F.lit(0).alias("role"), F.col("of").alias("a"), F.lit(0).cast("long").alias("b"), "n", F.transform("s", lambda x: F.struct(x["c"].alias("c"), x["w"].alias("w"))).alias("s"), "tag")
+    result = _kept(compared(sets.unionByName(dealt.select("cell", F.lit(1).alias("role"), "a", "b", *nothing)), kinds, told))
+    gone(lists, labelled, split)
+    return result
 
 
 def anchored_groups(rows: DataFrame, key: str, owner: str, text: str, day: str, days: int = 7, least: float = 0.6) -> DataFrame:
     """(key, n): of each dated row, how many rows of its owner, itself included, are alike and come 0 to days - 1 days later.
 
-    Alike: as in containment_pairs. Each distinct set of an owner's shingles is compared once, whatever its days; counts by
-    set and day are what is joined, not rows, so that many copies of a day are one. Rows without day, owner or words are left out.
+    Alike: as in containment_pairs. Each distinct set of an owner's shingles is compared once, whatever its days, and takes
+    its rows' count by day along; so pairs become counts by set and day where they are compared. Rows without day, owner or
+    words are left out.
     """
-    shingles = T.shingle_hashes(T.words(F.col(text)))
-    every = written(rows.select(F.col(key).alias("k"), F.col(owner).alias("grp"), F.datediff(F.col(day), F.lit("1970-01-01").cast("date")).alias("d"), shingles.alias("s")))
-    every = every.filter("grp is not null and d is not null and size(s) > 0").withColumn("h", F.xxhash64("grp", "s"))
-    each = every.select("k", "grp", "d", "h")
-    counts = each.groupBy("grp", "h", "d").agg(F.count(F.lit(1)).alias("n"))
-    first = each.groupBy("grp", "h").agg(F.min(F.struct("k", "d")).alias("first"))  # one row of each set, to take its shingles from
-    taken = every.join(first, ["grp", "h"]).filter(F.struct("k", "d") == F.col("first")).dropDuplicates(["grp", "h"])
-    sets = written(taken.select("grp", F.col("h").alias("u"), F.col("h").alias("k"), F.size("s").alias("n"), "s"))
-    pairs = _alike_sets(sets, least).select("a", "b")
-    same = counts.select(F.col("h").alias("a"), F.col("h").alias("b")).distinct()
-    alike = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same)
-    other = counts.select(F.col("h").alias("b"), F.col("d").alias("d2"), F.col("n").alias("m"))
-    met = counts.select(F.col("h").alias("a"), "d").join(alike, "a").join(other, "b").filter((F.col("d2") >= F.col("d")) & (F.col("d2") < F.col("d") + days))
-    sizes = met.groupBy(F.col("a").alias("h"), "d").agg(F.sum("m").alias("n"))
-    return each.select("k", "h", "d").join(sizes, ["h", "d"]).select(F.col("k").alias(key), "n")
+    stated = rows.filter(F.col(owner).isNotNull() & F.col(day).isNotNull())
+    found = _found(stated, {"k": F.col(key), "d": F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))}, owner, text)
+    counts = _docs(found).groupBy("of", "d").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("m"))
+    sets = _kept(counts.groupBy("of").agg(F.min("n").alias("n"), F.collect_list(F.struct("d", "m")).alias("tag")))
+    each = _kept(_docs(found).select("of", "d", "k"))
+    lists = _lists(found, sets)
+    gone(found)
+    enough = round(least - 0.00005, 9)
+
+    def told(members: Members, x: np.ndarray, y: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
+        alike = common / np.minimum(members.n[x], members.n[y]) >= enough
+        x, y = np.concatenate([x[alike], y[alike]]), np.concatenate([y[alike], x[alike]])
+        d, m = (members.tag.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(2))
+        sizes = members.tag.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        long = sizes[y]
+        at = np.arange(int(long.sum())) + np.repeat((np.cumsum(sizes) - sizes)[y] - np.cumsum(long) + long, long)
+        low, span = (int(d.min()), int(d.max()) - int(d.min()) + 1) if len(d) else (0, 1)
+        one, where = np.unique(np.repeat(x, long) * span + (d[at] - low), return_inverse=True)
+        total = np.bincount(where, m[at], len(one)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(members.of[one // span]), pa.array(one % span + low, pa.int32()), pa.array(total)], ["of", "d", "m"])
+
+    other = _alike_sets(lists, least, "of long, d int, m long", told)
+    same = sets.select("of", F.inline("tag"))
+    starts = F.explode(F.sequence(F.col("d") - (days - 1), F.col("d"))).alias("d")  # days from which on such a row is near
+    near = other.unionByName(same).select("of", "m", starts).groupBy("of", "d").agg(F.sum("m").alias("n"))
+    return each.join(near, ["of", "d"]).select(F.col("k").alias(key), "n")
 
 
 def best_of_groups(dealt: DataFrame, width: int, k: int, kinds: str) -> DataFrame:
